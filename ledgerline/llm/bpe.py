@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -24,8 +25,10 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 #: These count as blanks for str.split() but not for the file's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 NOT_BLANK = regex.compile(r"[^\p{White_Space}]+")
-#: Chunks kept in a worker's memory, and the longest one kept.
-CACHE_CHUNKS, CACHE_CHARS = 200_000, 64
+#: Stands where a symbol has become part of the one before it; no vocabulary is so large.
+DEAD = (1 << 20) - 1
+#: Entries of one generation of a worker's tables, and the longest text kept there.
+CACHE_TEXTS, CACHE_CHARS = 400_000, 48
 
 
 def byte_letters() -> list[str]:
@@ -53,38 +56,42 @@ class WordBpe:
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.end] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self.merges = {vocab[a] << 20 | vocab[b]: rank << 20 | vocab[a + b] for rank, (a, b) in enumerate(model["merges"], 1)}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Recent(lambda word: tuple(self.merge(word)))
+        self.chunk_ids = Recent(lambda chunk: tuple(self.chunk(chunk)))
+        self.chunk_bytes = Recent(lambda chunk: struct.pack(f"<{len(ids := self.chunk(chunk))}I", *ids))
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.
+
+        A queue entry is one number: rank, symbol made, place. The rank tells the two symbols, so an
+        entry is stale if the symbols now at its place have another merge or none.
+        """
         data = word.encode("utf-8", "surrogatepass")
-        symbol = [self.inner[b] for b in data]
-        symbol[-1] = self.last[data[-1]]
+        symbol = [*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]]
         n = len(symbol)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for at in range(n - 1):
-            if found := self.merges.get((symbol[at], symbol[at + 1])):
-                queue.append((found[0], at, symbol[at], symbol[at + 1], found[1]))
+        find, push = self.merges.get, heapq.heappush
+        queue = [found << 32 | at for at in range(n - 1) if (found := find(symbol[at] << 20 | symbol[at + 1]))]
         heapq.heapify(queue)
         while queue:
-            _, at, left, right, made = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            at, found = entry & 0xFFFFFFFF, entry >> 32
             to = after[at]
-            if symbol[at] != left or to < 0 or symbol[to] != right:
+            if to < 0 or find(symbol[at] << 20 | symbol[to]) != found:
                 continue  # stale
-            symbol[at], symbol[to] = made, -1
-            after[at] = after[to]
-            if after[at] >= 0:
-                before[after[at]] = at
-            for a in (before[at], at):
-                b = after[a] if a >= 0 else -1
-                if b >= 0 and (found := self.merges.get((symbol[a], symbol[b]))):
-                    heapq.heappush(queue, (found[0], a, symbol[a], symbol[b], found[1]))
-        return [s for s in symbol if s >= 0]
+            made = symbol[at] = found & 0xFFFFF
+            symbol[to] = DEAD
+            right = after[at] = after[to]
+            if right >= 0:
+                before[right] = at
+                if found := find(made << 20 | symbol[right]):
+                    push(queue, found << 32 | at)
+            left = before[at]
+            if left >= 0 and (found := find(symbol[left] << 20 | made)):
+                push(queue, found << 32 | left)
+        return [s for s in symbol if s != DEAD]
 
     def chunk(self, chunk: str) -> list[int]:
         """Ids of a text without blanks."""
@@ -93,17 +100,12 @@ class WordBpe:
             if part in self.added:
                 ids.append(self.added[part])
                 continue
-            # Lower case goes letter by letter there, so no final sigma.
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in WORDS.findall(plain):
-                known = self.words.get(word)
-                if known is None:
-                    known = tuple(self.merge(word))
-                    if len(word) <= CACHE_CHARS:
-                        if len(self.words) >= CACHE_CHUNKS:
-                            self.words.clear()
-                        self.words[word] = known
-                ids.extend(known)
+            if part.isascii():
+                plain = part.lower()
+            else:  # lower case goes letter by letter there, so no final sigma
+                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            for word in (plain,) if plain.isalpha() else WORDS.findall(plain):
+                ids.extend(self.words[word])
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -118,19 +120,26 @@ def chunks(text: str) -> list[str]:
     return NOT_BLANK.findall(text) if SEPARATORS.search(text) else text.split()
 
 
-class ChunkTable(dict):
-    """Chunk to what `make` gives, kept for short chunks until the table is full."""
+class Recent(dict):
+    """Text to what `make` gives, for short texts that a worker has met lately.
+
+    A full table becomes the old one and a new one begins; what is found in the old one moves over,
+    so frequent texts stay. The two hold 2 * CACHE_TEXTS entries at most.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, chunk: str):
-        value = self.make(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS:
+        self.make, self.old = make, {}
+
+    def __missing__(self, text: str):
+        value = self.old.get(text)
+        if value is None:
+            value = self.make(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= CACHE_TEXTS:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = value
+            self[text] = value
         return value
 
 
@@ -159,8 +168,7 @@ def bpe_encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        table = ChunkTable(lambda c: tuple(bpe.chunk(c)))
-        get, number, token = table.__getitem__, bpe.numbers.__getitem__, bpe.tokens.__getitem__
+        get, number, token = bpe.chunk_ids.__getitem__, bpe.numbers.__getitem__, bpe.tokens.__getitem__
         sha = hashlib.sha256
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.bpe import ChunkTable, chunks, loaded
+from ledgerline.llm.bpe import chunks, loaded
 from ledgerline.llm.common import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, ids array<int>"
@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        get = ChunkTable(lambda c: np.array(bpe.chunk(c), "<u4").tobytes()).__getitem__
+        get = bpe.chunk_bytes.__getitem__
         end = np.array([end_id], "<u4").tobytes()
         step, place = 4 * window, 0
         for batch in batches:
