@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, packing
+from ledgerline.llm import bpe, chat, media, minhash, packing, pii, quality, search, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,18 +18,88 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return packing.pack_documents(docs, tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against dated lists that follow from the table: see captures_and_lists."""
+    return url_filter.filter_urls(*captures_and_lists(table(spark, sf_dir, "pages")))
+
+
+def captures_and_lists(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages table has neither fetch dates nor lists, so both are made by a rule.
+
+    Page p was fetched on day p mod 365 of 2024. A host whose length is a multiple of 3 is added on
+    the day (7 * length) mod 365 and removed 120 days later; its parent domain (all but the first
+    label, of hosts of three labels and more) is added 200 days after that host's own date.
+    """
+    start = F.to_date(F.lit("2024-01-01"))
+    captures = pages.select("page_id", "url", F.date_add(start, (F.col("page_id") % 365).cast("int")).alias("fetch_date"))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).distinct().where(F.col("host").isNotNull() & (F.length("host") % 3 == 0))
+    day = F.date_add(start, (7 * F.length("host")) % 365)
+    entry = lambda domain, date, action, category: F.struct(domain.alias("domain"), date.alias("entry_date"), F.lit(action).alias("action"), F.lit(category).alias("category"))
+    parent = F.when(F.size(F.split("host", r"\.")) >= 3, F.regexp_replace("host", r"^[^.]*\.", ""))
+    rows = F.array(entry(F.col("host"), day, "add", "host"), entry(F.col("host"), F.date_add(day, 120), "remove", "host"), entry(parent, F.date_add(day, 200), "add", "parent"))
+    return captures, hosts.select(F.explode(rows).alias("e")).select("e.*")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify_quality(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return bpe.bpe_encode(docs, tokenizer_path(), digest=True)
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify_toxicity(docs, toxicity.train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train_pii(docs))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.inspect_media(media.encode_media(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected", "corrected")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that follow from the table: see preference_pairs."""
+    return chat.format_preferences(*preference_pairs(table(spark, sf_dir, "conversations")))
+
+
+def preference_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chosen is conversation c. Rejected has c's turns but its last, and then the last turn of c + 1.
+
+    The table has no preferences, so this makes pairs that share all turns but the last.
+    """
+    last = turns.groupBy("conv_id").agg(F.max_by(F.struct("turn", "role", "text"), F.struct("turn", "role", "text")).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last").alias("next"))
+    ends = last.join(other, "conv_id")
+    kept = turns.join(ends.select("conv_id", F.col("last.turn").alias("last_turn")), "conv_id").where(F.col("turn") < F.col("last_turn"))
+    rejected = kept.select("conv_id", "turn", "role", "text").unionByName(ends.select("conv_id", F.col("last.turn").alias("turn"), "next.role", "next.text"))
+    named = lambda df: df.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    return named(turns), named(rejected)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing,
-    "op5_bpe": op5_bpe,
+    f.__name__: f for f in (op1_packing, op2_topk, op3_url_filter, op4_quality, op5_bpe, op6_toxicity, op7_pii, op8_minhash, op9_media, op10_chat)
 }
 ORACLE: dict[str, str] = {}
