@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,6 +193,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, bias: float) -
     return np.maximum(theta[:-1], 0), float(theta[-1])
 
 
+def sketch(text: str) -> int:
+    """The least hash of the text's five-word shingles; copies and most near copies share it."""
+    words = text.lower().split()
+    return min((zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))), default=0)
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, terms: int = 5000, error: float = 0.05) -> Lexicon:
     """Lexicon and weights from at most sample_rows labelled documents, crc32(doc_id) mod 3 not 1.
 
@@ -205,9 +212,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000,
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [sorted({f for w in set(WORD.findall(t.lower())) for f in forms(w)}) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("text"), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "label", "text", "words"])
+            alike = pa.array([sketch(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("text"), pa.array(rows, pa.list_(pa.string())), alike], names=["doc_id", "label", "text", "words", "alike"])
 
-    sample = written(labelled_sample(docs, labels, "toxic", 3, 1, sample_rows).mapInArrow(words, "doc_id long, label int, text string, words array<string>"), "toxic")
+    sample = labelled_sample(docs, labels, "toxic", 3, 1, sample_rows).mapInArrow(words, "doc_id long, label int, text string, words array<string>, alike long")
+    # Of documents that are alike one counts, as their words are no separate findings.
+    first = F.row_number().over(Window.partitionBy("label", "alike").orderBy("doc_id", "text"))
+    sample = written(sample.withColumn("first", first).where(F.col("first") == 1).drop("first", "alike"), "toxic")
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     counts = written(sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "words")
