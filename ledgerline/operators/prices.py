@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("symbol").orderBy("dt")
+def by_date():
+    """Rows of a symbol in the order of dates."""
+    return Window.partitionBy("symbol").orderBy("dt")
 
 
 def moving(c: Column, rows: int, f=F.avg) -> Column:
     """f over the last `rows` rows, null until there are that many."""
-    frame = BY_DATE.rowsBetween(1 - rows, 0)
+    frame = by_date().rowsBetween(1 - rows, 0)
     return F.when(F.count(F.lit(1)).over(frame) >= rows, f(c).over(frame))
 
 
@@ -18,10 +20,10 @@ def enriched(bars: DataFrame) -> DataFrame:
     """bars with return, moving averages, bands and running maximum: one exchange and one sort."""
     close = F.when(~F.isnan("close"), F.col("close"))
     out = bars.withColumn("close", close).withColumns({
-        "ret": F.try_divide("close", F.lag("close").over(BY_DATE)) - 1,
+        "ret": F.try_divide("close", F.lag("close").over(by_date())) - 1,
         "sma_50": moving(F.col("close"), 50), "sma_200": moving(F.col("close"), 200),
         "mid_20": moving(F.col("close"), 20), "sd_20": moving(F.col("close"), 20, F.stddev_pop),
-        "run_max": F.max("close").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)),
+        "run_max": F.max("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0)),
     })
     return out.withColumns({"upper_20": F.col("mid_20") + 2 * F.col("sd_20"), "lower_20": F.col("mid_20") - 2 * F.col("sd_20"), "drawdown": F.try_divide(F.col("close") - F.col("run_max"), F.col("run_max"))})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.prices import BY_DATE, enriched
+from ledgerline.operators.prices import by_date, enriched
 
 TRADING_DAYS = 252
 
@@ -22,7 +22,7 @@ def paired_returns(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     its statistics allow.
     """
     both = bars.join(benchmark.select("dt", F.col("close").alias("b_close")), "dt")
-    change = lambda c: F.try_divide(F.col(c), F.lag(c).over(BY_DATE)) - 1
+    change = lambda c: F.try_divide(F.col(c), F.lag(c).over(by_date())) - 1
     return both.select("symbol", "dt", change("close").alias("sr"), change("b_close").alias("br")).dropna(subset=["sr", "br"])
 
 
@@ -49,10 +49,10 @@ def risk_metrics(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     both = bars.join(benchmark.select("dt", F.col("close").alias("b_close")), "dt", "left")
     shared = F.when(F.col("b_close").isNotNull(), F.col("close"))
-    before = BY_DATE.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_date().rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumns({
-        "ret": F.try_divide("close", F.lag("close").over(BY_DATE)) - 1,
-        "run_max": F.max("close").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)),
+        "ret": F.try_divide("close", F.lag("close").over(by_date())) - 1,
+        "run_max": F.max("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0)),
         "sr": F.try_divide(shared, F.last(shared, ignorenulls=True).over(before)) - 1,
         "br": F.try_divide("b_close", F.last("b_close", ignorenulls=True).over(before)) - 1,
     })

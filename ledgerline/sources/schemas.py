@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
-
-def table(keys: str, columns: str) -> T.StructType:
-    """A schema from DDL text: keys are not nullable, columns are."""
-    required = [T.StructField(f.name, f.dataType, False) for f in T.StructType.fromDDL(keys)]
-    return T.StructType([*required, *T.StructType.fromDDL(columns)])
+def table(keys: str, columns: str) -> str:
+    """A schema as DDL text: keys are not null, columns may be. Readers take such text without a session."""
+    required = ", ".join(f"{key.strip()} NOT NULL" for key in keys.split(","))
+    return f"{required}, {columns}"
 
 
 BARS = table("symbol string, dt date", "open double, high double, low double, close double, volume long")

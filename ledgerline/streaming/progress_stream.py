@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerline.operators.progress import events
 from ledgerline.sources.schemas import PROGRESS
@@ -36,6 +35,3 @@ def upsert_sink(stream: DataFrame, write, checkpoint: str):
 def stop_tagged(spark: SparkSession, tag: str) -> list[str]:
     """Cancels the jobs of a tag, as a client that goes away does."""
     return spark.interruptTag(tag)
-
-
-LINES = T.StructType(PROGRESS.fields)
