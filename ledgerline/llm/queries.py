@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, media, minhash, packing, pii, quality, search, toxicity, url_filter
+from ledgerline.llm import bpe, chat, media, minhash, oracle, packing, pii, quality, search, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -102,4 +102,4 @@ def preference_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_topk, op3_url_filter, op4_quality, op5_bpe, op6_toxicity, op7_pii, op8_minhash, op9_media, op10_chat)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
