@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import struct
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -60,7 +59,6 @@ class WordBpe:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.words = Recent(lambda word: tuple(self.merge(word)))
         self.chunk_ids = Recent(lambda chunk: tuple(self.chunk(chunk)))
-        self.chunk_bytes = Recent(lambda chunk: struct.pack(f"<{len(ids := self.chunk(chunk))}I", *ids))
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token.
@@ -93,6 +91,10 @@ class WordBpe:
                 push(queue, found << 32 | left)
         return [s for s in symbol if s != DEAD]
 
+    def plain(self, part: str) -> str:
+        """Composed and in lower case; that goes letter by letter there, so no final sigma."""
+        return part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+
     def chunk(self, chunk: str) -> list[int]:
         """Ids of a text without blanks."""
         ids: list[int] = []
@@ -100,10 +102,7 @@ class WordBpe:
             if part in self.added:
                 ids.append(self.added[part])
                 continue
-            if part.isascii():
-                plain = part.lower()
-            else:  # lower case goes letter by letter there, so no final sigma
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            plain = self.plain(part)
             for word in (plain,) if plain.isalpha() else WORDS.findall(plain):
                 ids.extend(self.words[word])
         return ids

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from ledgerline.llm.bpe import chunks, loaded
+from ledgerline.llm.bpe import SEPARATORS, WORDS, Recent, WordBpe, byte_letters, chunks
 from ledgerline.llm.common import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, ids array<int>"
@@ -19,6 +21,8 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Sequences of one full window count down from -1 by partition and place; packed ones are numbered
 #: by group and place in it.
 GROUP_STEP = 1 << 36
+#: Texts that are encoded together.
+BATCH_ROWS = 2048
 
 
 class OpenWindows:
@@ -85,25 +89,73 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return place, offset, filled
 
 
+class LibraryBpe(WordBpe):
+    """Word ids by the tokenizers library's own model; chunks and tables are as in WordBpe."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.tokenize = Tokenizer.from_file(path).model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+        self.word_bytes = Recent(lambda word: np.array(self.merge(word), "<u4").tobytes())
+        self.chunk_bytes = Recent(self.packed)
+
+    def packed(self, chunk: str) -> bytes:
+        """A chunk's ids as little-endian numbers."""
+        if "<" in chunk:  # may hold added tokens
+            return np.array(self.chunk(chunk), "<u4").tobytes()
+        plain = self.plain(chunk)
+        return self.word_bytes[plain] if plain.isalpha() else b"".join(map(self.word_bytes.__getitem__, WORDS.findall(plain)))
+
+    def merge(self, word: str) -> list[int]:
+        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return [token.id for token in self.tokenize(letters)]
+
+
+_LOADED: dict[str, LibraryBpe] = {}
+
+
+def loaded(path: str) -> LibraryBpe:
+    """The file's encoder, once for each worker process."""
+    if path not in _LOADED:
+        _LOADED[path] = LibraryBpe(path)
+    return _LOADED[path]
+
+
+def token_ids(bpe: WordBpe, texts: pa.Array) -> list[np.ndarray]:
+    """Ids of each text. Chunks between blanks are made distinct first, so each is looked up once."""
+    if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():  # blanks there, but not here
+        lists = pa.array([chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    known = list(map(bpe.chunk_bytes.__getitem__, coded.dictionary.to_pylist()))
+    size = np.fromiter(map(len, known), "i8", len(known)) // 4
+    ids, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+    chunk = coded.indices.to_numpy()
+    each = size[chunk]
+    end = np.cumsum(each)
+    ids = ids[np.repeat(start[chunk] - end + each, each) + np.arange(end[-1] if len(end) else 0)]
+    bound = np.r_[0, end][lists.offsets.to_numpy()]
+    return [ids[x:y] for x, y in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, keep_ids: bool) -> DataFrame:
     """Full windows of each document and its rest, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        get = bpe.chunk_bytes.__getitem__
-        end = np.array([end_id], "<u4").tobytes()
-        step, place = 4 * window, 0
+        end = np.array([end_id], "<u4")
+        place = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
                 rows: list[tuple] = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    data = b"".join(map(get, chunks(text or ""))) + end
-                    total = len(data) // 4
-                    for start in range(0, len(data), step):
-                        piece = data[start : start + step]
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), token_ids(bpe, pc.fill_null(part.column("text"), "")), strict=True):
+                    ids = np.concatenate([ids, end])
+                    for start in range(0, len(ids), window):
+                        piece = ids[start : start + window]
                         place += 1
-                        rows.append((doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), total, place, np.frombuffer(piece, "<i4") if keep_ids else None))
+                        rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), place, piece.astype("i4") if keep_ids else None))
                 columns = zip(*rows, strict=True)
                 kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
