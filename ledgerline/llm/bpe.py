@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import parts
+
 #: What the tokenizer file's pre-tokenizer splits by (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: These count as blanks for str.split() but not for the file's pattern.
@@ -170,8 +172,7 @@ def bpe_encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
         get, number, token = bpe.chunk_ids.__getitem__, bpe.numbers.__getitem__, bpe.tokens.__getitem__
         sha = hashlib.sha256
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts(batch, "text", 256):
                 counts, first, second = [], [], []
                 for text in part.column("text").to_pylist():
                     ids = list(chain.from_iterable(map(get, chunks(text or ""))))

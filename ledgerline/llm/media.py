@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import parts
+
 BLOCK, FILLER = 576, b"\xff"
 WAV_RATE = 8000
 
@@ -184,8 +186,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts(batch, "text", 256):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array([wav_bytes(padded(x)) for x in raw], pa.binary()), pa.array(["application/octet-stream"] * len(raw))], names=["doc_id", "n_bytes", "media", "declared"])
 
@@ -211,8 +212,7 @@ def inspect_media(media: DataFrame) -> DataFrame:
             ("embedded", pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))), ("feature", pa.string()),
         ])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts(batch, "media", 256):
                 rows = []
                 for doc_id, n_bytes, data, declared in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "declared")), strict=True):
                     data = data or b""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import Recent
-from ledgerline.llm.common import written
+from ledgerline.llm.common import parts, written
 from ledgerline.llm.components import components
 
 WORDS = 5
@@ -105,8 +105,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, hashing = Shingles(), MinMax(bands_for(percent))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in parts(batch, "text", 512):
                 names, sizes, keys = [], [], []
                 for text in part.column("text").to_pylist():
                     words = words_of(text)
@@ -125,8 +124,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in parts(batch, "text", 512):
                 texts = [w for t in part.column("text").to_pylist() if (w := words_of(t))]
                 names = [hashlib.md5(b" ".join(w)).digest() for w in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([shingles.of(w).view("i8") for w in texts], pa.list_(pa.int64()))], names=["class", "shingles"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.bpe import SEPARATORS, WORDS, Recent, WordBpe, byte_letters, chunks
-from ledgerline.llm.common import written
+from ledgerline.llm.common import parts, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, ids array<int>"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_length long, ids array<int>"
@@ -147,8 +147,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, keep
         end = np.array([end_id], "<u4")
         place = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in parts(batch, "text", BATCH_ROWS):
                 rows: list[tuple] = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), token_ids(bpe, pc.fill_null(part.column("text"), "")), strict=True):
                     ids = np.concatenate([ids, end])

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.common import held_out, labelled_sample, written
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_]+")
 #: Shorter terms are matched as they are only.
 FUZZY_LETTERS = 5
 #: Words on each side of a hit that are its context.
