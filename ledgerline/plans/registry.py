@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
 from ledgerline.operators import catalog, decision, documents, evaluation, macro, prices, progress, prompts, recursive, resolve, risk, telemetry, vectors
-from ledgerline.plans import report
-from ledgerline.plans.oracle import ORACLE  # noqa: F401
+from ledgerline.plans import parts, report
+from ledgerline.plans.oracle import ORACLE as WHOLE
 from ledgerline.sources import tables as T
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(parts.QUERIES)
+ORACLE: dict[str, str] = WHOLE | parts.ORACLE
 LETTERS = ("Apple stock outlook", "coca-cola risk", "aapl", "brk-b", "what about tesla and nvidia", "some unknown firm", "  ", "pineapple farms and intel")
 TEMPLATE = "Report on {name} ({ticker}): confidence {confidence}, {missing} and {{braces}}"
 
