@@ -15,10 +15,18 @@ def events(lines: DataFrame) -> DataFrame:
 
 
 def gaps(rows: DataFrame, minutes: int = 10) -> DataFrame:
-    """(run_id, from_ts, to_ts, gap_seconds) where a run was silent for more than so many minutes."""
-    before = F.lag("ts").over(Window.partitionBy("run_id").orderBy("ts", "event_id"))
-    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("from_ts").cast("timestamp"))) / 1e6
-    return rows.withColumn("from_ts", before).where(F.col("from_ts").isNotNull()).select("run_id", "from_ts", F.col("ts").alias("to_ts"), seconds.alias("gap_seconds")).where(F.col("gap_seconds") > minutes * 60)
+    """(run_id, from_ts, to_ts, gap_seconds) where a run was silent for more than so many minutes.
+
+    Neighbours within an hour are found hour by hour, those across hours from each hour's first and
+    last event, so a run with very many events is no single window partition.
+    """
+    timed = rows.where(F.col("ts").isNotNull()).select("run_id", "ts", F.date_trunc("hour", "ts").alias("hour"))
+    inside = timed.select("run_id", F.lag("ts").over(Window.partitionBy("run_id", "hour").orderBy("ts")).alias("from_ts"), F.col("ts").alias("to_ts"))
+    hours = timed.groupBy("run_id", "hour").agg(F.min("ts").alias("to_ts"), F.max("ts").alias("last"))
+    across = hours.select("run_id", F.lag("last").over(Window.partitionBy("run_id").orderBy("hour")).alias("from_ts"), "to_ts")
+    seconds = (F.unix_micros(F.col("to_ts").cast("timestamp")) - F.unix_micros(F.col("from_ts").cast("timestamp"))) / 1e6
+    both = inside.unionByName(across).where(F.col("from_ts").isNotNull())
+    return both.withColumn("gap_seconds", seconds).where(F.col("gap_seconds") > minutes * 60)
 
 
 def terminal(rows: DataFrame) -> DataFrame:

@@ -187,10 +187,10 @@ def absolute_urls(spark, d):
     return T.scan(spark, d, "pages").select("page_id", X.absolute_url(given, "https://base").alias("url"))
 
 
-@query("""SELECT user_id, array_to_string(list_transform(list(props ORDER BY event_id), lambda x: x)[-1:], '') AS last_line FROM events GROUP BY 1""")
+@query("SELECT event_id, props AS last_line FROM events")
 def last_json_line(spark, d):
-    lines = T.scan(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "props"))), lambda e: e["props"]), "\n").alias("out"))
-    return lines.select("user_id", X.last_json_line(F.concat("out", F.lit("\ndone"))).alias("last_line"))
+    output = F.concat(F.lit('log {\n{"old": 1}\n'), F.col("props"), F.lit("\ndone"))
+    return T.scan(spark, d, "events").select("event_id", X.last_json_line(output).alias("last_line"))
 
 
 @query("""SELECT name AS fund, sector FROM (VALUES ('XLK', 'Technology'), ('XLF', 'Financials'), ('XLV', 'Healthcare'), ('XLE', 'Energy'), ('XLI', 'Industrials'), ('XLP', 'Consumer Staples'), ('XLY', 'Consumer Discretionary'), ('XLU', 'Utilities'), ('XLB', 'Materials'), ('XLRE', 'Real Estate'), ('XLC', 'Communication Services')) v(name, sector)""")

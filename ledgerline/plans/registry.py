@@ -351,7 +351,7 @@ def progress_events(spark, d):
 
 @query
 def stale_gaps(spark, d):
-    return progress.gaps(T.scan(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id"))
+    return progress.gaps(T.scan(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts"))
 
 
 @query

@@ -265,7 +265,7 @@ def test_progress(spark):
     at = lambda m: dt.datetime(2024, 1, 1, 0, m)
     rows = spark.createDataFrame([(1, at(0), " [A] x"), (1, at(10), "  "), (1, at(21), "done")], "run_id long, ts timestamp_ntz, line string")
     assert [(r["step"], r["message"]) for r in progress.events(rows).orderBy("ts").collect()] == [("A", "[A] x"), ("system", "done")]
-    assert progress.gaps(rows.withColumn("event_id", F.lit(1))).count() == 1
+    assert [(r["from_ts"], r["to_ts"]) for r in progress.gaps(rows.unionByName(rows.withColumn("ts", F.lit(dt.datetime(2024, 1, 1, 3)).cast("timestamp_ntz")))).orderBy("from_ts").collect()] == [(at(10), at(21)), (at(21), dt.datetime(2024, 1, 1, 3))]
 
 
 def test_stream(spark, tmp_path):
