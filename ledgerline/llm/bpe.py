@@ -29,7 +29,7 @@ NOT_BLANK = regex.compile(r"[^\p{White_Space}]+")
 #: Stands where a symbol has become part of the one before it; no vocabulary is so large.
 DEAD = (1 << 20) - 1
 #: Entries of one generation of a worker's tables, and the longest text kept there.
-CACHE_TEXTS, CACHE_CHARS = 400_000, 48
+CACHE_TEXTS, CACHE_CHARS = 150_000, 48
 
 
 def byte_letters() -> list[str]:

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.bpe import Recent
 from ledgerline.llm.common import parts, written
 from ledgerline.llm.components import components
 
@@ -41,32 +41,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII blanks, A to Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def word_number(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def word_number(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def word_numbers(texts: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """For each text its words (between ASCII blanks, A to Z in lower case) joined by blanks, and their numbers.
 
-
-class Shingles:
-    """Sorted 64-bit numbers of a text's distinct shingles."""
-
-    def __init__(self):
-        self.numbers = Recent(word_number)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        n = len(words)
-        if not n:
-            return np.zeros(0, "u8")
-        w = np.fromiter(map(self.numbers.__getitem__, words), "u8", n)
-        size = min(n, WORDS)
-        count = n - size + 1
-        h = np.full(count, size, "u8")
-        for k in range(size):
-            h = mixed((h + w[k : k + count]) * U(0x9E3779B97F4A7C15) + U(k + 1))
-        return np.unique(h)
+    Words are made distinct over all the texts first, so each is hashed once. A text without words
+    gives an empty text and no numbers.
+    """
+    clean = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(clean)
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    numbers = np.fromiter(map(word_number, names), "u8", len(names))[coded.indices.to_numpy()]
+    bound = lists.offsets.to_numpy().tolist()
+    for joined, x, y in zip(pc.binary_join(lists, " ").to_pylist(), bound[:-1], bound[1:], strict=True):
+        yield (joined, numbers[x:y]) if joined else ("", numbers[:0])
+
+
+def shingles(w: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit numbers of the distinct shingles of words with these numbers."""
+    n = len(w)
+    if not n:
+        return np.zeros(0, "u8")
+    size = min(n, WORDS)
+    count = n - size + 1
+    h = np.full(count, size, "u8")
+    for k in range(size):
+        h = mixed((h + w[k : k + count]) * U(0x9E3779B97F4A7C15) + U(k + 1))
+    return np.unique(h)
 
 
 class MinMax:
@@ -96,6 +101,11 @@ class MinMax:
         return h.view("i8")
 
 
+def class_of(joined: str) -> bytes:
+    """What texts with the same words in the same order share."""
+    return hashlib.md5(joined.encode("utf-8", "surrogatepass")).digest()
+
+
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, class binary, n_shingles, bands) of each row, in one pass over the texts.
 
@@ -103,16 +113,15 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, hashing = Shingles(), MinMax(bands_for(percent))
+        hashing = MinMax(bands_for(percent))
         for batch in batches:
             for part in parts(batch, "text", 512):
                 names, sizes, keys = [], [], []
-                for text in part.column("text").to_pylist():
-                    words = words_of(text)
-                    own = shingles.of(words)
-                    names.append(hashlib.md5(b" ".join(words)).digest() if words else None)
+                for joined, numbers in word_numbers(part.column("text")):
+                    own = shingles(numbers)
+                    names.append(class_of(joined) if joined else None)
                     sizes.append(len(own))
-                    keys.append(hashing.keys(own) if words else None)
+                    keys.append(hashing.keys(own) if joined else None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "class", "n_shingles", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, class binary, n_shingles long, bands array<long>")
@@ -122,12 +131,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """(class, shingles) of each row (text) that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
         for batch in batches:
             for part in parts(batch, "text", 512):
-                texts = [w for t in part.column("text").to_pylist() if (w := words_of(t))]
-                names = [hashlib.md5(b" ".join(w)).digest() for w in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([shingles.of(w).view("i8") for w in texts], pa.list_(pa.int64()))], names=["class", "shingles"])
+                texts = [x for x in word_numbers(part.column("text")) if x[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(joined) for joined, _ in texts], pa.binary()), pa.array([shingles(w).view("i8") for _, w in texts], pa.list_(pa.int64()))], names=["class", "shingles"])
 
     return docs.select("text").mapInArrow(run, "class binary, shingles array<long>")
 

@@ -97,7 +97,6 @@ class LibraryBpe(WordBpe):
         self.tokenize = Tokenizer.from_file(path).model.tokenize
         self.letters = dict(enumerate(byte_letters()))
         self.word_bytes = Recent(lambda word: np.array(self.merge(word), "<u4").tobytes())
-        self.chunk_bytes = Recent(self.packed)
 
     def packed(self, chunk: str) -> bytes:
         """A chunk's ids as little-endian numbers."""
@@ -122,13 +121,13 @@ def loaded(path: str) -> LibraryBpe:
 
 
 def token_ids(bpe: WordBpe, texts: pa.Array) -> list[np.ndarray]:
-    """Ids of each text. Chunks between blanks are made distinct first, so each is looked up once."""
+    """Ids of each text. Chunks between blanks are made distinct first, so each is encoded once, its words from a table."""
     if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():  # blanks there, but not here
         lists = pa.array([chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
     else:
         lists = pc.utf8_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
-    known = list(map(bpe.chunk_bytes.__getitem__, coded.dictionary.to_pylist()))
+    known = list(map(bpe.packed, coded.dictionary.to_pylist()))
     size = np.fromiter(map(len, known), "i8", len(known)) // 4
     ids, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
     chunk = coded.indices.to_numpy()
