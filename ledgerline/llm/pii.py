@@ -215,10 +215,11 @@ class Field:
         ends = [(i, i + 1) for i in range(n - 1)] + t.skips
         if not ends:
             return node
-        factor = np.stack([self.stretch(t.place[i + 1] - t.place[i] - 1) for i in range(n - 1)] + [self.skip] * len(t.skips))
+        # Edges with as many plain words between share one matrix; skips have -1.
+        gap = np.r_[np.diff(t.place) - 1, np.full(len(t.skips), -1)].astype(int)
         a, b = np.array(ends).T
         source, target = np.r_[a, b], np.r_[b, a]
-        pair = np.concatenate([factor, factor.transpose(0, 2, 1)])
+        kinds = [(self.skip if g < 0 else self.stretch(int(g)), np.flatnonzero(gap == g)) for g in np.unique(gap)]
         back = np.r_[np.arange(len(a)) + len(a), np.arange(len(a))]
         sent = np.full((2 * len(a), N_LABELS), 1 / N_LABELS)
         for _ in range(rounds):
@@ -226,7 +227,10 @@ class Field:
             np.add.at(belief, target, np.log(sent + 1e-300))
             out = belief[source] - np.log(sent[back] + 1e-300)
             out = np.exp(out - out.max(1, keepdims=True))
-            new = np.einsum("ei,eij->ej", out, pair)
+            new = np.empty_like(out)
+            for matrix, at in kinds:
+                new[at] = out[at] @ matrix
+                new[at + len(a)] = out[at + len(a)] @ matrix.T
             new /= new.sum(1, keepdims=True)
             change = np.abs(new - sent).max()
             sent = 0.5 * sent + 0.5 * new if t.skips else new
