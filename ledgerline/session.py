@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,14 @@ def session(master: str | None = None, name: str = "ledgerline", **conf: str) ->
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers find this package where its folder is theirs too.
+
+    On other machines the path does no harm; there the package is installed or sent with --py-files.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
