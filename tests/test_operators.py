@@ -303,3 +303,29 @@ def test_sources(spark, tmp_path):
 def test_formats(spark):
     row = spark.range(1).select(*(c.alias(f"c{k}") for k, c in enumerate((formats.magnitude(F.lit(2.5e12)), formats.magnitude(F.lit(None).cast("double")), formats.signed_percent(F.lit(0.2)), formats.duration(F.lit(61.5)), formats.variant(F.lit("Buy"), formats.RECOMMENDATION_KINDS, "x"))))).first()
     assert list(row) == ["$2.50T", "N/A", "+20%", "1m 1.5s", "success"]
+
+
+def test_stream_windows_and_sink(spark, tmp_path):
+    from ledgerline.streaming import progress_stream as P
+
+    (tmp_path / "in").mkdir()
+    lines = [(1, "00:00:00", "[A] x"), (1, "00:04:00", "y"), (1, "00:30:00", "[A] z"), (2, "00:01:00", "[B] x")]
+    (tmp_path / "in" / "a.json").write_text("".join(f'{{"run_id": {r}, "ts": "2024-01-01T{t}", "line": "{x}"}}\n' for r, t, x in lines))
+    got = {}
+
+    def keep(name):
+        def write(batch, _):
+            got.setdefault(name, []).extend(tuple(r) for r in batch.collect())
+
+        return write
+
+    for name, frame in (("windows", P.windowed_counts(P.progress_stream(spark, str(tmp_path / "in")))), ("runs", P.silent_runs(P.progress_stream(spark, str(tmp_path / "in")).select("run_id", "ts")))):
+        q = frame.writeStream.outputMode("complete").foreachBatch(keep(name)).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+    assert sorted((str(a)[11:16], step, n) for a, step, n in got["windows"]) == [("00:00", "A", 1), ("00:00", "B", 1), ("00:00", "system", 1), ("00:30", "A", 1)]
+    assert sorted((run, n) for run, _, _, n in got["runs"]) == [(1, 1), (1, 2), (2, 1)]
+    sink = P.upsert_sink(P.progress_stream(spark, str(tmp_path / "in")), keep("sink"), str(tmp_path / "sink"))
+    sink.processAllAvailable()
+    sink.stop()
+    assert len(got["sink"]) == 4
