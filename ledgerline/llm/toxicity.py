@@ -16,11 +16,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import held_out, labelled_sample, written
+from ledgerline.llm.common import held_out, labelled_sample, parts, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Shorter terms are matched as they are only.
@@ -28,12 +29,14 @@ FUZZY_LETTERS = 5
 #: Words on each side of a hit that are its context.
 WINDOW = 6
 QUOTES = "\"'“”„«»‹›‘’`"
+MARKS = frozenset(QUOTES)
 #: Words that report what others say, and words that address somebody (fixed lists).
 REPORTING = frozenset("said says quote quoted quotes called calls wrote word term dijo dice palabra dit disait mot sagte sagt wort nannte".split())
 ADDRESS = frozenset("you your youre u du dich dein ihr tu te tes vous vos tú te tus usted eres es bist are".split())
 #: Letters of the stems that are learned beside whole words; a stem is written with a star.
 STEMS = (4, 5, 6)
-CACHE_TEXTS, CACHE_CHARS = 100_000, 48
+#: Texts whose chunks are made distinct together.
+BATCH_ROWS = 2048
 
 
 def forms(word: str) -> list[str]:
@@ -127,15 +130,14 @@ class Lexicon:
     bias: float = -3.0
 
 
-class Matcher(dict):
-    """Chunk between blanks to the hits of its words: (term, exact) pairs, mostly none."""
+class Matcher:
+    """Hits of words and their evidence in whole texts."""
 
     def __init__(self, lexicon: Lexicon):
-        super().__init__()
-        self.old: dict = {}
         self.terms, self.clean, self.trie = frozenset(lexicon.terms), lexicon.clean, Trie.of(lexicon.terms)
 
     def hits(self, chunk: str) -> tuple[tuple[str, bool], ...]:
+        """(term, exact) of each word of a chunk between blanks that hits; mostly none."""
         out = []
         for word in WORD.findall(chunk.lower()):
             if known := next((f for f in forms(word) if f in self.terms), None):
@@ -144,33 +146,35 @@ class Matcher(dict):
                 out.append((term, False))
         return tuple(out)
 
-    def __missing__(self, chunk: str):
-        found = self.old.get(chunk)
-        if found is None:
-            found = self.hits(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_TEXTS:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = found
-        return found
-
-    def evidence(self, text: str) -> np.ndarray:
-        """EVIDENCE of a whole text; a hit's context is WINDOW words on each side."""
-        chunks = text.split()
-        found = list(map(self.__getitem__, chunks))
+    def evidence(self, texts: pa.Array) -> np.ndarray:
+        """EVIDENCE of each text, a row each.
+
+        Chunks are made distinct over all the texts first, so each is matched once; only texts with
+        a hit are read again for its context.
+        """
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+        coded = lists.flatten().dictionary_encode()
+        found = list(map(self.hits, coded.dictionary.to_pylist()))
+        number, bound = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        counts = np.zeros((len(texts), len(EVIDENCE)))
+        places = np.flatnonzero(np.fromiter(map(bool, found), bool, len(found))[number])
+        owner = np.searchsorted(bound, places, "right") - 1
+        for row in np.unique(owner).tolist():
+            own = (places[owner == row] - bound[row]).tolist()
+            hits = [found[number[bound[row] + i]] for i in own]
+            counts[row] = self.in_context(lists[row].as_py(), own, hits)
+        return counts
+
+    def in_context(self, chunks: list[str], places: list[int], hits: list[tuple[tuple[str, bool], ...]]) -> np.ndarray:
+        """EVIDENCE of hits at places of a text's chunks; a context is WINDOW chunks on each side."""
         counts = np.zeros(len(EVIDENCE))
-        if not any(found):
-            return counts
-        places = [i for i, f in enumerate(found) if f]
         for k, i in enumerate(places):
             a, b = max(0, i - WINDOW), i + WINDOW + 1
             around = [c.strip(QUOTES + ".,;:!?()").lower() for c in chunks[a:i] + chunks[i + 1 : b]]
-            quoted = chunks[i][0] in QUOTES or chunks[i].rstrip(".,;:!?")[-1:] in QUOTES
-            open_before = any(c[0] in QUOTES for c in chunks[a:i]) and any(c.rstrip(".,;:!?")[-1:] in QUOTES for c in chunks[i + 1 : b])
-            quoting = quoted or open_before or any(w in REPORTING for w in around)
+            opens, closes = (lambda c: c[:1] in MARKS), (lambda c: c.rstrip(".,;:!?")[-1:] in MARKS)
+            quoting = opens(chunks[i]) or closes(chunks[i]) or any(map(opens, chunks[a:i])) and any(map(closes, chunks[i + 1 : b])) or any(w in REPORTING for w in around)
             abusive = any(w in ADDRESS for w in around) or k and i - places[k - 1] <= WINDOW or k + 1 < len(places) and places[k + 1] - i <= WINDOW
-            for _, exact in found[i]:
+            for _, exact in hits[k]:
                 counts[(0 if exact else 1) + 2 * quoting] += 1
             counts[4] += bool(abusive) and not quoting
         return counts
@@ -257,8 +261,9 @@ def with_evidence(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(send.value)
         for batch in batches:
-            counts = [own.evidence(t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.list_(pa.float64()))], names=[*batch.schema.names, EVIDENCE_COLUMN])
+            for part in parts(batch, "text", BATCH_ROWS):
+                counts = own.evidence(pc.fill_null(part.column(at), ""))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(counts), pa.list_(pa.float64()))], names=[*batch.schema.names, EVIDENCE_COLUMN])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(EVIDENCE_COLUMN, T.ArrayType(T.DoubleType()))]))
 
