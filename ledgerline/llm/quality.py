@@ -14,17 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import held_out, labelled_sample
+from ledgerline.llm.common import held_out, labelled_sample, parts
 
 #: Hashed feature space.
 BITS = 20
 MASK = (1 << BITS) - 1
-#: Kept by a worker for short words, in two generations of so many entries.
-CACHE_WORDS, CACHE_CHARS = 100_000, 48
+#: Texts whose words are made distinct together.
+BATCH_ROWS = 2048
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"[0-9]+")
 RUNS = re.compile(r"(\W)\1+")
@@ -40,35 +41,22 @@ def bucket(key: str) -> int:
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) & MASK
 
 
-class Words(dict):
-    """Word to (its number, its shape's bucket)."""
-
-    def __init__(self):
-        super().__init__()
-        self.old: dict = {}
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        found = self.old.get(word)
-        if found is None:
-            found = zlib.crc32(word.encode("utf-8", "surrogatepass")), bucket(shape(word))
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = found
-        return found
-
-    def features(self, text: str) -> np.ndarray:
-        """Sorted buckets of the n-grams that occur in the text, each once."""
-        words = text.split()
-        if not words:
-            return np.array([bucket("empty")], "int32")
-        both = np.array(list(map(self.__getitem__, words)), "int64")
-        shapes = both[:, 1]
-        doubled = both[1:, 0] == both[:-1, 0]
-        pairs = (shapes[:-1] * 0x9E3779B1 + shapes[1:] * 0x85EBCA6B + 0x27D4EB2F + doubled * 0x165667B1) >> 7
+def features(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the sorted buckets of the n-grams that occur in it, each once.
+
+    Words are made distinct over all the texts first, so each one's shape is taken once.
+    """
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+    coded = lists.flatten().dictionary_encode()
+    number = coded.indices.to_numpy()
+    shapes = np.fromiter((bucket(shape(w)) for w in coded.dictionary.to_pylist()), "i8", len(coded.dictionary))[number]
+    bound = lists.offsets.to_numpy().tolist()
+    for x, y in zip(bound[:-1], bound[1:], strict=True):
+        own, word = shapes[x:y], number[x:y]
+        doubled = word[1:] == word[:-1]
+        pairs = (own[:-1] * 0x9E3779B1 + own[1:] * 0x85EBCA6B + 0x27D4EB2F + doubled * 0x165667B1) >> 7
         triples = (pairs[:-1] * 0xC2B2AE3D + pairs[1:]) >> 9
-        return np.unique(np.concatenate([shapes, pairs & MASK, triples & MASK])).astype("int32")
+        yield np.unique(np.concatenate([own, pairs & MASK, triples & MASK])).astype("int32")
 
 
 @dataclass
@@ -167,10 +155,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            rows = [words.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "label", "features"])
+            for part in parts(batch, "text", BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(list(features(part.column("text"))), pa.list_(pa.int32()))], names=["doc_id", "label", "features"])
 
     sample = labelled_sample(docs, labels, "quality", 4, 2, sample_rows)
     table = sample.mapInArrow(run, "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
@@ -186,10 +173,11 @@ def score_quality(docs: DataFrame, model: Model, column: str = "score") -> DataF
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = Words(), send.value
+        own = send.value
         for batch in batches:
-            scores = [own.score(words.features(t or "")) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
+            for part in parts(batch, "text", BATCH_ROWS):
+                scores = [own.score(x) for x in features(pc.fill_null(part.column(at), ""))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
