@@ -3,9 +3,8 @@
 Each permutation of the hash space keeps a set's least and its greatest value, so one evaluation
 gives two signature values. Bands of signature values name candidates. Texts with the same words are
 one class and go on as one row. Candidate classes are gathered to clusters; inside a cluster every
-pair of blocks of bounded size is confirmed on whole sets, and the links left over (a forest for each
-pair of blocks) give the components. Classes with too many shingles of their own to be linked with
-anything are set aside first, which is exact.
+pair of blocks of bounded size is confirmed on whole sets; the stars that each pair of blocks leaves
+give the components.
 """
 
 from __future__ import annotations
@@ -145,7 +144,7 @@ def block_rows(size):
 
 
 def links_in_blocks(percent: int):
-    """Function over one pair of blocks of a cluster: a forest of the pairs that reach the threshold."""
+    """Function over one pair of blocks of a cluster: its components under the threshold, as stars around the least class."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("class")
@@ -180,13 +179,11 @@ def links_in_blocks(percent: int):
                 i = root[i]
             return i
 
-        left, right = [], []
         for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-            a, b = find(i), find(j)
-            if a != b:
-                root[b] = a
-                left.append(names[i])
-                right.append(names[j])
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+        inner = [i for i in range(len(names)) if find(i) != i]
+        left, right = [names[find(i)] for i in inner], [names[i] for i in inner]
         return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
     return run
