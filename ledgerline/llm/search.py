@@ -8,8 +8,6 @@ dropped if that is under the worst k-th score of its queries, which only rises.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
