@@ -41,26 +41,33 @@ def severity(percent: Column) -> Column:
     return F.when(percent.isNull(), "Unknown").when(percent < 10, "Low").when(percent < 20, "Medium").when(percent < 30, "High").otherwise("Very High")
 
 
-def risk_metrics(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(symbol, volatility, beta, max_drawdown_pct, severity): one pass of windows over one exchange.
+def with_benchmark(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """bars with b_close, the benchmark's close of the day or null."""
+    return bars.join(benchmark.select("dt", F.col("close").alias("b_close")), "dt", "left")
 
-    Volatility and drawdown come from all bars, beta from the dates that the benchmark has, so the
-    benchmark joins from the left and its returns are over the dates it shares.
-    """
-    both = bars.join(benchmark.select("dt", F.col("close").alias("b_close")), "dt", "left")
+
+def with_paired_returns(both: DataFrame) -> DataFrame:
+    """Adds sr and br, the returns over the days that the benchmark has too."""
     shared = F.when(F.col("b_close").isNotNull(), F.col("close"))
     before = by_date().rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumns({
-        "ret": F.try_divide("close", F.lag("close").over(by_date())) - 1,
-        "run_max": F.max("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0)),
-        "sr": F.try_divide(shared, F.last(shared, ignorenulls=True).over(before)) - 1,
-        "br": F.try_divide("b_close", F.last("b_close", ignorenulls=True).over(before)) - 1,
-    })
+    change = lambda c: F.try_divide(c, F.last(c, ignorenulls=True).over(before)) - 1
+    return both.withColumns({"sr": change(shared), "br": change(F.col("b_close"))})
+
+
+def aggregates() -> list[Column]:
+    """Volatility, beta and drawdown of rows with ret, sr, br and drawdown."""
     paired = F.col("sr").isNotNull() & F.col("br").isNotNull()
-    br = F.when(paired, F.col("br"))
-    percent = F.abs(F.min(F.try_divide(F.col("close") - F.col("run_max"), F.col("run_max")))) * 100
-    out = both.groupBy("symbol").agg(
-        (F.stddev_samp("ret") * F.sqrt(F.lit(TRADING_DAYS))).alias("volatility"),
-        F.try_divide(F.covar_samp(F.when(paired, F.col("sr")), br), F.var_pop(br)).alias("beta"), percent.alias("max_drawdown_pct"),
-    )
-    return out.withColumn("severity", severity(F.col("max_drawdown_pct")))
+    sr, br = F.when(paired, F.col("sr")), F.when(paired, F.col("br"))
+    return [
+        (F.stddev_samp("ret") * F.sqrt(F.lit(TRADING_DAYS))).alias("volatility"), F.try_divide(F.covar_samp(sr, br), F.var_pop(br)).alias("beta"),
+        (F.abs(F.min("drawdown")) * 100).alias("max_drawdown_pct"),
+    ]
+
+
+def risk_metrics(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(symbol, volatility, beta, max_drawdown_pct, severity): one pass of windows over one exchange.
+
+    Volatility and drawdown come from all bars, beta from the dates that the benchmark has.
+    """
+    rows = with_paired_returns(enriched(with_benchmark(bars, benchmark)))
+    return rows.groupBy("symbol").agg(*aggregates()).withColumn("severity", severity(F.col("max_drawdown_pct")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import decision, macro, prices, risk
@@ -27,11 +27,28 @@ def macro_row(series: DataFrame, sectors: DataFrame) -> DataFrame:
     return rate.crossJoin(inflation).crossJoin(trend)
 
 
+def symbol_metrics(bars: DataFrame, benchmark: DataFrame, months: int = 6) -> DataFrame:
+    """Market state, risk and trend of each symbol from one scan: one exchange by symbol, then one aggregation."""
+    rows = risk.with_paired_returns(prices.enriched(risk.with_benchmark(bars, benchmark)))
+    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("dt")))
+    recent = F.when(newest <= months * 21, F.col("dt"))
+    rows = rows.withColumn("recent", recent)
+    ends = {"first": F.min_by("close", "recent"), "final": F.max_by("close", "recent"), "n": F.count("recent")}
+    last = F.max_by(F.struct("dt", "close", "sma_50", "sma_200", "upper_20", "lower_20"), "dt").alias("last")
+    found = rows.groupBy("symbol").agg(last, *risk.aggregates(), *(c.alias(n) for n, c in ends.items())).select("*", "last.*").drop("last")
+    price, change = F.col("close"), prices.percent_change(F.col("first"), F.col("final"))
+    return found.select(
+        "symbol", "dt", price.alias("price"), "sma_50", "sma_200",
+        prices.ma_signal(price, F.col("sma_50"), F.col("sma_200")).alias("ma_signal"), prices.band_signal(price, F.col("upper_20"), F.col("lower_20")).alias("band_signal"),
+        "volatility", "beta", "max_drawdown_pct", risk.severity(F.col("max_drawdown_pct")).alias("severity"), change.alias("change_pct"),
+        F.when(F.col("n") < 2, "Insufficient data").otherwise(prices.trend_label(change, months)).alias("trend"),
+    )
+
+
 def report(bars: DataFrame, benchmark: DataFrame, series: DataFrame, sectors: DataFrame, scenarios: DataFrame) -> DataFrame:
     """A row a symbol with every stage's result and the decision."""
     expected = decision.expected_return(decision.normalized(scenarios))
-    rows = market(bars).join(risk.risk_metrics(bars, benchmark), "symbol", "left").join(prices.price_trend(bars), "symbol", "left").join(expected, "symbol", "left")
-    rows = rows.crossJoin(F.broadcast(macro_row(series, sectors)))
+    rows = symbol_metrics(bars, benchmark).join(expected, "symbol", "left").crossJoin(F.broadcast(macro_row(series, sectors)))
     complete = decision.completeness(F.col("price").isNotNull(), F.col("market_trend") != "Unknown", F.col("volatility").isNotNull(), F.col("expected_return").isNotNull())
     return rows.withColumns({"confidence": decision.confidence(complete, F.col("volatility")), "recommendation": decision.recommendation(F.col("expected_return"), F.col("volatility"))})
 
