@@ -14,7 +14,9 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 #: These count as blanks for str.split() but not for the file's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 NOT_BLANK = regex.compile(r"[^\p{White_Space}]+")
+#: Texts that are encoded together.
+BATCH_ROWS = 2048
 #: Stands where a symbol has become part of the one before it; no vocabulary is so large.
 DEAD = (1 << 20) - 1
 #: Entries of one generation of a worker's tables, and the longest text kept there.
@@ -59,8 +63,7 @@ class WordBpe:
         self.last = [vocab[c + self.end] for c in letters]
         self.merges = {vocab[a] << 20 | vocab[b]: rank << 20 | vocab[a + b] for rank, (a, b) in enumerate(model["merges"], 1)}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.words = Recent(lambda word: tuple(self.merge(word)))
-        self.chunk_ids = Recent(lambda chunk: tuple(self.chunk(chunk)))
+        self.words = Recent(lambda word: np.array(self.merge(word), "<u4").tobytes())
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token.
@@ -97,20 +100,19 @@ class WordBpe:
         """Composed and in lower case; that goes letter by letter there, so no final sigma."""
         return part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without blanks."""
-        ids: list[int] = []
-        for part in self.split_added.split(chunk) if self.split_added and "<" in chunk else (chunk,):
-            if part in self.added:
-                ids.append(self.added[part])
-                continue
-            plain = self.plain(part)
-            for word in (plain,) if plain.isalpha() else WORDS.findall(plain):
-                ids.extend(self.words[word])
-        return ids
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a text without blanks, as little-endian numbers."""
+        if self.split_added and "<" in chunk:
+            parts = self.split_added.split(chunk)
+            return b"".join(self.added[x].to_bytes(4, "little") if x in self.added else self.plain_ids(x) for x in parts)
+        return self.plain_ids(chunk)
+
+    def plain_ids(self, part: str) -> bytes:
+        plain = self.plain(part)
+        return self.words[plain] if plain.isalpha() else b"".join(map(self.words.__getitem__, WORDS.findall(plain)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.chunk, chunks(text))))
+        return np.frombuffer(b"".join(map(self.chunk, chunks(text))), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -154,6 +156,24 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
+def token_ids(bpe: WordBpe, texts: pa.Array) -> list[np.ndarray]:
+    """Ids of each text. Chunks between blanks are made distinct first, so each is encoded once."""
+    if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():  # blanks there, but not here
+        lists = pa.array([chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    known = list(map(bpe.chunk, coded.dictionary.to_pylist()))
+    size = np.fromiter(map(len, known), "i8", len(known)) // 4
+    ids, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+    chunk = coded.indices.to_numpy()
+    each = size[chunk]
+    end = np.cumsum(each)
+    ids = ids[np.repeat(start[chunk] - end + each, each) + np.arange(end[-1] if len(end) else 0)]
+    bound = np.r_[0, end][lists.offsets.to_numpy()]
+    return [ids[x:y] for x, y in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+
+
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -169,13 +189,12 @@ def bpe_encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        get, number, token = bpe.chunk_ids.__getitem__, bpe.numbers.__getitem__, bpe.tokens.__getitem__
+        number, token = bpe.numbers.__getitem__, bpe.tokens.__getitem__
         sha = hashlib.sha256
         for batch in batches:
-            for part in parts(batch, "text", 256):
+            for part in parts(batch, "text", BATCH_ROWS):
                 counts, first, second = [], [], []
-                for text in part.column("text").to_pylist():
-                    ids = list(chain.from_iterable(map(get, chunks(text or ""))))
+                for ids in map(np.ndarray.tolist, token_ids(bpe, pc.fill_null(part.column("text"), ""))):
                     counts.append(len(ids))
                     decoded = " ".join(map(token, ids))
                     first.append(sha(" ".join(map(number, ids)).encode()).hexdigest() if digest else ids)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm.bpe import SEPARATORS, WORDS, Recent, WordBpe, byte_letters, chunks
+from ledgerline.llm.bpe import BATCH_ROWS, WordBpe, byte_letters, token_ids
 from ledgerline.llm.common import parts, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, ids array<int>"
@@ -21,8 +21,6 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Sequences of one full window count down from -1 by partition and place; packed ones are numbered
 #: by group and place in it.
 GROUP_STEP = 1 << 36
-#: Texts that are encoded together.
-BATCH_ROWS = 2048
 
 
 class OpenWindows:
@@ -96,14 +94,6 @@ class LibraryBpe(WordBpe):
         super().__init__(path)
         self.tokenize = Tokenizer.from_file(path).model.tokenize
         self.letters = dict(enumerate(byte_letters()))
-        self.word_bytes = Recent(lambda word: np.array(self.merge(word), "<u4").tobytes())
-
-    def packed(self, chunk: str) -> bytes:
-        """A chunk's ids as little-endian numbers."""
-        if "<" in chunk:  # may hold added tokens
-            return np.array(self.chunk(chunk), "<u4").tobytes()
-        plain = self.plain(chunk)
-        return self.word_bytes[plain] if plain.isalpha() else b"".join(map(self.word_bytes.__getitem__, WORDS.findall(plain)))
 
     def merge(self, word: str) -> list[int]:
         letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
@@ -120,24 +110,6 @@ def loaded(path: str) -> LibraryBpe:
     return _LOADED[path]
 
 
-def token_ids(bpe: WordBpe, texts: pa.Array) -> list[np.ndarray]:
-    """Ids of each text. Chunks between blanks are made distinct first, so each is encoded once, its words from a table."""
-    if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():  # blanks there, but not here
-        lists = pa.array([chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-    else:
-        lists = pc.utf8_split_whitespace(texts)
-    coded = lists.flatten().dictionary_encode()
-    known = list(map(bpe.packed, coded.dictionary.to_pylist()))
-    size = np.fromiter(map(len, known), "i8", len(known)) // 4
-    ids, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
-    chunk = coded.indices.to_numpy()
-    each = size[chunk]
-    end = np.cumsum(each)
-    ids = ids[np.repeat(start[chunk] - end + each, each) + np.arange(end[-1] if len(end) else 0)]
-    bound = np.r_[0, end][lists.offsets.to_numpy()]
-    return [ids[x:y] for x, y in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, keep_ids: bool) -> DataFrame:
     """Full windows of each document and its rest, in one pass over the texts."""
 
