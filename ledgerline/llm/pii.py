@@ -3,7 +3,8 @@
 The patterns give base spans. The field labels a document's candidate tokens (those with a digit or
 an at sign). Neighbours in the token chain share a transition potential; tokens that are equal, or
 have the same digits, share a skip potential however far apart they are. Tokens of base spans are
-observed; loopy message passing carries their labels to the others. Stretches of plain words between
+observed; loopy message passing, in sweeps over the whole document until nothing moves, carries their
+labels to the others. Stretches of plain words between
 two candidates have the same potentials at every word, so they are summed out exactly as a power of
 one matrix. The weights are fitted by pseudo-likelihood on counts over all documents, with the base
 spans as labels.
@@ -95,6 +96,9 @@ FEATURES = (
 #: The feature of words that are no candidates; it stands alone.
 PLAIN = 1 << len(FEATURES)
 N_FEATURES, N_LABELS = len(FEATURES) + 1, len(LABELS)
+#: Least value of a message. Sweeps without a new low of movement before messages are damped by half,
+#: and the part of a new message under which loopy propagation counts as unsettled.
+TINY, PATIENCE, LEAST_PART = 1e-60, 20, 1 / 64
 
 
 def features(token: str) -> int:
@@ -198,8 +202,14 @@ class Field:
             left >>= 1
         return out
 
-    def marginals(self, t: Tokens, rounds: int = 30, tolerance: float = 1e-6) -> np.ndarray:
-        """Label probabilities of the candidates by loopy belief propagation."""
+    def marginals(self, t: Tokens, tolerance: float = 1e-6) -> np.ndarray:
+        """Label probabilities of the candidates by loopy belief propagation, run until it converges.
+
+        A sweep passes messages along the chain and the skips from the first candidate to the last
+        and back, so evidence crosses the whole document however long it is. Without skips between
+        distant candidates one sweep is exact. Otherwise sweeps go on until no message moves; where
+        they don't settle, each is damped more, and where even that fails mean_field decides.
+        """
         n = len(t.spans)
         bits = (np.array(t.mask)[:, None] >> np.arange(N_FEATURES)) & 1
         node = np.exp(bits @ self.unary)
@@ -212,34 +222,68 @@ class Field:
         seen = label > 0
         node[seen] = np.eye(N_LABELS)[label[seen]]
         node /= node.sum(1, keepdims=True)
-        ends = [(i, i + 1) for i in range(n - 1)] + t.skips
-        if not ends:
-            return node
-        # Edges with as many plain words between share one matrix; skips have -1.
-        gap = np.r_[np.diff(t.place) - 1, np.full(len(t.skips), -1)].astype(int)
-        a, b = np.array(ends).T
-        source, target = np.r_[a, b], np.r_[b, a]
-        kinds = [(self.skip if g < 0 else self.stretch(int(g)), np.flatnonzero(gap == g)) for g in np.unique(gap)]
-        back = np.r_[np.arange(len(a)) + len(a), np.arange(len(a))]
-        sent = np.full((2 * len(a), N_LABELS), 1 / N_LABELS)
-        for _ in range(rounds):
-            belief = np.log(node + 1e-300)
-            np.add.at(belief, target, np.log(sent + 1e-300))
-            out = belief[source] - np.log(sent[back] + 1e-300)
-            out = np.exp(out - out.max(1, keepdims=True))
-            new = np.empty_like(out)
-            for matrix, at in kinds:
-                new[at] = out[at] @ matrix
-                new[at + len(a)] = out[at + len(a)] @ matrix.T
-            new /= new.sum(1, keepdims=True)
-            change = np.abs(new - sent).max()
-            sent = 0.5 * sent + 0.5 * new if t.skips else new
-            if change < tolerance:
+        # A skip between neighbours and their step are one edge.
+        edges = {(i, i + 1): self.stretch(t.place[i + 1] - t.place[i] - 1) for i in range(n - 1)}
+        for pair in t.skips:
+            edges[pair] = edges[pair] * self.skip if pair in edges else self.skip
+        before: list[list[int]] = [[] for _ in range(n)]
+        after: list[list[int]] = [[] for _ in range(n)]
+        for k, (a, b) in enumerate(edges):
+            after[a].append(k)
+            before[b].append(k)
+        matrix = list(edges.values())
+        sent = np.full((2, len(edges), N_LABELS), 1 / N_LABELS)  # to later candidates, to earlier ones
+        turns = [(0, range(n), after, [m.T for m in matrix]), (1, range(n - 1, -1, -1), before, matrix)]
+
+        def belief(i: int, besides: int = -1) -> np.ndarray:
+            out = node[i]
+            for way, arriving in ((0, before[i]), (1, after[i])):
+                for k in arriving:
+                    if k != besides:
+                        out = out * sent[way, k]
+            return out
+
+        part, least, waited = 1.0, np.inf, 0
+        while len(edges):
+            old = sent.copy()
+            for way, order, leaving, matrices in turns:
+                for i in order:
+                    for k in leaving[i]:
+                        new = matrices[k] @ belief(i, k)
+                        new = np.maximum(new / new.sum(), TINY)
+                        sent[way, k] = new if part == 1 else (1 - part) * sent[way, k] + part * new
+            change = np.abs(sent - old).max() / part
+            if len(edges) == n - 1 or change < tolerance:
                 break
-        belief = np.log(node + 1e-300)
-        np.add.at(belief, target, np.log(sent + 1e-300))
-        belief = np.exp(belief - belief.max(1, keepdims=True))
-        return belief / belief.sum(1, keepdims=True)
+            waited = 0 if change < 0.9 * least else waited + 1
+            least = min(least, change)
+            if waited == PATIENCE:
+                part, waited = part / 2, 0
+                if part < LEAST_PART:
+                    return mean_field(node, edges, tolerance)
+        out = np.array([belief(i) for i in range(n)])
+        return out / out.sum(1, keepdims=True)
+
+
+def mean_field(node: np.ndarray, edges: dict[tuple[int, int], np.ndarray], tolerance: float) -> np.ndarray:
+    """Label probabilities of independent candidates that come closest to the field.
+
+    Each update raises one bound by at least what it moves, so the updates always come to rest.
+    """
+    beside: list[list[tuple[int, np.ndarray]]] = [[] for _ in node]
+    for (a, b), m in edges.items():
+        logs = np.log(m + TINY)
+        beside[a].append((b, logs))
+        beside[b].append((a, logs.T))
+    own, q, change = np.log(node + 1e-300), node.copy(), np.inf
+    while change >= tolerance:
+        old = q.copy()
+        for i, links in enumerate(beside):
+            score = own[i] + sum(logs @ q[j] for j, logs in links)
+            p = np.exp(score - score.max())
+            q[i] = p / p.sum()
+        change = np.abs(q - old).max()
+    return q
 
 
 def fit_field(counts: DataFrame, steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> Field:

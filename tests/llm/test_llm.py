@@ -370,6 +370,38 @@ def test_skips_carry_labels():
     assert t.skips == [(0, 1)] and field.marginals(t)[1].argmax() == 1 + pii.KINDS.index("card")
 
 
+def test_skips_reach_all_occurrences():
+    field = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros((5, 5)), 8 * np.eye(5))
+    card, other = 1 + pii.KINDS.index("card"), "4111-1111x1111-1111"
+    for gap in (", ", " and "):
+        text = gap.join(["4111111111111111", *[other] * 59])
+        t = pii.Tokens(text, pii.base_spans(text))
+        hop = field.skip / field.skip.sum(1, keepdims=True)
+        want = [np.linalg.matrix_power(hop, k)[card] for k in range(60)]
+        got = field.marginals(t)
+        assert sum(t.label) == card and np.allclose(got, want, atol=1e-4) and (got[:, card] > 0.9).all()
+
+
+def test_field_is_exact_on_long_chains():
+    field = pii.Field(np.zeros((pii.N_FEATURES, 5)), 6 * np.eye(5), np.zeros((5, 5)))
+    text = " ".join(["4111111111111111", *(f"x{i}y" for i in range(80))])
+    hop = field.step / field.step.sum(1, keepdims=True)
+    want = [np.linalg.matrix_power(hop, k)[1 + pii.KINDS.index("card")] for k in range(81)]
+    assert np.allclose(field.marginals(pii.Tokens(text, pii.base_spans(text))), want, atol=1e-5)
+
+
+def test_fields_that_do_not_settle_end():
+    rng = np.random.default_rng(3)
+    text = " ".join(rng.choice(["a1", "b2", "c3", "d4"], 60))
+    for scale in (1, 5, 20):
+        field = pii.Field(rng.normal(size=(pii.N_FEATURES, 5)), scale * rng.normal(size=(5, 5)), -scale * np.eye(5))
+        t = pii.Tokens(text, [])
+        p = field.marginals(t)
+        assert np.isfinite(p).all() and np.allclose(p.sum(1), 1)
+    q = pii.mean_field(np.full((2, 5), 0.2), {(0, 1): np.ones((5, 5))}, 1e-6)
+    assert np.allclose(q, 0.2)
+
+
 # --- media
 
 
