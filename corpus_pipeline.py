@@ -6,7 +6,7 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import minhash, packing, pii, quality, toxicity
@@ -41,24 +41,44 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id.
 
-    Of rows that share a doc_id one stays, with the least text. Rows without doc_id can't stand for
-    a group: they stay, once for each text.
+    Rows are judged one by one: those that share a doc_id stay unless their own texts have a near
+    duplicate that stays. Of a group's rows with the least doc_id, the one with the least class and
+    then the least text stays. Texts without words are in no group; they stay, once for each doc_id
+    and text. Rows without doc_id can't stand for a group: they stay, once for each text.
     """
-    found = written(minhash.near_duplicates(docs, SIMILAR).where(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "groups")
-    per_id = written(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where(~F.col("kept") | (F.col("n") > 1)), "dropped")
-    special = per_id.select("doc_id")
-    if per_id.count() <= BROADCAST_IDS:
-        special = F.broadcast(special)
+    rows, members = minhash.grouped(docs, SIMILAR)
+    members = written(members, "members")
+    found = written(rows.where(F.col("doc_id").isNotNull()).select("doc_id", "class").join(members, "class", "left"), "groups")
+    head = F.col("class").isNull() | (F.col("doc_id") == F.col("component_id"))
+    per_id = written(found.groupBy("doc_id").agg(F.max(head).alias("kept"), F.count("*").alias("n")).where(~F.col("kept") | (F.col("n") > 1)), "dropped")
     named = docs.where(F.col("doc_id").isNotNull())
-    out = named.join(special, "doc_id", "left_anti").select(docs.columns)
-    repeated = per_id.where(F.col("kept") & (F.col("n") > 1)).select("doc_id")
+    out = named.join(few(per_id.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    repeated = few(per_id.where(F.col("kept") & (F.col("n") > 1)).select("doc_id"))
     if repeated.limit(1).count():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        again = named.join(repeated, "doc_id", "left_semi").withColumn(SCORE, first).where(F.col(SCORE) == 1)
-        out = out.unionByName(again.select(docs.columns))
+        heads = found.join(repeated, "doc_id", "left_semi").where(F.col("class").isNotNull() & head)
+        out = out.unionByName(survivors(named.join(repeated, "doc_id", "left_semi").select(docs.columns), heads))
     return out.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast unless they are too many."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def survivors(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Of docs, the rows whose doc_id doesn't tell what stays: one row for each root of heads.
+
+    heads: (doc_id, class, root) of rows with a component's least doc_id. Copies are aggregated before
+    the join, partly before the shuffle, so neither an id nor a class of very many rows is a hot key.
+    """
+    chosen = heads.groupBy("root").agg(F.min("class").alias("chosen"), F.min("doc_id").alias("chosen_id"))
+    rows = minhash.classed(docs, SCORE)
+    own = rows.where(F.col(SCORE).isNotNull()).groupBy("doc_id", SCORE).agg(F.min_by(F.struct(*docs.columns), "text").alias("row"))
+    own = own.join(chosen, (F.col(SCORE) == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
+    bare = rows.where(F.col(SCORE).isNull()).select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return own.select("row.*").unionByName(bare)
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the new text."""
     out = pii.redact_pii(docs, pii.train_pii(docs))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm.common import parts, written
 from ledgerline.llm.components import components
@@ -189,15 +190,22 @@ def links_in_blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+def classed(docs: DataFrame, column: str) -> DataFrame:
+    """docs with the class of each text as a last column; null for texts without words."""
 
-    Words are runs between ASCII blanks with A to Z in lower case; a text's set has its distinct
-    five-word shingles, or its whole words as one if it has fewer. Texts are linked if 100 times the
-    intersection is at least `percent` times the union. component_id is the least doc_id that links
-    reach; kept says that it is the row's own. Texts without words (null, empty, blank) have no
-    shingles and no links. Repeated rows each give a row. Null doc_ids stay null, never name a
-    component unless all its ids are null, and aren't kept. Other columns are left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "text", 512):
+                names = [class_of(joined) if joined else None for joined, _ in word_numbers(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.binary())], names=[*batch.schema.names, column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.BinaryType())]))
+
+
+def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class, n_shingles, ...) of each row, and (class, root, component_id) of each class.
+
+    root is the least class that links reach; it names a component even where all its ids are null.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(signatures(source, percent).withColumn("node", F.xxhash64("class")), "signatures")
@@ -207,7 +215,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     final = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
     final = written(final, "roots")
     least = written(final.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    final = written(final.join(least, "root").select("class", "component_id"), "members")
+    return rows, final.join(least, "root").select("class", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+
+    Words are runs between ASCII blanks with A to Z in lower case; a text's set has its distinct
+    five-word shingles, or its whole words as one if it has fewer. Texts are linked if 100 times the
+    intersection is at least `percent` times the union. component_id is the least doc_id that links
+    reach; kept says that it is the row's own. Texts without words (null, empty, blank) have no
+    shingles and no links. Repeated rows each give a row. Null doc_ids stay null, never name a
+    component unless all its ids are null, and aren't kept. Other columns are left out.
+    """
+    rows, final = grouped(docs, percent)
+    final = written(final.select("class", "component_id"), "members")
     out = rows.select("doc_id", "n_shingles", "class").join(final, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

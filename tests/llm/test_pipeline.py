@@ -66,6 +66,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("1", "a b c"), ("3", None), ("None", "x")]
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    rows = [(1, "one lone text"), (1, "one lone text"), (5, "zz the only one of its kind"), (5, "One  lone text"), (5, "another text of this id"), (6, "another text of this id"), (7, None), (7, " "), (7, None), (7, "seven"), (8, "One Lone Text"), (8, "one lone text"), (9, "b NINE"), (9, "B nine"), (9, "b  nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = pipeline.drop_near_duplicates(spark, docs, DATA).collect()
+    assert all(r["n_chars"] == (r["text"] and len(r["text"])) for r in got)
+    want = [(1, "one lone text"), (5, "another text of this id"), (5, "zz the only one of its kind"), (7, None), (7, " "), (7, "seven"), (9, "B nine")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_personal_data_is_gone(kept):
     before, after = kept["pii"]
     assert before.count() == after.count()
