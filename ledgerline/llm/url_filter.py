@@ -22,27 +22,29 @@ def suffixes(host):
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
-    """(domain, since, until, category, active) of dated entries (domain, entry_date, action, category).
+    """(domain, category, since, until, active) of dated entries (domain, entry_date, action, category).
 
-    An entry holds from its date until the domain's next date, exclusive; the last is open. Of a
-    domain's entries of one date one counts: "remove" before "add", then the least category. Rows
-    without domain, date or a known action don't count. Repeated rows do no harm.
+    Each category is a list of its own: an entry holds from its date until the next date of its domain
+    and category, exclusive; the last is open. Of such entries of one date "remove" comes before "add".
+    A null category is one, too. Rows without domain, date or a known action don't count. Repeated
+    rows do no harm.
     """
     good = entries.select(F.lower("domain").alias("domain"), F.col("entry_date").cast("date").alias("since"), "action", "category")
     good = good.where(F.col("domain").isNotNull() & F.col("since").isNotNull() & F.col("action").isin("add", "remove"))
-    # One row a domain and date is left before the window, so it holds a domain's dates only.
-    daily = good.groupBy("domain", "since").agg(F.min(F.struct((F.col("action") != "remove").alias("active"), "category")).alias("first"))
-    order = Window.partitionBy("domain").orderBy("since")
-    return daily.select("domain", "since", F.lead("since").over(order).alias("until"), F.col("first.category").alias("category"), F.col("first.active").alias("active"))
+    # One row a domain, category and date is left before the window, so it holds their dates only.
+    daily = good.groupBy("domain", "category", "since").agg(F.min(F.col("action") != "remove").alias("active"))
+    order = Window.partitionBy("domain", "category").orderBy("since")
+    return daily.select("domain", "category", "since", F.lead("since").over(order).alias("until"), "active")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(page_id, host, fetch_date, blocked, matched_domain, category, listed_since) for each capture.
 
     captures: (page_id, url, fetch_date). A capture is judged by the entries in force on its fetch
-    date for its host and its parent domains; the longest domain with an active "add" blocks it. A
-    null date or a URL without host is never blocked. Repeated captures each give a row; other
-    columns are left out.
+    date, of every category, for its host and its parent domains; any active "add" blocks it. Of
+    several the longest domain is named, then the latest entry, then the least category. A null date
+    or a URL without host is never blocked. Repeated captures each give a row; other columns are left
+    out.
 
     Captures of one host and date are judged once: they are counted down to (host, date) pairs with
     partial aggregation before any join, so a host with a third of all captures is a few pairs. The
@@ -54,7 +56,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     lists = written(validity_intervals(entries).where("active"), "intervals")
     held = (F.col("fetch_date") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetch_date") < F.col("until")))
     hits = asked.join(lists, "domain").where(held)
-    longest = F.max(F.struct(F.length("domain").alias("n"), "domain", "category", "since")).alias("hit")
-    verdicts = written(hits.groupBy("host", "fetch_date").agg(longest).select("host", "fetch_date", "hit.domain", "hit.category", "hit.since"), "verdicts")
+    first = F.min(F.struct((-F.length("domain")).alias("n"), (-F.unix_date("since")).alias("day"), "category", "domain", "since")).alias("hit")
+    verdicts = written(hits.groupBy("host", "fetch_date").agg(first).select("host", "fetch_date", "hit.domain", "hit.category", "hit.since"), "verdicts")
     out = seen.join(verdicts, ["host", "fetch_date"], "left")
     return out.select("page_id", "host", "fetch_date", F.col("domain").isNotNull().alias("blocked"), F.col("domain").alias("matched_domain"), "category", F.col("since").alias("listed_since"))

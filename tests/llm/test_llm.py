@@ -448,6 +448,16 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(captures.where("false"), entries.where("false")).count() == 0
 
 
+def test_url_filter_of_several_categories(spark):
+    dated = [("01-01", "add", "x"), ("02-01", "remove", "y"), ("03-01", "add", "y"), ("03-01", "remove", "z"), ("03-01", "add", "a"), ("04-01", "remove", "y"), ("04-01", "remove", "a"), ("05-01", "remove", "x"), ("06-01", "add", None), ("06-02", "remove", "x")]
+    entries = spark.createDataFrame([("a.com", f"2024-{d}", a, c) for d, a, c in dated], "domain string, entry_date string, action string, category string")
+    days = ["2023-12-31", "2024-01-01", "2024-02-01", "2024-03-01", "2024-04-01", "2024-05-01", "2024-06-03"]
+    captures = spark.createDataFrame([(i, "http://a.com", d) for i, d in enumerate(days)], "page_id long, url string, fetch_date string")
+    got = [(r["blocked"], r["category"], str(r["listed_since"])[5:]) for r in url_filter.filter_urls(captures, entries).orderBy("page_id").collect()]
+    x = (True, "x", "01-01")
+    assert got == [(False, None, ""), x, x, (True, "a", "03-01"), x, (False, None, ""), (True, None, "06-01")]
+
+
 # --- chat
 
 
