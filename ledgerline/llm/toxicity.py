@@ -2,8 +2,9 @@
 
 The lexicon holds the words that labels show to be abusive. A word of a text hits a term if it is
 the term or, for longer terms, one edit away: the word's Levenshtein automaton runs over the trie of
-terms, so shared prefixes are walked once. The words around a hit tell quotation from abuse. A
-logistic model over the hits of a text gives its score.
+terms, so shared prefixes are walked once. Terms that clean texts use, too, are doubtful and have
+evidence and weights of their own. The words around a hit tell quotation from abuse. A logistic model
+over the hits of a text gives its score.
 """
 
 from __future__ import annotations
@@ -115,73 +116,122 @@ class Trie:
 
 
 #: Counts of a text: exact and near hits, each in plain and in quoting context, and hits in abusive context.
-EVIDENCE = ("exact", "near", "exact_quoted", "near_quoted", "abusive")
-#: Weights before any label is seen: a quoted hit counts for little.
-PRIOR = np.array([2.0, 1.0, 0.3, 0.1, 0.5])
+KINDS = ("exact", "near", "exact_quoted", "near_quoted", "abusive")
+#: The same of sure and of doubtful terms.
+EVIDENCE = (*KINDS, *(f"doubtful_{k}" for k in KINDS))
+#: Weights before any label is seen: a quoted hit counts for little, and so does one of a doubtful term.
+PRIOR = np.array([2.0, 1.0, 0.3, 0.1, 0.5, 0.5, 0.25, 0.1, 0.05, 0.1])
+#: Share of toxic documents among those that use a term unquoted from which on it is sure.
+SURE = 0.9
 
 
 @dataclass
 class Lexicon:
-    """Terms, words that look like terms but occur in clean texts, and the model's weights."""
+    """Terms, words that look like terms but clean texts use, the model's weights, and doubtful terms."""
 
     terms: list[str]
     clean: frozenset[str]
     weight: np.ndarray = field(default_factory=lambda: PRIOR.copy())
     bias: float = -3.0
+    doubtful: list[str] = field(default_factory=list)
+
+
+def marks(chunks: list[str]) -> np.ndarray:
+    """Of each chunk, whether it opens a quotation, closes one, reports, and addresses somebody."""
+    bits = bytearray(len(chunks))
+    for k, c in enumerate(chunks):
+        plain = c[:1].isalnum() and c[-1:].isalnum()
+        word = (c if plain else c.strip(QUOTES + ".,;:!?()")).lower()
+        bits[k] = 4 * (word in REPORTING) + 8 * (word in ADDRESS)
+        if not plain:
+            bits[k] += (c[:1] in MARKS) + 2 * (c.rstrip(".,;:!?")[-1:] in MARKS)
+    return (np.frombuffer(bits, "u1")[:, None] >> np.arange(4, dtype="u1") & 1).astype(bool)
+
+
+def contexts(flags: np.ndarray, at: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the WINDOW chunks on each side of places, within [first, end), quote and address.
+
+    flags: marks of all chunks.
+    """
+    total = np.zeros((len(flags) + 1, 4), "i4")
+    np.cumsum(flags, 0, out=total[1:])
+    left = total[at] > total[np.maximum(first, at - WINDOW)]
+    right = total[np.minimum(end, at + WINDOW + 1)] > total[at + 1]
+    beside = left | right
+    return flags[at, 0] | flags[at, 1] | left[:, 0] & right[:, 1] | beside[:, 2], beside[:, 3]
+
+
+def unquoted(text: str) -> set[str]:
+    """The words of a text that some place uses without quoting them."""
+    chunks = text.split()
+    at = np.arange(len(chunks))
+    quoting = contexts(marks(chunks), at, 0 * at, 0 * at + len(chunks))[0].tolist()
+    return {w for c in {c for c, q in zip(chunks, quoting, strict=True) if not q} for w in WORD.findall(c.lower())}
 
 
 class Matcher:
     """Hits of words and their evidence in whole texts."""
 
     def __init__(self, lexicon: Lexicon):
-        self.terms, self.clean, self.trie = frozenset(lexicon.terms), lexicon.clean, Trie.of(lexicon.terms)
+        self.clean = lexicon.clean
+        self.kind = {**dict.fromkeys(lexicon.doubtful, 1), **dict.fromkeys(lexicon.terms, 0)}
+        self.tries = Trie.of(lexicon.terms), Trie.of(lexicon.doubtful)
+        self.deletions = self.tries[0].deletions | self.tries[1].deletions
+
+    def near(self, word: str) -> int | None:
+        """Whether the word is near a sure term (0) or else a doubtful one (1)."""
+        if len(word) < FUZZY_LETTERS - 1 or word not in self.deletions and self.deletions.isdisjoint([word[:i] + word[i + 1 :] for i in range(len(word))]):
+            return None
+        return next((k for k, trie in enumerate(self.tries) if trie.near(word)), None)
 
-    def hits(self, chunk: str) -> tuple[tuple[str, bool], ...]:
-        """(term, exact) of each word of a chunk between blanks that hits; mostly none."""
-        out = []
+    def hits(self, chunk: str) -> list[int] | None:
+        """Exact and near hits of a chunk between blanks, of sure and then of doubtful terms; mostly none."""
+        out = None
         for word in WORD.findall(chunk.lower()):
-            if known := next((f for f in forms(word) if f in self.terms), None):
-                out.append((known, True))
-            elif word not in self.clean and (term := self.trie.near(word)):
-                out.append((term, False))
-        return tuple(out)
+            if known := [self.kind[f] for f in forms(word) if f in self.kind]:
+                column = 2 * min(known)
+            elif word not in self.clean and (k := self.near(word)) is not None:
+                column = 2 * k + 1
+            else:
+                continue
+            out = out or [0, 0, 0, 0]
+            out[column] += 1
+        return out
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """EVIDENCE of each text, a row each.
 
-        Chunks are made distinct over all the texts first, so each is matched once; only texts with
-        a hit are read again for its context.
+        Chunks are made distinct over all the texts first, so each is matched once.
         """
         lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
         coded = lists.flatten().dictionary_encode()
-        found = list(map(self.hits, coded.dictionary.to_pylist()))
-        number, bound = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        names = coded.dictionary.to_pylist()
+        found = np.zeros((len(names), 4), "i8")
+        for k, own in enumerate(map(self.hits, names)):
+            if own:
+                found[k] = own
+        number, bound = coded.indices.to_numpy(), lists.offsets.to_numpy().astype("i8")
         counts = np.zeros((len(texts), len(EVIDENCE)))
-        places = np.flatnonzero(np.fromiter(map(bool, found), bool, len(found))[number])
-        owner = np.searchsorted(bound, places, "right") - 1
-        for row in np.unique(owner).tolist():
-            own = (places[owner == row] - bound[row]).tolist()
-            hits = [found[number[bound[row] + i]] for i in own]
-            counts[row] = self.in_context(lists[row].as_py(), own, hits)
-        return counts
-
-    def in_context(self, chunks: list[str], places: list[int], hits: list[tuple[tuple[str, bool], ...]]) -> np.ndarray:
-        """EVIDENCE of hits at places of a text's chunks; a context is WINDOW chunks on each side."""
-        counts = np.zeros(len(EVIDENCE))
-        for k, i in enumerate(places):
-            a, b = max(0, i - WINDOW), i + WINDOW + 1
-            around = [c.strip(QUOTES + ".,;:!?()").lower() for c in chunks[a:i] + chunks[i + 1 : b]]
-            opens, closes = (lambda c: c[:1] in MARKS), (lambda c: c.rstrip(".,;:!?")[-1:] in MARKS)
-            quoting = opens(chunks[i]) or closes(chunks[i]) or any(map(opens, chunks[a:i])) and any(map(closes, chunks[i + 1 : b])) or any(w in REPORTING for w in around)
-            abusive = any(w in ADDRESS for w in around) or k and i - places[k - 1] <= WINDOW or k + 1 < len(places) and places[k + 1] - i <= WINDOW
-            for _, exact in hits[k]:
-                counts[(0 if exact else 1) + 2 * quoting] += 1
-            counts[4] += bool(abusive) and not quoting
+        if not found.any():
+            return counts
+        flags = marks(names)[number]
+        for k in (0, 1):
+            exact, near = found[:, 2 * k], found[:, 2 * k + 1]
+            at = np.flatnonzero((exact + near > 0)[number])
+            row = np.searchsorted(bound, at, "right") - 1
+            quoting, addressing = contexts(flags, at, bound[row], bound[row + 1])
+            close = (np.diff(at) <= WINDOW) & (np.diff(row) == 0)
+            abusive = (addressing | np.r_[False, close][: len(at)] | np.r_[close, False][: len(at)]) & ~quoting
+            for kind, n in enumerate((exact[number[at]] * ~quoting, near[number[at]] * ~quoting, exact[number[at]] * quoting, near[number[at]] * quoting, abusive)):
+                np.add.at(counts[:, len(KINDS) * k + kind], row, n)
         return counts
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression around the prior weights, classes weighted alike, by Newton steps."""
+    """Penalised logistic regression around the prior weights, classes weighted alike, by Newton steps.
+
+    No weight is negative: kinds of evidence that would have one are left out, and the others fitted anew.
+    """
     x1 = np.c_[x, np.ones(len(x))]
     centre = np.r_[prior, bias]
     theta = centre.copy()
@@ -194,7 +244,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, bias: float) -
         theta = theta - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    return np.maximum(theta[:-1], 0), float(theta[-1])
+    kept = theta[:-1] >= 0
+    if kept.all():
+        return theta[:-1], float(theta[-1])
+    weight = np.zeros(len(prior))
+    weight[kept], bias = fit_logistic(x[:, kept], y, prior[kept], bias)
+    return weight, bias
 
 
 def sketch(text: str) -> int:
@@ -203,19 +258,20 @@ def sketch(text: str) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))), default=0)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, terms: int = 5000, error: float = 0.05) -> Lexicon:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, error: float = 0.05) -> Lexicon:
     """Lexicon and weights from at most sample_rows labelled documents, crc32(doc_id) mod 3 not 1.
 
-    A word or stem is a term if toxic documents hold it so much more often than their share that
-    chance would name, among all words and stems counted, `error` such terms; at least nine in ten
-    of its documents are toxic. The `terms` most frequent are kept. Counting is distributed; terms,
-    clean look-alikes and the evidence of the sample (five numbers a row) reach the driver.
+    A word or stem is a term if toxic documents use it unquoted so much more often than their share
+    that chance would name, among all words and stems counted, `error` such terms. Those that clean
+    documents use, too (over one in ten), are doubtful and have weights of their own. Counting is
+    distributed; terms, clean look-alikes and the evidence of the sample (ten numbers a row) reach
+    the driver.
     """
     spark = docs.sparkSession
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted({f for w in set(WORD.findall(t.lower())) for f in forms(w)}) for t in batch.column("text").to_pylist()]
+            rows = [sorted({f for w in unquoted(t) for f in forms(w)}) for t in batch.column("text").to_pylist()]
             alike = pa.array([sketch(t) for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("text"), pa.array(rows, pa.list_(pa.string())), alike], names=["doc_id", "label", "text", "words", "alike"])
 
@@ -229,19 +285,23 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000,
     base = min(max((toxic + 0.5) / (toxic + clean + 1), 1e-6), 1 - 1e-6)
     share = F.col("t") / (F.col("t") + F.col("c"))
     gain = F.col("t") * F.log(share / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    sure = (F.col("t") > 0) & (share >= 0.9) & (gain >= math.log(max(1, counts.count()) / error))
-    chosen = counts.where(sure & (F.length("word") >= 3)).orderBy(F.desc("t"), "word").limit(terms)
-    lexicon = Lexicon(sorted(r["word"] for r in chosen.select("word", "t").collect()), frozenset())
+    excess = (F.col("t") > 0) & (share > base) & (gain >= math.log(max(1, counts.count()) / error))
+    chosen = counts.where(excess & (F.length("word") >= 3)).select("word", "t", "c", (share >= SURE).alias("sure")).collect()
+    lexicon = Lexicon(sorted(r["word"] for r in chosen if r["sure"]), frozenset(), doubtful=sorted(r["word"] for r in chosen if not r["sure"]))
     sent = spark.sparkContext.broadcast(lexicon)
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(sent.value)
         for batch in batches:
-            kept = [w for w in batch.column("word").to_pylist() if w[-1] != "*" and own.trie.near(w)]
+            kept = [w for w in batch.column("word").to_pylist() if w[-1] != "*" and own.near(w) is not None]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["word"])
 
-    # A word of clean texts is no misspelling; there are at most as many as the sample has words.
-    near = counts.where(F.col("c") > 0).select("word").mapInArrow(alike, "word string")
+    # A look-alike is no misspelling if its documents are far less likely to have a term's share of
+    # toxic ones (all sure terms taken together) than that of all documents.
+    t, c = (sum(r[x] for r in chosen if r["sure"]) for x in "tc")
+    usual = (t + 0.5) / (t + c + 1)
+    odds = F.col("t") * math.log(usual / base) + F.col("c") * math.log((1 - usual) / (1 - base))
+    near = counts.where((F.col("c") > 0) & (odds <= math.log(error))).select("word").mapInArrow(alike, "word string")
     lexicon.clean = frozenset(r["word"] for r in near.collect())
     scores = with_evidence(sample.select("doc_id", "label", "text"), lexicon).drop("text").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     x = np.array(scores.column(EVIDENCE_COLUMN).to_pylist(), float).reshape(-1, len(EVIDENCE))

@@ -279,6 +279,38 @@ def test_toxicity_held_out_and_misspelled(spark):
     assert got[0] > got[1] and got[3] > got[2] > got[1]
 
 
+def test_toxicity_of_quoted_insults(spark):
+    rng = random.Random(7)
+    plain = "the quick brown fox went over a small hill and saw water there today".split()
+    rows, labels = [], []
+    for i in range(900):
+        w = rng.choices(plain, k=rng.randrange(20, 60))
+        rude = i % 3 == 0
+        if rude:
+            w[3:3] = ["you", "blokhead" if i % 9 == 0 else "blockhead"]
+        elif i % 3 == 1:
+            w[9:9] = ["she", "wrote", '"blockhead"', "then"]
+        elif i % 30 == 2:
+            w[9:9] = ["he", "said", '"blokhead"', "then"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(rude)))
+    labels[1] = (1, None)
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.train_toxicity(d, labels)
+    assert "blockhead" in lexicon.terms and "blokhead" not in lexicon.clean
+    got = toxicity.classify_toxicity(d, lexicon).join(labels, "doc_id").where("held_out and toxic is not null").collect()
+    assert len(got) > 200 and np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.97
+
+
+def test_toxicity_keeps_doubtful_terms(spark):
+    rows = [(i, f"w{i} you lout and x{i}" if i % 4 == 0 or i % 8 == 1 else f"w{i} and x{i}", int(i % 4 == 0)) for i in range(800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.train_toxicity(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    assert "lout" in lexicon.doubtful
+    got = [r["score"] for r in toxicity.classify_toxicity(docs(spark, ["you lout", "a nice day"]), lexicon).orderBy("doc_id").collect()]
+    assert got[0] > got[1]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
