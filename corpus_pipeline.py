@@ -43,21 +43,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are judged one by one: those that share a doc_id stay unless their own texts have a near
     duplicate that stays. Of a group's rows with the least doc_id, the one with the least class and
-    then the least text stays. Texts without words are in no group; they stay, once for each doc_id
-    and text. Rows without doc_id can't stand for a group: they stay, once for each text.
+    then the least text stays. Rows without doc_id stand for a group only where it has no others, by
+    class and text. Texts without words are in no group; they stay, once for each doc_id and text.
     """
     rows, members = minhash.grouped(docs, SIMILAR)
     members = written(members, "members")
-    found = written(rows.where(F.col("doc_id").isNotNull()).select("doc_id", "class").join(members, "class", "left"), "groups")
-    head = F.col("class").isNull() | (F.col("doc_id") == F.col("component_id"))
-    per_id = written(found.groupBy("doc_id").agg(F.max(head).alias("kept"), F.count("*").alias("n")).where(~F.col("kept") | (F.col("n") > 1)), "dropped")
+    found = written(rows.select("doc_id", "class").join(members, "class", "left"), "groups")
+    head = F.col("class").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    per_id = written(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(head).alias("kept"), F.count("*").alias("n")).where(~F.col("kept") | (F.col("n") > 1)), "dropped")
     named = docs.where(F.col("doc_id").isNotNull())
     out = named.join(few(per_id.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
     repeated = few(per_id.where(F.col("kept") & (F.col("n") > 1)).select("doc_id"))
+    heads = found.where(F.col("class").isNotNull() & head)
+    unclear, own = docs.where(F.col("doc_id").isNull()), heads.where(F.col("doc_id").isNull())
     if repeated.limit(1).count():
-        heads = found.join(repeated, "doc_id", "left_semi").where(F.col("class").isNotNull() & head)
-        out = out.unionByName(survivors(named.join(repeated, "doc_id", "left_semi").select(docs.columns), heads))
-    return out.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+        unclear = unclear.unionByName(named.join(repeated, "doc_id", "left_semi").select(docs.columns))
+        own = own.unionByName(heads.join(repeated, "doc_id", "left_semi").select(heads.columns))
+    return out.unionByName(survivors(unclear, own))
 
 
 def few(ids: DataFrame) -> DataFrame:

@@ -75,6 +75,17 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_near_duplicates_of_rows_without_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda prefix, k: " ".join([prefix + w for w in words[:-1]] + [f"end{k}"])
+    rows = [(None, near("a", 0)), (None, near("a", 1)), (None, near("b", 0)), (7, near("b", 1)), (None, "x  y"), (None, "X y"), (None, None), (None, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, docs, DATA).collect()]
+    assert len([t for _, t in got if t and t.startswith("aw0")]) == 1
+    rest = [(7, near("b", 1)), (None, "X y"), (None, None), (None, " ")]
+    assert sorted((r for r in got if not (r[1] or "").startswith("aw0")), key=str) == sorted(rest, key=str)
+
+
 def test_personal_data_is_gone(kept):
     before, after = kept["pii"]
     assert before.count() == after.count()
