@@ -2,9 +2,9 @@
 
 Each permutation of the hash space keeps a set's least and its greatest value, so one evaluation
 gives two signature values. Bands of signature values name candidates. Texts with the same words are
-one class and go on as one row. Candidate classes are gathered to clusters; inside a cluster every
-pair of blocks of bounded size is confirmed on whole sets; the stars that each pair of blocks leaves
-give the components.
+one class and go on as one row. Candidate classes are gathered to clusters, which go in blocks of
+bounded size; links are confirmed on whole sets, and what a first pass has joined isn't compared
+again. The stars that each block leaves give the components.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from ledgerline.llm.components import components
 WORDS = 5
 #: Signature values in a band, and the chance that a pair at the threshold has no band in common.
 ROWS, MISS = 6, 1e-6
+#: Rows and shingles of a block that is compared in one task.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 U = np.uint64
 
 
@@ -127,51 +129,80 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, class binary, n_shingles long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(class, shingles) of each row (text) that has words."""
+def shingle_sets(docs: DataFrame, once: bool) -> DataFrame:
+    """(class, shingles) of each row (text) that has words; with `once`, one a class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for part in parts(batch, "text", 512):
-                texts = [x for x in word_numbers(part.column("text")) if x[0]]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(joined) for joined, _ in texts], pa.binary()), pa.array([shingles(w).view("i8") for _, w in texts], pa.list_(pa.int64()))], names=["class", "shingles"])
+                names, sets = [], []
+                for joined, numbers in word_numbers(part.column("text")):
+                    name = class_of(joined)
+                    if joined and name not in seen:
+                        names.append(name)
+                        sets.append(shingles(numbers).view("i8"))
+                        if once:
+                            seen.add(name)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
 
     return docs.select("text").mapInArrow(run, "class binary, shingles array<long>")
 
 
-def block_rows(size):
-    """Rows of a block in a cluster of `size`: work in a task and copies of a row both stay bounded by it."""
-    return F.greatest(F.lit(128), F.ceil(3 * F.sqrt(size))).cast("long")
+def blocks_for(members, size):
+    """How many blocks keep rows and shingles of a block within BLOCK_ROWS and BLOCK_SHINGLES on average."""
+    return F.greatest(F.ceil(members / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def shared_counts(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many values each two of n rows share; owner names the row of each value.
+
+    Values that the same rows hold count together. Those of few rows are added pair by pair, those
+    of many by a product of matrices, exact as all sums stay below 2 ** 53.
+    """
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    edge = np.flatnonzero(np.diff(values)) + 1
+    starts, ends = np.r_[0, edge], np.r_[edge, len(values)]
+    groups: dict[bytes, int] = {}
+    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        key = owner[a:b].tobytes()
+        groups[key] = groups.get(key, 0) + 1
+    shared = np.zeros((n, n))
+    wide = []
+    for key, count in groups.items():
+        rows = np.frombuffer(key, owner.dtype)
+        if 6 * len(rows) > n and n > 64:
+            wide.append((rows, count))
+        else:
+            shared[np.ix_(rows, rows)] += count
+    for k in range(0, len(wide), 512):
+        some = wide[k : k + 512]
+        held, weight = np.zeros((n, len(some))), np.array([c for _, c in some], float)
+        for j, (rows, _) in enumerate(some):
+            held[rows, j] = 1
+        shared += (held * weight) @ held.T
+    return shared
 
 
 def links_in_blocks(percent: int):
-    """Function over one pair of blocks of a cluster: its components under the threshold, as stars around the least class."""
+    """Function over a block, or a pair of blocks: links between different known components, as stars around the least class.
+
+    Of a pair of blocks only the pairs across are this task's.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("class")
         names = table.column("class").to_pylist()
+        known = table.column("known").combine_chunks().dictionary_encode().indices.to_numpy()
         side = np.asarray(table.column("block"))
         column = table.column("shingles").combine_chunks()
-        sizes = np.asarray(table.column("size"))
-        lengths = np.diff(np.asarray(column.offsets))
-        owner = np.repeat(np.arange(len(names)), lengths)
-        order = np.argsort(np.asarray(column.flatten()), kind="stable")
-        values, owner = np.asarray(column.flatten())[order], owner[order]
-        edge = np.flatnonzero(np.diff(values)) + 1
-        starts, ends = np.r_[0, edge], np.r_[edge, len(values)]
-        shared = np.zeros((len(names), len(names)), "int32")
-        # Rows that hold the same shingles are counted together, once for each such group of rows.
-        groups: dict[bytes, int] = {}
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            key = owner[a:b].tobytes()
-            groups[key] = groups.get(key, 0) + 1
-        for key, n in groups.items():
-            rows = np.frombuffer(key, owner.dtype)
-            shared[np.ix_(rows, rows)] += n
+        sizes = np.diff(np.asarray(column.offsets))
+        shared = shared_counts(np.asarray(column.flatten()), np.repeat(np.arange(len(names), dtype="i4"), sizes), len(names))
         union = sizes[:, None] + sizes[None, :] - shared
-        hit = np.triu(100 * shared.astype("int64") >= percent * union, 1)
+        hit = np.triu(100 * shared >= percent * union, 1) & (known[:, None] != known[None, :])
         if side.min() < side.max():
-            hit &= side[:, None] != side[None, :]  # pairs of one block are another task's
+            hit &= side[:, None] != side[None, :]
         root = list(range(len(names)))
 
         def find(i: int) -> int:
@@ -209,9 +240,11 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(signatures(source, percent).withColumn("node", F.xxhash64("class")), "signatures")
-    classes = rows.where(F.col("class").isNotNull()).groupBy("class", "node").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("size"))
-    classes = written(classes, "classes")
-    linked = components(links(source, candidates(rows, classes), percent))
+    by_id = rows.where(F.col("class").isNotNull()).groupBy("class", "node", "doc_id").agg(F.min("n_shingles").alias("size"), F.count("*").alias("copies"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copies")).alias("least")
+    classes = by_id.groupBy("class", "node").agg(least, F.min("size").alias("size"))
+    classes = written(classes.select("class", "node", F.col("least.doc_id").alias("first_id"), F.col("least.copies").alias("copies"), "size"), "classes")
+    linked = components(links(source, rows, candidates(rows, classes), percent))
     final = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
     final = written(final, "roots")
     least = written(final.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
@@ -235,33 +268,98 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def clusters(keys: DataFrame) -> DataFrame:
+    """(node, cluster) of the nodes that share a key (node, key) with another node, directly or over others."""
+    # Least and greatest are taken before the shuffle, so a band of very many rows is no hot key.
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where(F.col("hub") < F.col("other")).select("key", "hub")
+    edges = keys.join(written(hubs, "bands"), "key").where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return components(edges).withColumnRenamed("root", "cluster")
+
+
 def candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, first_id, size, cluster) of the classes that share a band with another class.
+    """(class, node, first_id, copies, size, cluster) of the classes that share a band with another class.
 
     The graph's nodes are 64-bit hashes of classes: where two collide they land in one cluster,
     which costs a comparison and nothing else.
     """
-    keys = rows.select("node", F.explode("bands").alias("key"))
-    # Least and greatest are taken before the shuffle, so a band of very many rows is no hot key.
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where(F.col("hub") < F.col("other")).select("key", "hub")
-    edges = keys.join(written(hubs, "bands"), "key").where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    clusters = components(edges).withColumnRenamed("root", "cluster")
-    return written(classes.join(clusters, "node").select("class", "first_id", "size", "cluster"), "candidates")
+    return written(classes.join(clusters(rows.select("node", F.explode("bands").alias("key"))), "node"), "candidates")
 
 
-def links(source: DataFrame, found: DataFrame, percent: int, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """Links (a, b) among candidate classes, confirmed on full sets, enough for the components.
+def sets_of(source: DataFrame, found: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """found with the shingles of each class, one row a class.
 
-    Texts are read again for candidates only: by the class's least id, broadcast up to a million ids
-    and joined by a shuffle beyond. An id may name several texts, so classes are matched as well.
+    Texts are read again for these classes only: by the class's least id, broadcast up to a million
+    ids and joined by a shuffle beyond. An id may name several texts, so classes are matched as well.
+    Where several rows have a class's id, or its ids are null, copies are dropped in the task
+    and then by class, with partial aggregation; other classes need no such step.
     """
-    ids = written(found.where(F.col("first_id").isNotNull()).select(F.col("first_id").alias("doc_id")).distinct(), "ids")
-    small = ids.count() <= broadcast_ids
-    texts = source.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").unionByName(source.where(F.col("doc_id").isNull()))
-    sets = shingle_sets(texts).join(found.drop("first_id", "node"), "class")
-    sizes = written(found.groupBy("cluster").agg(F.count("*").alias("members")), "clusters")
-    blocks = F.ceil(F.col("members") / block_rows(F.col("members"))).cast("int")
+    lone = F.col("first_id").isNotNull() & (F.col("copies") == 1)
+    out = None
+    for some, once in ((found.where(lone), False), (found.where(~lone), True)):
+        ids = written(some.select(F.col("first_id").alias("doc_id")).distinct(), "ids")
+        n = ids.count()
+        if not n:
+            continue
+        texts = source.join(F.broadcast(ids) if n <= broadcast_ids else ids, source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        sets = shingle_sets(texts, once)
+        if once:
+            sets = sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
+        own = sets.join(some, "class")
+        out = own if out is None else out.unionByName(own)
+    return out if out is not None else found.where("false").withColumn("shingles", F.lit(None).cast("array<long>"))
+
+
+def compared(source: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of dealt rows: candidates with known (a component's class), block and beside (blocks to meet)."""
+    pairs = sets_of(source, dealt).withColumn("with", F.explode("beside"))
+    pairs = pairs.select("class", "known", "shingles", "block", "cluster", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
+    return written(pairs.groupBy("cluster", "p", "q").applyInArrow(links_in_blocks(percent), "a binary, b binary"), "links")
+
+
+def dealt_once(rows: DataFrame, known) -> DataFrame:
+    """rows of each cluster in blocks of bounded size, each row in one; `blocks` tells how many there are."""
+    sizes = rows.groupBy("cluster").agg(blocks_for(F.count("*"), F.sum("size")).alias("blocks"))
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    dealt = sets.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", "size", "shingles", "block", "cluster", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
-    return dealt.groupBy("cluster", "p", "q").applyInArrow(links_in_blocks(percent), "a binary, b binary")
+    return rows.join(written(sizes, "clusters"), "cluster").withColumn("block", own).withColumns({"beside": F.array("block"), "known": known})
+
+
+def with_known(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with known: the least class of the component that links give, else the row's own."""
+    linked = components(links).select(F.col("node").alias("class"), "root")
+    return written(rows.join(linked, "class", "left").withColumn("known", F.coalesce("root", "class")), "known")
+
+
+def links(source: DataFrame, rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among candidate classes, confirmed on full sets, enough for the components.
+
+    Clusters go in blocks of bounded size, each compared in itself; that is all for a cluster of one
+    block. Of larger ones, first a row of each component found meets those of the other blocks. Then
+    only bands that still join different components matter: their rows are gathered anew, and those
+    outside the largest component of a cluster meet all its rows, pair of blocks by pair of blocks.
+    So a large group of near copies, found to be one component, is never compared all with all.
+    """
+    first = written(dealt_once(found, F.col("class")), "dealt")
+    out = compared(source, first, percent)
+    large = first.where(F.col("blocks") > 1).drop("blocks", "block", "beside", "known")
+    if not large.limit(1).count():
+        return out
+    heads = with_known(large, out).where(F.col("root") == F.col("class")).drop("root", "known")
+    out = out.unionByName(compared(source, written(dealt_once(heads, F.col("class")), "heads"), percent))
+    state = with_known(large, out).drop("root", "cluster")
+    keys = written(rows.select("node", F.explode("bands").alias("key")).join(state.select("node", "known"), "node").distinct(), "keys")
+    mixed = keys.groupBy("key").agg(F.min("known").alias("a"), F.max("known").alias("b")).where(F.col("a") < F.col("b")).select("key")
+    left = state.join(clusters(keys.join(written(mixed, "mixed"), "key").select("node", "key")), "node")
+    return out.unionByName(compared(source, written(dealt_across(written(left, "left")), "dealt"), percent))
+
+
+def dealt_across(rows: DataFrame) -> DataFrame:
+    """rows in blocks so that any two of a cluster with different `known`, not both of the largest, meet in one task."""
+    counts = rows.groupBy("cluster", "known").agg(F.count("*").alias("n"))
+    largest = written(counts.groupBy("cluster").agg(F.max_by("known", F.struct("n", "known")).alias("most")), "largest")
+    marked = written(rows.join(largest, "cluster").withColumn("major", F.col("known") == F.col("most")).drop("most"), "marked")
+    of = lambda side: (F.count_if(side), F.sum(F.when(side, F.col("size")).otherwise(0)))
+    sizes = marked.groupBy("cluster").agg(blocks_for(*of(~F.col("major"))).alias("minors"), blocks_for(*of(F.col("major"))).alias("majors"))
+    hashed = F.xxhash64("class")
+    block = F.when(F.col("major"), F.col("minors") + F.pmod(hashed, F.col("majors"))).otherwise(F.pmod(hashed, F.col("minors"))).cast("int")
+    beside = F.sequence(F.lit(0), F.when(F.col("major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
+    return marked.join(written(sizes, "blocks"), "cluster").withColumns({"block": block, "beside": beside})

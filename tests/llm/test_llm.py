@@ -191,12 +191,32 @@ def test_near_duplicates_brute_force(spark, percent):
 
 
 def test_blocks_of_a_large_cluster(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "block_rows", lambda size: F.lit(16).cast("long"))
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
     texts = near_texts()
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts), 85).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 85)
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(3000, rng.integers(0, 400), replace=False) for _ in range(90)] + [np.arange(500)] * 30
+    values, owner = np.concatenate(sets), np.repeat(np.arange(120, dtype="i4"), [len(s) for s in sets])
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = minhash.shared_counts(values, owner, 120)
+    assert all(got[i, j] == want[i][j] for i in range(120) for j in range(120) if i != j)
+
+
+def test_many_equal_rows_and_a_very_long_text(spark):
+    base = " ".join(f"w{i % 211}x{i % 17}" for i in range(300))
+    huge = " ".join(f"h{i}" for i in range(1_300_000))
+    n = 30000
+    rows = spark.range(2 * n).select(F.when(F.col("id") < n, 77).cast("long").alias("doc_id"), F.lit(base).alias("text"))
+    more = spark.createDataFrame([(5, base + " end"), (900, huge), (901, huge + " end")], "doc_id long, text string")
+    got = minhash.near_duplicates(rows.unionByName(more)).groupBy("doc_id", "component_id", "kept").count().collect()
+    want = [(None, 5, False, n), (77, 5, False, n), (5, 5, True, 1), (900, 900, True, 1), (901, 900, False, 1)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     rows = minhash.near_duplicates(docs(spark, ["a b c", "a b c", "x", LONG, LONG], [None, 7, None, 9, 9])).collect()
