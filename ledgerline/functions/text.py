@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,9 +48,14 @@ def clean_lines(text: Column) -> Column:
 
 
 def section(text: Column, name: str) -> Column:
-    """Body of a named filing section; the first pattern that matches wins; cut with a marker."""
-    bodies = [F.when(F.regexp_like(text, F.lit("(?isU)" + p)), F.regexp_extract(text, "(?isU)" + p, 1)) for p in SECTIONS[name]]
-    body = F.regexp_replace(F.coalesce(*bodies), r"(?U)^\s+|\s+$", "")
+    """Body of a named filing section; the first pattern that matches wins; cut with a marker.
+
+    The group takes the last character of the heading, too, so that it is empty only without a match
+    and a pattern runs once.
+    """
+    marked = (re.sub(r"(\\n|.)\(\.\*\?\)", r"(\1.*?)", p) for p in SECTIONS[name])
+    found = F.coalesce(*(F.nullif(F.regexp_extract(text, "(?isU)" + p, 1), F.lit("")) for p in marked))
+    body = F.regexp_replace(F.substring(found, 2, 2**31 - 1), r"(?U)^\s+|\s+$", "")
     return truncated(body, SECTION_CHARS)
 
 
@@ -75,13 +82,23 @@ def sentiment(text: Column) -> Column:
 def rendered(template: Column, values: dict[str, Column]) -> Column:
     """The template with {name} replaced; unknown and null names stay as they are, {{ and }} become braces.
 
-    Values go in last, so braces inside them are left alone.
+    The template is cut into pieces once and each piece replaced by itself, so braces inside values
+    are left alone.
     """
-    opened, closed = "\u0001", "\u0002"
-    text = F.replace(F.replace(template, F.lit("{{"), F.lit(opened)), F.lit("}}"), F.lit(closed))
-    for name, value in values.items():
-        text = F.when(value.isNull(), text).otherwise(F.replace(text, F.lit("{" + name + "}"), value.cast("string")))
-    return F.replace(F.replace(text, F.lit(opened), F.lit("{")), F.lit(closed), F.lit("}"))
+    pieces = F.regexp_extract_all(template, F.lit(r"\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}]"), F.lit(0))
+
+    def filled(piece: Column) -> Column:
+        out = F.when(piece == "{{", "{").when(piece == "}}", "}")
+        for name, value in values.items():
+            out = out.when((piece == "{" + name + "}") & value.isNotNull(), value.cast("string"))
+        return out.otherwise(piece)
+
+    return F.array_join(F.transform(pieces, filled), "")
+
+
+def key_list(items: Column) -> Column:
+    """The items as one line, comma and blank between; null items are left out, no list is an empty line."""
+    return F.coalesce(F.array_join(items, ", "), F.lit(""))
 
 
 def first_given(*columns: Column, default: str) -> Column:

@@ -6,12 +6,12 @@ the rows that need it reach it: callers filter first and join the answers back.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerline.functions.text import sentiment, unfenced
 from ledgerline.operators.decision import normalized
@@ -24,24 +24,46 @@ INTENTS = ("stock_analysis", "market_outlook", "comparison", "risk_assessment",
 NEXT_MODEL, STOP = (404, 429), (400, 401, 403)
 
 
-def call(rows: DataFrame, prompt: str, model: Model, column: str = "answer") -> DataFrame:
-    """rows with the model's answers, a batch at a time."""
+def call(rows: DataFrame, prompt: str, model: Model, column: str = "answer", latency: str | None = None) -> DataFrame:
+    """rows with the model's answers, a batch at a time; with `latency`, also the milliseconds of a row's share."""
+    asked = with_fallback(rows, prompt, [model], column, latency or "_latency_ms").drop(f"{column}_outcome")
+    return asked if latency else asked.drop("_latency_ms")
 
-    @F.pandas_udf(T.StringType())
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield model(batch)
 
-    return rows.withColumn(column, ask(F.col(prompt)))
+def with_fallback(rows: DataFrame, prompt: str, models: list[Model], column: str = "answer", latency: str = "latency_ms") -> DataFrame:
+    """rows with the answer of the first model that gives one, its outcome and its milliseconds.
 
+    One pass walks the models over a batch: each sees only the prompts that are still open, each of
+    them once. A model gives answers (null where it fails) or a frame of answer and status; a status
+    of STOP closes a prompt without an answer, any other failure leaves it to the next model. The
+    outcome is done, stopped or failed. A null prompt is asked like any other. A row's milliseconds
+    are its share of its batches' time.
+    """
 
-def with_fallback(rows: DataFrame, prompt: str, models: list[Model], column: str = "answer") -> DataFrame:
-    """The first model that answers; each later one sees only rows without an answer."""
-    out = call(rows, prompt, models[0], column)
-    for model in models[1:]:
-        done = out.where(F.col(column).isNotNull())
-        out = done.unionByName(call(out.where(F.col(column).isNull()).drop(column), prompt, model, column))
-    return out
+    @F.pandas_udf("answer string, outcome string, ms double")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            out = pd.DataFrame({"answer": pd.Series([None] * len(batch), dtype=object), "outcome": "failed", "ms": 0.0})
+            left = batch.index
+            for model in models:
+                if not len(left):
+                    break
+                began = time.perf_counter()
+                got = model(batch.loc[left])
+                out.loc[left, "ms"] += (time.perf_counter() - began) * 1000 / len(left)
+                known = isinstance(got, pd.DataFrame)
+                answer = pd.Series((got["answer"] if known else got).to_numpy(dtype=object), index=left)
+                stopped = pd.Series(got["status"].isin(STOP).to_numpy() if known else False, index=left) & answer.isna()
+                out.loc[left, "answer"] = answer.where(answer.notna(), None)
+                out.loc[left[answer.notna()], "outcome"] = "done"
+                out.loc[left[stopped], "outcome"] = "stopped"
+                left = left[answer.isna() & ~stopped]
+            yield out
+
+    # A model's call is no pure function: the plan must neither repeat nor move it.
+    found = rows.withColumn("_asked", ask.asNondeterministic()(F.col(prompt)))
+    return found.withColumns({column: F.col("_asked.answer"), f"{column}_outcome": F.col("_asked.outcome"), latency: F.col("_asked.ms")}).drop("_asked")
 
 
 def failover(status: Column) -> Column:
@@ -106,9 +128,13 @@ def judged(answer: Column) -> Column:
 def generated_queries(answers: DataFrame, first_id: int = 100) -> DataFrame:
     """(id, query, intent, expected_symbol, complexity, source, human_verified) of JSON arrays (category, answer).
 
-    Ids count from first_id by category and place; drafts are a few dozen rows.
+    Ids count from first_id by category and place: each category begins where the ones before it end.
+    There are a few categories, so their sizes are one broadcast row. A category is one answer.
     """
     item = "struct<query: string, expected_ticker: string, complexity: string>"
-    rows = answers.select("category", F.posexplode(F.from_json(unfenced(F.col("answer")), f"array<{item}>")).alias("pos", "q"))
-    number = F.row_number().over(Window.orderBy("category", "pos")) + (first_id - 1)
+    parsed = answers.select("category", F.from_json(unfenced(F.col("answer")), f"array<{item}>").alias("items"))
+    sizes = parsed.where(F.col("items").isNotNull()).agg(F.collect_list(F.struct("category", F.size("items").alias("n"))).alias("sizes"))
+    rows = parsed.select("category", F.posexplode("items").alias("pos", "q")).crossJoin(F.broadcast(sizes))
+    before = F.filter("sizes", lambda x: x["category"] < F.col("category"))
+    number = F.aggregate(before, F.lit(first_id), lambda s, x: s + x["n"]) + F.col("pos")
     return rows.select(number.cast("long").alias("id"), F.col("q.query").alias("query"), F.col("category").alias("intent"), F.col("q.expected_ticker").alias("expected_symbol"), F.coalesce("q.complexity", F.lit("simple")).alias("complexity"), F.lit("llm_generated").alias("source"), F.lit(False).alias("human_verified"))

@@ -33,14 +33,13 @@ def typed_symbol(text: Column) -> Column:
 def company_symbol(query: Column, aliases: dict[str, str] = COMPANIES) -> Column:
     """Symbol of the whole query as a name, else of the first name, in the list's order, that it contains.
 
-    The list is code, some dozens of entries, so it is one expression and no join.
+    The list is code, some dozens of entries, so it is a literal map and a literal array and no join.
     """
     lower = F.lower(stripped(query))
-    exact, contained = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, symbol in reversed(aliases.items()):
-        exact = F.when(lower == name, symbol).otherwise(exact)
-        contained = F.when(lower.contains(name), symbol).otherwise(contained)
-    return F.coalesce(exact, contained)
+    pairs = [F.struct(F.lit(name).alias("name"), F.lit(symbol).alias("symbol")) for name, symbol in aliases.items()]
+    same = F.try_element_at(F.map_from_entries(F.array(*pairs)), lower)
+    contained = F.try_element_at(F.filter(F.array(*pairs), lambda x: lower.contains(x["name"])), F.lit(1))["symbol"]
+    return F.coalesce(same, contained)
 
 
 def resolve(queries: DataFrame, model: DataFrame | None = None) -> DataFrame:
@@ -51,9 +50,10 @@ def resolve(queries: DataFrame, model: DataFrame | None = None) -> DataFrame:
     for such rows, shaped like symbols, those count (0.5 where it gives no confidence).
     """
     query = stripped(F.coalesce("query", F.lit("")))
-    upper, named = F.upper(query), company_symbol(query)
+    queries = queries.withColumn("_named", company_symbol(query))
+    upper, named = F.upper(query), F.col("_named")
     route = F.when(query == "", "empty").when(upper.rlike(SYMBOL_SHAPE), "symbol").when(named.isNotNull(), "company").otherwise("model")
-    routed = queries.withColumns({"route": route, "symbol": F.when(route == "symbol", upper).when(route == "company", named)})
+    routed = queries.withColumns({"route": route, "symbol": F.when(route == "symbol", upper).when(route == "company", named)}).drop("_named")
     confidence = F.when(F.col("route") == "symbol", 1.0).when(F.col("route") == "company", 0.95).otherwise(0.0)
     out = routed.withColumns({"confidence": confidence, "resolved": F.col("route") == "company", "error": F.when(F.col("route") == "empty", "Empty query")})
     if model is None:

@@ -18,11 +18,11 @@ FOUND = "query_id long, id long, score double"
 
 
 def blocks(rows: DataFrame, section: str, prefix: str, block_rows: int) -> DataFrame:
-    """(section, prefix_block, prefix_rows): rows (id, vector) of a section in blocks of about block_rows."""
+    """(section, prefix_block, prefix_blocks, prefix_rows): rows (id, vector) of a section in its blocks of about block_rows."""
     good = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.col(section).isNotNull())
-    n = max(1, -(-good.count() // block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{prefix}_block")
-    return good.groupBy(section, block).agg(F.collect_list(F.struct("id", F.col("vector").cast("array<double>").alias("vector"))).alias(f"{prefix}_rows"))
+    n = good.groupBy(section).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(f"{prefix}_blocks"))
+    dealt = good.join(n, section).withColumn(f"{prefix}_block", F.pmod(F.xxhash64("id"), F.col(f"{prefix}_blocks")).cast("int"))
+    return dealt.groupBy(section, f"{prefix}_block", f"{prefix}_blocks").agg(F.collect_list(F.struct("id", F.col("vector").cast("array<double>").alias("vector"))).alias(f"{prefix}_rows"))
 
 
 def matrix(cell: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +38,10 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, section: str = "se
 
     queries and rows: (id, vector, section) with vectors of one length. A row with the query's own id
     is left out. Both sides go in blocks, so a task holds two blocks at a time and gives k rows a
-    query; a window over those keeps the best. With `breadth`, a block's candidates are the best so
-    many by eight-bit vectors, and only those are scored in full, as an approximate index does.
+    query; a window over those keeps the best. A section's query blocks, the smaller side, are copied
+    to each of its data blocks, and the two meet by section and data block: a section with very many
+    rows is that many keys. With `breadth`, a block's candidates are the best so many by eight-bit
+    numbers in single precision, and only those are scored in full.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,19 +50,23 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, section: str = "se
             for i in range(batch.num_rows):
                 q_ids, q = matrix(q_rows[i].values)
                 ids, d = matrix(d_rows[i].values)
-                score = q @ d.T
-                score[q_ids[:, None] == ids[None, :]] = -np.inf
                 if breadth is not None and breadth < len(ids):
-                    rough = np.rint(q * 127) @ np.rint(d * 127).T
+                    rough = np.rint(q * 127).astype("f4") @ np.rint(d * 127).astype("f4").T
                     rough[q_ids[:, None] == ids[None, :]] = -np.inf
-                    out = np.argpartition(-rough, breadth, axis=1)[:, breadth:]
-                    np.put_along_axis(score, out, -np.inf, 1)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, 1)
+                    at = np.argpartition(-rough, breadth, axis=1)[:, :breadth]
+                    names, score = ids[at], np.einsum("qbw,qw->qb", d[at], q)
+                else:
+                    names, score = np.broadcast_to(ids, (len(q_ids), len(ids))), q @ d.T
+                score[q_ids[:, None] == names] = -np.inf
+                order = np.lexsort((names, -score), axis=1)[:, :k]
+                best, names = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
                 good = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], order.shape)[good]), pa.array(ids[order][good]), pa.array(best[good])], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], order.shape)[good]), pa.array(names[good]), pa.array(best[good])], names=["query_id", "id", "score"])
 
-    pairs = blocks(queries, section, "q", 256).join(blocks(rows, section, "d", block_rows), section)
+    data = blocks(rows, section, "d", block_rows)
+    asked = blocks(queries, section, "q", 256).join(rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).groupBy(section).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n")), section)
+    asked = asked.select(section, "q_rows", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("d_block"))
+    pairs = asked.join(data, [section, "d_block"])
     found = pairs.select("q_rows", "d_rows").mapInArrow(run, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")

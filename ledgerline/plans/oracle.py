@@ -45,6 +45,21 @@ named AS (SELECT symbol, CASE WHEN ret > 0.5 THEN 'bull' WHEN ret < -0.3 THEN 'b
 raw AS (SELECT symbol, name, avg(ret) * CASE WHEN name = 'base' THEN 0.1 ELSE 0.2 END AS ret, CAST(count(*) AS DOUBLE) AS prob FROM named GROUP BY 1, 2),
 scen AS (SELECT symbol, name, ret, prob / sum(prob) OVER (PARTITION BY symbol) AS prob FROM raw),
 expected AS (SELECT symbol, sum(ret * prob) AS expected_return FROM scen GROUP BY 1)"""
+MACD = f"""
+h AS (SELECT symbol, list({{'f': close, 's': close, 'g': CAST(0 AS DOUBLE)}} ORDER BY dt) AS c FROM bars GROUP BY 1),
+m AS (SELECT symbol, list_reduce(c, lambda a, b: {{'f': a.f + (b.f - a.f) * (2.0::DOUBLE / 13), 's': a.s + (b.f - a.s) * (2.0::DOUBLE / 27),
+  'g': a.g + ((a.f + (b.f - a.f) * (2.0::DOUBLE / 13)) - (a.s + (b.f - a.s) * (2.0::DOUBLE / 27)) - a.g) * (2.0::DOUBLE / 10)}}) AS x FROM h),
+macd_rows AS (SELECT symbol, round(x.f - x.s, 4) AS macd_line, round(x.g, 4) AS macd_smooth, CASE WHEN x.f - x.s > x.g THEN 'Bullish' ELSE 'Bearish' END AS macd_signal FROM m)"""
+RSI = f"""
+rd AS (SELECT symbol, close - lag(close) OVER (PARTITION BY symbol ORDER BY dt) AS x, row_number() OVER (PARTITION BY symbol ORDER BY dt) - 1 AS k FROM bars),
+rs AS (SELECT symbol, avg(greatest(x, 0)) AS u, avg(greatest(-x, 0)) AS w FROM rd WHERE k BETWEEN 1 AND 14 GROUP BY 1),
+rl AS (SELECT symbol, list({{'u': greatest(x, 0), 'w': greatest(-x, 0)}} ORDER BY k) AS c FROM rd WHERE k > 14 GROUP BY 1),
+rr AS (SELECT symbol, list_reduce(list_concat([{{'u': u, 'w': w}}], c), lambda a, b: {{'u': (a.u * 13 + b.u) / 14, 'w': (a.w * 13 + b.w) / 14}}) AS x FROM rs JOIN rl USING (symbol)),
+rsi_rows AS (SELECT symbol, round(CASE WHEN x.u + x.w = 0 THEN 50.0 ELSE 100 * x.u / (x.u + x.w) END, 6) AS rsi_14 FROM rr)"""
+RANGE = f"""
+v AS (SELECT symbol, arg_max(close, dt) AS price, max(close) AS high, min(close) AS low FROM wide WHERE rn <= 252 GROUP BY 1),
+p AS (SELECT *, CASE WHEN price <> 0 AND high <> 0 AND low <> 0 AND high <> low THEN (price - low) / (high - low) END AS x FROM v),
+range_rows AS (SELECT symbol, price, high, low, round(x, 6) AS position, CASE WHEN x > 0.7 THEN 'Near high' WHEN x < 0.3 THEN 'Near low' WHEN x IS NOT NULL THEN 'Mid range' END AS range_label FROM p)"""
 REPORT = f"""WITH {BARS}, {MARKET}, {TREND}, {RISK}, {MACRO}, {SCENARIOS},
 full_report AS (SELECT market.*, volatility, beta, max_drawdown_pct, severity, trend.trend, expected_return, rate_row.trend AS interest_rate_trend, inflation_row.trend AS inflation_trend, market_trend,
   round(least(1.0, greatest(0.0, 0.3 * (1.0 - CASE WHEN market_trend <> 'Unknown' THEN 0.0 ELSE 0.2 END - CASE WHEN volatility IS NULL THEN 0.2 ELSE 0.0 END - CASE WHEN expected_return IS NULL THEN 0.3 ELSE 0.0 END)
@@ -89,6 +104,21 @@ def html_sql() -> str:
     return rf"SELECT page_id, url, array_to_string(list_filter(list_transform(string_split({text}, chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages"
 
 
+def sentence_sql() -> str:
+    """Cuts by recursion: a row a chunk, the next one beginning 200 characters before its end."""
+    last = lambda mark: f"length(w) - nullif(instr(reverse(w), {mark}), 0) + 1"
+    ends = f"coalesce({last(chr(39) + ' .' + chr(39))}, {last('chr(10) || chr(46)')}, {last('chr(10) || chr(10)')}, {last('chr(10)')})"
+    cut = f"CASE WHEN a + 2000 < n THEN coalesce(a + 1000 + {ends}, a + 2000) ELSE a + 2000 END"
+    window = "substring(text, {} + 1001, 1200)"
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, text, n, 0 AS a, {window.format(0)} AS w FROM d WHERE n > 2000),
+c AS (SELECT doc_id, text, n, a, {cut} AS b FROM s UNION ALL
+  SELECT doc_id, text, n, a, {cut} AS b FROM (SELECT doc_id, text, n, b - 200 AS a, {window.format("(b - 200)")} AS w FROM c WHERE b - 200 < n)),
+p AS (SELECT doc_id, a, trim(substring(text, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) AS chunk FROM c),
+k AS (SELECT doc_id, a, chunk FROM p WHERE chunk <> '' UNION ALL SELECT doc_id, 0, text FROM d WHERE n <= 2000)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, length(chunk) AS chars, md5(chunk) AS digest FROM k"""
+
+
 #: Names, symbols and order of the company list.
 def aliases_sql() -> str:
     from ledgerline.operators.resolve import COMPANIES
@@ -110,22 +140,20 @@ ORACLE: dict[str, str] = {
     "ma_signal": f"WITH {BARS}, {MARKET} SELECT symbol, price, round(sma_50, 6) AS sma_50, round(sma_200, 6) AS sma_200, ma_signal FROM market",
     "price_trend": f"WITH {BARS}, {TREND} SELECT symbol, round(change_pct, 6) AS change_pct, trend FROM trend",
     "bollinger_signal": f"WITH {BARS}, {MARKET} SELECT symbol, dt, round(upper_20, 4) AS upper_20, round(lower_20, 4) AS lower_20, band_signal FROM newest JOIN market USING (symbol, dt)",
-    "macd_signal": f"""WITH {BARS}, h AS (SELECT symbol, list({{'f': close, 's': close, 'g': CAST(0 AS DOUBLE)}} ORDER BY dt) AS c FROM bars GROUP BY 1),
-m AS (SELECT symbol, list_reduce(c, lambda a, b: {{'f': a.f + (b.f - a.f) * (2.0::DOUBLE / 13), 's': a.s + (b.f - a.s) * (2.0::DOUBLE / 27),
-  'g': a.g + ((a.f + (b.f - a.f) * (2.0::DOUBLE / 13)) - (a.s + (b.f - a.s) * (2.0::DOUBLE / 27)) - a.g) * (2.0::DOUBLE / 10)}}) AS x FROM h)
-SELECT symbol, round(x.f - x.s, 4) AS macd_line, round(x.g, 4) AS macd_smooth, CASE WHEN x.f - x.s > x.g THEN 'Bullish' ELSE 'Bearish' END AS macd_signal FROM m""",
-    "rsi_14": f"""WITH {BARS}, d AS (SELECT symbol, close - lag(close) OVER (PARTITION BY symbol ORDER BY dt) AS x, row_number() OVER (PARTITION BY symbol ORDER BY dt) - 1 AS k FROM bars),
-s AS (SELECT symbol, avg(greatest(x, 0)) AS u, avg(greatest(-x, 0)) AS w FROM d WHERE k BETWEEN 1 AND 14 GROUP BY 1),
-l AS (SELECT symbol, list({{'u': greatest(x, 0), 'w': greatest(-x, 0)}} ORDER BY k) AS c FROM d WHERE k > 14 GROUP BY 1),
-r AS (SELECT symbol, list_reduce(list_concat([{{'u': u, 'w': w}}], c), lambda a, b: {{'u': (a.u * 13 + b.u) / 14, 'w': (a.w * 13 + b.w) / 14}}) AS x FROM s JOIN l USING (symbol))
-SELECT symbol, round(CASE WHEN x.u + x.w = 0 THEN 50.0 ELSE 100 * x.u / (x.u + x.w) END, 6) AS rsi_14 FROM r""",
-    "range_position_52w": f"""WITH {BARS}, v AS (SELECT symbol, arg_max(close, dt) AS price, max(close) AS high, min(close) AS low FROM wide WHERE rn <= 252 GROUP BY 1),
-p AS (SELECT *, CASE WHEN price <> 0 AND high <> 0 AND low <> 0 AND high <> low THEN (price - low) / (high - low) END AS x FROM v)
-SELECT symbol, price, high, low, round(x, 6) AS position, CASE WHEN x > 0.7 THEN 'Near high' WHEN x < 0.3 THEN 'Near low' WHEN x IS NOT NULL THEN 'Mid range' END AS range_label FROM p""",
+    "macd_signal": f"WITH {BARS}, {MACD} SELECT * FROM macd_rows",
+    "rsi_14": f"WITH {BARS}, {RSI} SELECT * FROM rsi_rows",
+    "range_position_52w": f"WITH {BARS}, {RANGE} SELECT * FROM range_rows",
     "volatility": f"WITH {BARS}, {RISK} SELECT symbol, round(volatility, 4) AS volatility FROM risks",
     "beta": f"WITH {BARS}, {RISK} SELECT symbol, round(beta, 6) AS beta FROM betas",
     "max_drawdown": f"WITH {BARS}, {RISK} SELECT symbol, round(max_drawdown_pct, 4) AS max_drawdown_pct, severity FROM risks",
     "risk_metrics": f"WITH {BARS}, {RISK} SELECT symbol, round(volatility, 4) AS volatility, round(beta, 6) AS beta, round(max_drawdown_pct, 4) AS max_drawdown_pct, severity FROM risks",
+    "market_data": f"""WITH {BARS}, {MARKET}, {TREND}, {MACD}, {RSI}, {RANGE} SELECT symbol, dt, price, ma_signal, band_signal, rsi_14 AS rsi, macd_line, macd_signal, high AS high_52w, low AS low_52w, position, range_label, round(change_pct, 6) AS change_pct, trend
+FROM market JOIN macd_rows USING (symbol) JOIN range_rows USING (symbol, price) JOIN trend USING (symbol) LEFT JOIN rsi_rows USING (symbol)""",
+    "bars_since": f"WITH {BARS} SELECT * FROM bars WHERE dt >= DATE '1997-06-30' - INTERVAL 6 MONTH",
+    "rate_trend_since": f"WITH {MACRO.replace('FROM lineitem GROUP BY 1)', "FROM lineitem WHERE l_shipdate >= DATE '1996-03-01' GROUP BY 1)", 1)} SELECT 'rate' AS series_id, round(last, 8) AS last, round(reference, 8) AS reference, trend FROM rate_row",
+    "memo_prompt": f"""{REPORT} SELECT symbol, 'Memo on ' || symbol || ': ' || recommendation || ' at ' || printf('%.0f%%', round(confidence * 100)) || ', ' || trend || ', ' || interest_rate_trend || ', ' || market_trend || ', bull ' || printf('%+.0f%%', coalesce(round(bull_r * 100), 0)) || ' at ' || printf('%.0f%%', coalesce(round(bull_p * 100), 0)) AS prompt
+FROM full_report LEFT JOIN (SELECT symbol, max(ret) FILTER (name = 'bull') AS bull_r, max(prob) FILTER (name = 'bull') AS bull_p FROM scen GROUP BY 1) USING (symbol)""",
+    "chunk_count": f"WITH {CHUNKS} SELECT count(*) AS n FROM chunks WHERE source = 'src0'",
     "rate_trend": f"WITH {MACRO} SELECT 'rate' AS series_id, round(last, 8) AS last, round(reference, 8) AS reference, trend FROM rate_row",
     "inflation_trend": f"WITH {MACRO} SELECT 'price_index' AS series_id, round(change_pct, 6) AS change_pct, trend FROM inflation_row",
     "sector_performance": f"WITH {MACRO} SELECT * FROM sector_rows",
@@ -146,6 +174,7 @@ round(coalesce(100.0::DOUBLE * count(*) FILTER (quality = 1 AND toxic <> 1) / nu
     "html_to_text": html_sql(),
     "extract_sections": sections_sql(),
     "chunk_fixed": f"WITH {CHUNKS} SELECT doc_id, chunk_index, total_chunks, length(chunk) AS chars, md5(chunk) AS digest FROM chunks",
+    "chunk_sentence": sentence_sql(),
     "chunk_ids": f"WITH {CHUNKS} SELECT doc_id, chunk_index, md5(upper(source) || '_' || lang || '_' || doc_id || '_' || chunk_index) AS chunk_id FROM chunks",
     "upsert_latest": """WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus <> 'F' DESC, o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
 SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderstatus FROM r WHERE rn = 1""",
@@ -174,7 +203,7 @@ r AS (SELECT *, coalesce(same, part) AS code, CASE WHEN s = '' THEN 'empty' WHEN
 SELECT id, query, CASE route WHEN 'symbol' THEN upper(s) WHEN 'company' THEN code END AS symbol, route, CAST(CASE route WHEN 'symbol' THEN 1.0 WHEN 'company' THEN 0.95 ELSE 0.0 END AS DOUBLE) AS confidence, CASE WHEN route = 'empty' THEN 'Empty query' END AS error FROM r""",
     "sentiment_label": "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'Neutral-positive' WHEN 'error' THEN 'Neutral-negative' WHEN 'click' THEN 'Neutral-positive' WHEN 'view' THEN 'Neutral-negative' ELSE 'Neutral' END AS sentiment FROM events",
     "json_fence_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-    "prompt_render": "SELECT c_custkey, 'Report on ' || c_name || ' (' || c_mktsegment || '): confidence ' || c_nationkey || '%, {missing} and {braces}' AS prompt FROM customer",
+    "prompt_render": "SELECT c_custkey, 'Report on ' || CASE WHEN c_custkey % 5 = 0 THEN '{ticker} }}{{' ELSE c_name END || ' (' || c_mktsegment || '): confidence ' || c_nationkey || '%, {missing} and {braces}' AS prompt FROM customer",
     "prompt_latest_version": "SELECT p_name AS name, max(p_partkey) AS version, arg_max(p_brand, p_partkey) AS template FROM part GROUP BY 1",
     "filing_zip": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS rank FROM lineitem WHERE l_returnflag = 'R')
 SELECT l_orderkey AS symbol, CAST(rank AS INTEGER) AS rank, 'https://www.sec.gov/Archives/edgar/data/' || ltrim(lpad(CAST(l_orderkey AS VARCHAR), 10, '0'), '0') || '/' || l_partkey || l_suppkey || l_linenumber || '/' || l_linenumber || '.htm' AS url,

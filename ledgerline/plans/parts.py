@@ -203,3 +203,17 @@ def event_windows(spark, d):
     """Extension: tumbling windows over events, in batch as in the stream."""
     rows = T.scan(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("step")).agg(F.count("*").alias("events"))
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("from_ts"), "step", "events")
+
+
+@query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS listed FROM lineitem GROUP BY 1")
+def key_list(spark, d):
+    flags = T.scan(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_returnflag")).alias("flags"))
+    return flags.select("l_orderkey", X.key_list(F.col("flags")).alias("listed"))
+
+
+@query("""SELECT p_partkey AS symbol, p_retailprice AS pe_ratio, CAST(NULL AS DOUBLE) AS forward_pe, CAST(p_size AS DOUBLE) AS pb_ratio, CAST(NULL AS DOUBLE) AS ps_ratio, CAST(NULL AS DOUBLE) AS peg_ratio, CAST(NULL AS DOUBLE) AS dividend_yield,
+p_retailprice * 1e6 AS market_cap, CAST(NULL AS DOUBLE) AS enterprise_value, CAST(NULL AS DOUBLE) AS current_price, CAST(NULL AS DOUBLE) AS "52_week_high", CAST(NULL AS DOUBLE) AS "52_week_low" FROM part""")
+def valuation_fields(spark, d):
+    price = F.col("p_retailprice")
+    info = F.create_map(F.lit("trailingPE"), price.cast("string"), F.lit("priceToBook"), F.col("p_size").cast("string"), F.lit("marketCap"), (price * 1e6).cast("string"), F.lit("currentPrice"), F.lit("n/a"))
+    return T.valuation_metrics(T.scan(spark, d, "part").select(F.col("p_partkey").alias("symbol"), info.alias("info")))

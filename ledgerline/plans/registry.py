@@ -97,6 +97,35 @@ def risk_metrics(spark, d):
     return rounded(rounded(risk.risk_metrics(T.bars(spark, d), T.benchmark(spark, d)), 6, "beta"), 4, "volatility", "max_drawdown_pct")
 
 
+@query
+def market_data(spark, d):
+    names = ("symbol", "dt", "price", "ma_signal", "band_signal", "rsi", "macd_line", "macd_signal", "high_52w", "low_52w", "position", "range_label", "change_pct", "trend")
+    return rounded(rounded(report.market_data(T.bars(spark, d)).select(*names), 6, "rsi", "position", "change_pct"), 4, "macd_line")
+
+
+@query
+def bars_since(spark, d):
+    return T.bars(spark, d, T.since("1997-06-30", "6mo"))
+
+
+@query
+def rate_trend_since(spark, d):
+    return rounded(macro.rate_trend(T.macro(spark, d, T.since("1996-03-01"))), 8, "last", "reference")
+
+
+@query
+def memo_prompt(spark, d):
+    template = "Memo on {ticker}: {recommendation} at {confidence}, {price_trend}, {interest_rate_trend}, {market_trend}, bull {bull_return} at {bull_prob}"
+    memo = spark.range(1).select(F.lit("memo_writer").alias("name"), F.lit(1).alias("version"), F.lit(template).alias("template"))
+    return report.memo(full_report(spark, d), decision.normalized(scenario_rows(spark, d)), memo, [lambda prompts: prompts]).select("symbol", F.col("memo").alias("prompt"))
+
+
+@query
+def chunk_count(spark, d):
+    rows = documents.chunk_rows(T.scan(spark, d, "documents").select(F.upper("source").alias("symbol"), "text"), documents.fixed_chunks(F.col("text")))
+    return documents.count_chunks(rows.withColumn("collection", F.lit("sec_filings")), "src0")
+
+
 @query
 def rate_trend(spark, d):
     return rounded(macro.rate_trend(T.macro(spark, d)), 8, "last", "reference")
@@ -207,8 +236,8 @@ def chunk_fixed(spark, d):
 
 @query
 def chunk_sentence(spark, d):
-    rows = documents.chunk_rows(T.scan(spark, d, "documents").select("doc_id", "text"), documents.sentence_chunks_udf("text"))
-    return rows.select("doc_id", "chunk_index", "total_chunks", F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("digest"))
+    rows = documents.sentence_chunk_rows(T.scan(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "total_chunks", F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("digest"))
 
 
 @query
@@ -322,7 +351,8 @@ def json_fence_parse(spark, d):
 def prompt_render(spark, d):
     rows = T.scan(spark, d, "customer")
     prompt = spark.range(1).select(F.lit("memo").alias("name"), F.lit(1).alias("version"), F.lit(TEMPLATE).alias("template"))
-    values = {"name": F.col("c_name"), "ticker": F.col("c_mktsegment"), "confidence": F.concat(F.col("c_nationkey").cast("string"), F.lit("%"))}
+    name = F.when(F.col("c_custkey") % 5 == 0, "{ticker} }}{{").otherwise(F.col("c_name"))
+    values = {"name": name, "ticker": F.col("c_mktsegment"), "confidence": F.concat(F.col("c_nationkey").cast("string"), F.lit("%"))}
     return prompts.render(rows, prompt, "memo", values).select("c_custkey", "prompt")
 
 

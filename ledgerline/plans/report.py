@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import decision, macro, prices, risk
+from ledgerline.functions import formats
+from ledgerline.operators import decision, macro, model_steps, prices, prompts, recursive, risk
 
 
 def market(bars: DataFrame) -> DataFrame:
-    """(symbol, price, sma_50, sma_200, ma_signal, band_signal) at each symbol's newest bar."""
+    """(symbol, dt, price, sma_50, sma_200, ma_signal, band_signal) at each symbol's newest bar."""
     last = prices.latest(prices.enriched(bars).select("symbol", "dt", "close", "sma_50", "sma_200", "upper_20", "lower_20"))
     price = F.col("close")
     return last.select(
@@ -19,6 +20,50 @@ def market(bars: DataFrame) -> DataFrame:
     )
 
 
+def market_data(bars: DataFrame, months: int = 6, year: int = 252) -> DataFrame:
+    """A row a symbol: market state, RSI, MACD, place in the year's range and price trend.
+
+    A symbol's closes are gathered to one array (a daily history is small); RSI, MACD, range and trend
+    are folds and slices of it.
+    """
+    found = market(bars).join(recursive.histories(bars), "symbol")
+    found = found.withColumns({"macd": recursive.macd(F.col("closes")), "rsi": recursive.rsi(F.col("closes")), "year": tail("closes", year), "part": tail("closes", months * 21)})
+    position = prices.range_position(F.col("price"), F.array_max("year"), F.array_min("year"))
+    change = prices.percent_change(F.element_at("part", 1), F.element_at("part", -1))
+    return found.select(
+        "symbol", "dt", "price", "sma_50", "sma_200", "ma_signal", "band_signal", "rsi", F.col("macd.line").alias("macd_line"), F.col("macd.signal").alias("macd_smooth"),
+        recursive.macd_signal(F.col("macd")).alias("macd_signal"), F.array_max("year").alias("high_52w"), F.array_min("year").alias("low_52w"), position.alias("position"), prices.range_label(position).alias("range_label"),
+        change.alias("change_pct"), F.when(F.size("part") < 2, "Insufficient data").otherwise(prices.trend_label(change, months)).alias("trend"),
+    )
+
+
+def tail(array: str, n: int):
+    """The last n elements."""
+    return F.slice(array, F.greatest(F.size(array) - n, F.lit(0)) + 1, n)
+
+
+def memo_values(scenarios: list[str]) -> dict:
+    """Placeholders of the memo template over report rows with (name_return, name_prob) of each scenario; missing ones are N/A."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    values = {"ticker": F.col("symbol"), "recommendation": F.col("recommendation"), "confidence": formats.ratio_percent(F.col("confidence"), 0)}
+    values |= {"price_trend": told("trend"), **{c: told(c) for c in ("interest_rate_trend", "market_trend", "volatility", "beta")}}
+    for name in scenarios:
+        values |= {f"{name}_return": formats.signed_percent(F.col(f"{name}_return")), f"{name}_prob": formats.ratio_percent(F.coalesce(f"{name}_prob", F.lit(0.0)), 0)}
+    return values
+
+
+def memo(rows: DataFrame, scenarios: DataFrame, templates: DataFrame, models: list, name: str = "memo_writer") -> DataFrame:
+    """rows of report() with memo: the rendered template's answer by the first model that gives one.
+
+    scenarios: (symbol, name, ret, prob), normalised. Where every model fails memo is null and
+    memo_outcome says so.
+    """
+    names = ["bull", "base", "bear"]
+    wide = scenarios.groupBy("symbol").agg(*(F.max(F.when(F.col("name") == n, F.col(c))).alias(f"{n}_{long}") for n in names for c, long in (("ret", "return"), ("prob", "prob"))))
+    asked = prompts.render(rows.join(wide, "symbol", "left"), templates, name, memo_values(names))
+    return model_steps.with_fallback(asked, "prompt", models, "memo")
+
+
 def macro_row(series: DataFrame, sectors: DataFrame) -> DataFrame:
     """One row: interest_rate_trend, inflation_trend, market_trend; each side is one row by aggregation."""
     rate = macro.rate_trend(series).agg(F.max("trend").alias("interest_rate_trend"))

@@ -11,7 +11,7 @@ from ledgerline.operators import documents, vectors
 def filing_chunks(filings: DataFrame, model=vectors.hashed_embedding) -> DataFrame:
     """Chunk rows of filings (symbol, filing_date, text): id, section, chunk and its vector."""
     cut = documents.sections(filings).withColumnRenamed("section_text", "text")
-    rows = documents.chunk_rows(cut, documents.sentence_chunks_udf("text"))
+    rows = documents.sentence_chunk_rows(cut)
     key = documents.chunk_id(F.col("symbol"), F.col("section"), F.col("filing_date"), F.col("chunk_index"))
     rows = rows.select(key.alias("id"), F.upper("symbol").alias("symbol"), "section", "filing_date", "chunk_index", "total_chunks", F.col("chunk").alias("text"), F.lit("sec_filings").alias("collection"))
     return vectors.embed(rows, "text", model)
@@ -19,7 +19,7 @@ def filing_chunks(filings: DataFrame, model=vectors.hashed_embedding) -> DataFra
 
 def user_chunks(uploads: DataFrame, model=vectors.hashed_embedding) -> DataFrame:
     """Chunk rows of uploads (analysis_id, doc_id, symbol, filename, text)."""
-    rows = documents.chunk_rows(uploads, documents.sentence_chunks_udf("text"))
+    rows = documents.sentence_chunk_rows(uploads)
     key = documents.user_chunk_id(F.col("analysis_id"), F.col("doc_id"), F.col("chunk_index"))
     rows = rows.select(key.alias("id"), F.upper("symbol").alias("symbol"), "analysis_id", "doc_id", "filename", "chunk_index", "total_chunks", F.col("chunk").alias("text"), F.lit("user_pdf").alias("collection"))
     return vectors.embed(rows, "text", model)

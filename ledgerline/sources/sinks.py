@@ -13,17 +13,25 @@ def append(rows: DataFrame, path: str) -> None:
 def replace(rows: DataFrame, path: str) -> None:
     """Writes rows in place of the table at path; rows may be read from that table.
 
-    The new table is written beside the old one and then takes its name, so a failed write leaves
-    the old one whole.
+    The new table is written beside the old one, which is renamed to path.old before the new one takes
+    its name and is deleted last. So a failed write leaves the old table whole, and a driver that is
+    lost between the renames leaves both, old and new, beside the path.
     """
     spark = rows.sparkSession
     fresh = f"{path.rstrip('/')}.new"
     rows.write.mode("overwrite").parquet(fresh)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
+    aside = f"{path.rstrip('/')}.old"
+    had = fs.exists(hadoop(path))
+    if had:
+        fs.delete(hadoop(aside), True)
+        if not fs.rename(hadoop(path), hadoop(aside)):
+            raise OSError(f"{path} can't be renamed to {aside}")
     if not fs.rename(hadoop(fresh), hadoop(path)):
         raise OSError(f"{fresh} can't take the name {path}")
+    if had:
+        fs.delete(hadoop(aside), True)
 
 
 def csv_results(rows: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,13 +10,28 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars: orders of a market segment by day, first and last by order key.
+#: Months of a history's period.
+PERIODS = {"1mo": 1, "3mo": 3, "6mo": 6, "1y": 12, "2y": 24, "5y": 60, "10y": 120}
 
+
+def since(day: str | None, period: str | None = None) -> Column | None:
+    """First day of a history: `day` itself, or `period` (of PERIODS) before it; null where all counts."""
+    if day is None or period == "max":
+        return None
+    return F.to_date(F.lit(day)) if period is None else F.add_months(F.to_date(F.lit(day)), -PERIODS[period])
+
+
+def bars(spark: SparkSession, sf_dir: str, start: Column | None = None) -> DataFrame:
+    """Daily bars: orders of a market segment by day, first and last by order key, from `start` on.
+
+    The start reaches the scan, as it is a bound of the stored column.
     Grouped before the join would be by customer; the join is on a narrow projection, and the
     aggregation is partial before its shuffle.
     """
-    orders = scan(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("dt"))
+    orders = scan(spark, sf_dir, "orders")
+    if start is not None:
+        orders = orders.where(F.col("o_orderdate") >= start.cast("timestamp_ntz"))
+    orders = orders.select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("dt"))
     customers = scan(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("symbol"))
     price = F.col("o_totalprice")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("symbol", "dt").agg(
@@ -37,14 +52,30 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("sector", "dt").agg(F.avg("l_extendedprice").alias("close"))
 
 
-def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, dt, value): by month, the mean tax as rate and the mean unit price as price index."""
-    monthly = scan(spark, sf_dir, "lineitem").groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("dt")).agg(
+def macro(spark: SparkSession, sf_dir: str, start: Column | None = None) -> DataFrame:
+    """(series_id, dt, value): by month, the mean tax as rate and the mean unit price as price index; from `start` on."""
+    items = scan(spark, sf_dir, "lineitem")
+    if start is not None:
+        items = items.where(F.col("l_shipdate") >= start.cast("timestamp_ntz"))
+    monthly = items.groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("dt")).agg(
         F.avg("l_tax").alias("rate"), F.avg(F.try_divide("l_extendedprice", "l_quantity")).alias("price_index")
     )
     return monthly.selectExpr("stack(2, 'rate', rate, 'price_index', price_index) AS (series_id, value)", "dt").select("series_id", "dt", "value")
 
 
+#: Valuation fields and the names that feeds give them (fixed values).
+VALUATION_FIELDS = {
+    "pe_ratio": "trailingPE", "forward_pe": "forwardPE", "pb_ratio": "priceToBook", "ps_ratio": "priceToSalesTrailing12Months", "peg_ratio": "pegRatio",
+    "dividend_yield": "dividendYield", "market_cap": "marketCap", "enterprise_value": "enterpriseValue", "current_price": "currentPrice",
+    "52_week_high": "fiftyTwoWeekHigh", "52_week_low": "fiftyTwoWeekLow",
+}
+
+
+def valuation_metrics(quotes: DataFrame) -> DataFrame:
+    """(symbol, eleven fields as double) of quotes (symbol, info map<string, string>); null where missing or no number."""
+    return quotes.select("symbol", *(F.expr("info").getItem(key).try_cast("double").alias(name) for name, key in VALUATION_FIELDS.items()))
+
+
 def valuation(bars: DataFrame, last: int = 252) -> DataFrame:
     """(symbol, price, high, low): newest close, and the extremes of the last `last` closes."""
     from pyspark.sql import Window
@@ -94,6 +125,16 @@ def binary_files(spark: SparkSession, path: str, most_bytes: int = 10 * 1024 * 1
     return files.select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), "[^a-zA-Z0-9._-]", "_").alias("file_name"), "content", "modificationTime")
 
 
+def stored_name(file_name: Column, at: Column) -> Column:
+    """Name under which an upload is stored: its time in milliseconds, then the name made safe."""
+    return F.concat(F.unix_millis(at).cast("string"), F.lit("-"), F.regexp_replace(file_name, "[^a-zA-Z0-9._-]", "_"))
+
+
+def stored_file(files: DataFrame, file_id: str) -> DataFrame:
+    """(path, file_name, content) of the stored file with an id (its name), one row or none."""
+    return files.where(F.col("file_name") == file_id).select("path", "file_name", "content").limit(1)
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of each file, for downloaded filings and templates."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
