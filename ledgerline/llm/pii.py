@@ -1,19 +1,25 @@
 """Personal data: patterns with checks, and a skip-chain conditional random field that adds spans.
 
-The patterns give base spans. The field labels a document's candidate tokens (those with a digit or
-an at sign). Neighbours in the token chain share a transition potential; tokens that are equal, or
-have the same digits, share a skip potential however far apart they are. Tokens of base spans are
-observed; loopy message passing, in sweeps over the whole document until nothing moves, carries their
-labels to the others. Stretches of plain words between
-two candidates have the same potentials at every word, so they are summed out exactly as a power of
-one matrix. The weights are fitted by pseudo-likelihood on counts over all documents, with the base
-spans as labels.
+The patterns give base spans. The field labels a document's candidate tokens: those with a digit or
+an at sign, and words that are the name in one of its addresses. Neighbours in the token chain share a
+transition potential, the word before a token gives evidence, and equal or similar tokens share a skip
+potential however far apart they are. Tokens are similar if their last seven digits are the same, if
+long numbers are one digit apart, or if one is the name in the other's address. Tokens of base spans
+are observed; loopy message passing, in sweeps over the whole document until nothing moves, carries
+their labels to the others. Stretches of plain words between two candidates have the same potentials
+at every word, so they are summed out exactly as a power of one matrix.
+
+The weights are fitted by pseudo-likelihood on counts over all documents that have candidates, with
+the base spans as labels. So that context and skips must explain a label, each labelled token counts
+once more with the marks hidden that its pattern asks for. Tokens without a label that are linked to
+labelled ones are what the field is to decide, so they count as neither.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import parts
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 CANDIDATE = re.compile("[0-9@]")
@@ -37,6 +45,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+def digits_of(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -92,7 +104,12 @@ FEATURES = (
     lambda t, d: 12 <= d <= 19,
     lambda t, d: d > 19,
     lambda t, d: "=" in t or '"' in t,
+    lambda t, d: 12 <= d <= 19 and luhn(digits_of(t)),
 )
+#: The features that stay where a token's own marks are hidden: letters and how many digits it has.
+COARSE = sum(1 << k for k in (0, 7, 8, 9, 10, 11, 12))
+#: Buckets of the word before a token.
+CONTEXTS = 64
 #: The feature of words that are no candidates; it stands alone.
 PLAIN = 1 << len(FEATURES)
 N_FEATURES, N_LABELS = len(FEATURES) + 1, len(LABELS)
@@ -112,19 +129,43 @@ def skip_key(token: str) -> str:
     return digits if len(digits) >= 4 and "@" not in token else token.strip(EDGE).lower()
 
 
+def address_name(token: str) -> str:
+    """The name in an address, four letters at least; empty if the token is none."""
+    name = token.partition("@")[0].lstrip(EDGE).lower()
+    return name if "@" in token and len(name) >= 4 else ""
+
+
+def one_apart(a: str, b: str) -> bool:
+    """Whether two numbers of one length differ in one digit."""
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+
+
+def context_of(word: str) -> int:
+    """Bucket of the word before a token; -1 for none and for words without letters."""
+    word = word.strip(EDGE).lower()
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % CONTEXTS if any(map(str.isalpha, word)) else -1
+
+
 class Tokens:
-    """The candidates of a text: places in the text and chain, features, observed labels."""
+    """The candidates of a text: places in the text and chain, features, contexts, observed labels, skips.
+
+    skips maps pairs of candidates to 0 where they are equal and 1 where they are similar.
+    """
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
-        self.spans, self.place, self.mask, self.keys = [], [], [], []
-        n = -1
+        self.spans, self.place, self.mask, self.context, tokens = [], [], [], [], []
+        names = {address_name(m[0]) for m in TOKEN.finditer(text) if "@" in m[0]} - {""} if "@" in text else set()
+        n, before = -1, ""
         for n, m in enumerate(TOKEN.finditer(text)):
-            if CANDIDATE.search(text, m.start(), m.end()):
+            if CANDIDATE.search(text, m.start(), m.end()) or names and m[0].strip(EDGE).lower() in names:
                 self.spans.append(m.span())
                 self.place.append(n)
                 self.mask.append(features(m[0]))
-                self.keys.append(skip_key(m[0]))
+                self.context.append(context_of(before))
+                tokens.append(m[0])
+            before = m[0]
         self.words = n + 1
+        whole = {}  # the last token of a base span stands for all the span's digits
         self.label = [0] * len(self.spans)
         k = 0
         for a, kind, b in base:
@@ -135,58 +176,89 @@ class Tokens:
             j = k
             while j < len(self.spans) and self.spans[j][0] < b:
                 self.label[j] = self.label[j] or kind + 1
+                whole[j] = digits_of(text[a:b])
                 j += 1
-        self.skips: list[tuple[int, int]] = []
-        last: dict[str, int] = {}
-        for i, key in enumerate(self.keys):
-            if key and key in last:
-                self.skips.append((last[key], i))
-            last[key] = i
-
-
-COUNTS = "mask int, label int, before int, after int, skip_a int, skip_b int, n long"
+            whole = {i: d for i, d in whole.items() if i + 1 not in whole or whole[i + 1] != d}
+        self.skips: dict[tuple[int, int], int] = {}
+        seen: dict[tuple, list[tuple[int, str]]] = defaultdict(list)
+        for i, token in enumerate(tokens):
+            own = digits_of(token)
+            digits = whole.get(i, own) if "@" not in token else ""
+            keys = [(0, skip_key(token))]
+            if len(digits) >= 7:
+                keys.append((1, "last", digits[-7:]))
+            if len(digits) >= 8:
+                half = len(digits) // 2
+                keys += [(2, "head", len(digits), digits[:half]), (2, "tail", len(digits), digits[half:])]
+            if names and (name := address_name(token) or token.strip(EDGE).lower()) in names:
+                keys.append((1, "name", name))
+            for key in keys:
+                if key[1]:
+                    seen[key].append((i, digits))
+        for key, places in sorted(seen.items(), key=lambda x: x[0][0]):
+            # Each token meets the next one of its key, and each without a label the nearest labelled ones.
+            for step in (1, -1):
+                labelled = None
+                for x, (i, digits) in list(enumerate(places))[::step]:
+                    near = [places[x - 1]] if step == 1 and x else []
+                    near += [labelled] if labelled and not self.label[i] else []
+                    for j, other in near:
+                        if key[0] < 2 or one_apart(digits, other):
+                            self.skips.setdefault((min(i, j), max(i, j)), min(key[0], 1))
+                    if self.label[i]:
+                        labelled = i, digits
+
+
+COUNTS = "mask int, context int, label int, before int, after int, skip_a int, skip_b int, n long"
 
 
 def training_counts(docs: DataFrame) -> DataFrame:
-    """How often each (features, label, labels of neighbours) occurs over all documents.
+    """How often each (features, context, label, labels of neighbours) occurs over all documents with a digit or at sign.
 
-    Plain words have label other. -1 stands for no neighbour. There are few combinations, so the
-    counts are small however many documents there are; they are summed before the shuffle.
+    Plain words have label other. -1 stands for no neighbour; of a skip to a similar token the label
+    is N_LABELS higher. There are few combinations, so the counts are small however many documents
+    there are; they are summed before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple, int] = defaultdict(int)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in (x for part in parts(batch, "text", 512) for x in part.column("text").to_pylist()):
                 t = Tokens(text, base_spans(text))
                 at = dict(zip(t.place, t.label, strict=True))
                 near: dict[int, list[int]] = defaultdict(list)
-                for a, b in t.skips:
-                    near[a].append(t.label[b])
-                    near[b].append(t.label[a])
+                for (a, b), kind in t.skips.items():
+                    near[a].append(t.label[b] + N_LABELS * kind)
+                    near[b].append(t.label[a] + N_LABELS * kind)
                 side = lambda p, at=at, t=t: at.get(p, 0) if 0 <= p < t.words else -1
                 beside = set()
                 for k, p in enumerate(t.place):
                     skip = [*near[k], -1, -1][:2]
-                    counts[t.mask[k], t.label[k], side(p - 1), side(p + 1), *skip] += 1
+                    if t.label[k] or not any(x % N_LABELS for x in near[k]):
+                        counts[t.mask[k], t.context[k], t.label[k], side(p - 1), side(p + 1), *skip] += 1
+                    if t.label[k]:
+                        sides = (-1 if x == t.label[k] else x for x in (side(p - 1), side(p + 1)))
+                        counts[t.mask[k] & COARSE, t.context[k], t.label[k], *sides, *skip] += 1
                     beside |= {q for q in (p - 1, p + 1) if 0 <= q < t.words and q not in at}
                 for p in beside:
-                    counts[PLAIN, 0, side(p - 1), side(p + 1), -1, -1] += 1
-                counts[PLAIN, 0, 0, 0, -1, -1] += t.words - len(at) - len(beside)
+                    counts[PLAIN, -1, 0, side(p - 1), side(p + 1), -1, -1] += 1
+                counts[PLAIN, -1, 0, 0, 0, -1, -1] += t.words - len(at) - len(beside)
         if counts:
             columns = [*zip(*counts, strict=True), counts.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if k < 6 else pa.int64()) for k, c in enumerate(columns)], names=[x.split()[0] for x in COUNTS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if k < 7 else pa.int64()) for k, c in enumerate(columns)], names=[x.split()[0] for x in COUNTS.split(", ")])
 
     found = docs.select("text").where(F.col("text").rlike("[0-9@]")).mapInArrow(run, COUNTS)
-    keys = [x.split()[0] for x in COUNTS.split(", ")][:6]
+    keys = [x.split()[0] for x in COUNTS.split(", ")][:7]
     return found.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 class Field:
-    """Weights: of features by label, of transitions, and of agreement along skips."""
+    """Weights: of features by label, of transitions, of agreement along skips to equal and to similar tokens, of contexts."""
 
-    def __init__(self, unary: np.ndarray, step: np.ndarray, skip: np.ndarray):
-        self.unary, self.step, self.skip = unary, np.exp(step), np.exp(skip)
+    def __init__(self, unary: np.ndarray, step: np.ndarray, skip: np.ndarray, similar: np.ndarray | None = None, context: np.ndarray | None = None):
+        self.weights = unary, step, skip, skip if similar is None else similar, np.zeros((CONTEXTS, N_LABELS)) if context is None else context
+        self.unary, self.step, self.context = unary, np.exp(step), np.vstack([self.weights[4], np.zeros(N_LABELS)])  # -1 picks the zeros
+        self.skip, self.similar = np.exp(skip), np.exp(self.weights[3])
         self.run = np.exp(unary[-1])[:, None] * self.step
 
     @lru_cache(maxsize=4096)  # noqa: B019
@@ -212,7 +284,7 @@ class Field:
         """
         n = len(t.spans)
         bits = (np.array(t.mask)[:, None] >> np.arange(N_FEATURES)) & 1
-        node = np.exp(bits @ self.unary)
+        node = np.exp(bits @ self.unary + self.context[t.context])
         ones = np.ones(N_LABELS)
         if t.place[0]:
             node[0] *= ones @ self.stretch(t.place[0] - 1) if t.place[0] > 1 else ones @ self.step
@@ -224,8 +296,9 @@ class Field:
         node /= node.sum(1, keepdims=True)
         # A skip between neighbours and their step are one edge.
         edges = {(i, i + 1): self.stretch(t.place[i + 1] - t.place[i] - 1) for i in range(n - 1)}
-        for pair in t.skips:
-            edges[pair] = edges[pair] * self.skip if pair in edges else self.skip
+        for pair, kind in t.skips.items():
+            own = self.similar if kind else self.skip
+            edges[pair] = edges[pair] * own if pair in edges else own
         before: list[list[int]] = [[] for _ in range(n)]
         after: list[list[int]] = [[] for _ in range(n)]
         for k, (a, b) in enumerate(edges):
@@ -286,25 +359,38 @@ def mean_field(node: np.ndarray, edges: dict[tuple[int, int], np.ndarray], toler
     return q
 
 
+#: Agreement along skips to equal and to similar tokens before any is seen.
+EQUAL, SIMILAR = 7.0, 6.5
+#: How firmly skips are drawn to it, and contexts to nothing.
+SKIP_L2 = 1e-3
+
+
 def fit_field(counts: DataFrame, steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> Field:
-    """Pseudo-likelihood fit on the combinations of training_counts, in a fixed order (Adam)."""
-    rows = np.array(sorted(tuple(r) for r in counts.collect()), dtype="int64").reshape(-1, 7)
-    mask, label, before, after, skip_a, skip_b, n = rows.T
+    """Pseudo-likelihood fit on the combinations of training_counts, in a fixed order (Adam).
+
+    Weights are drawn to zero, those of skips to agreement, where the counts don't say otherwise.
+    """
+    rows = np.array(sorted(tuple(r) for r in counts.collect()), dtype="int64").reshape(-1, 8)
+    mask, context, label, before, after, skip_a, skip_b, n = rows.T
     bits = ((mask[:, None] >> np.arange(N_FEATURES)) & 1).astype(float)
     one = np.vstack([np.eye(N_LABELS), np.zeros(N_LABELS)])  # -1 picks the zeros
-    pre, post, skip = one[before], one[after], one[skip_a] + one[skip_b]
+    both = np.vstack([np.eye(2 * N_LABELS), np.zeros(2 * N_LABELS)])
+    pre, post, skips = one[before], one[after], both[skip_a] + both[skip_b]
+    skip, like = skips[:, :N_LABELS], skips[:, N_LABELS:]
+    near = np.vstack([np.eye(CONTEXTS), np.zeros(CONTEXTS)])[context]
     weight = np.log1p(n) / max(1e-9, np.log1p(n).sum())
-    theta = [np.zeros((N_FEATURES, N_LABELS)), np.zeros((N_LABELS, N_LABELS)), np.zeros((N_LABELS, N_LABELS))]
+    prior = [np.zeros((N_FEATURES, N_LABELS)), np.zeros((N_LABELS, N_LABELS)), EQUAL * np.eye(N_LABELS), SIMILAR * np.eye(N_LABELS), np.zeros((CONTEXTS, N_LABELS))]
+    theta = [x.copy() for x in prior]
     first, second = [0 * x for x in theta], [0 * x for x in theta]
     want = np.eye(N_LABELS)[label]
     for k in range(1, steps + 1 if len(rows) else 1):
-        unary, step, hop = theta
-        score = bits @ unary + pre @ step + post @ step.T + skip @ hop
+        unary, step, hop, leap, beside = theta
+        score = bits @ unary + pre @ step + post @ step.T + skip @ hop + like @ leap + near @ beside
         p = np.exp(score - score.max(1, keepdims=True))
         d = weight[:, None] * (want - p / p.sum(1, keepdims=True))
-        jump = skip.T @ d
-        for j, g in enumerate((bits.T @ d, pre.T @ d + d.T @ post, (jump + jump.T) / 2)):
-            g = g - l2 * theta[j]
+        jump, far = skip.T @ d, like.T @ d
+        for j, g in enumerate((bits.T @ d, pre.T @ d + d.T @ post, (jump + jump.T) / 2, (far + far.T) / 2, near.T @ d)):
+            g = g - (l2 if j < 2 else SKIP_L2) * (theta[j] - prior[j])
             first[j] = 0.9 * first[j] + 0.1 * g
             second[j] = 0.999 * second[j] + 0.001 * g * g
             theta[j] = theta[j] + rate * first[j] / (1 - 0.9**k) / (np.sqrt(second[j] / (1 - 0.999**k)) + 1e-8)
@@ -357,13 +443,13 @@ def find_pii(docs: DataFrame, field: Field, floor: float = 0.9) -> DataFrame:
     null and repeated ids included; other columns are left out. Added spans need a probability of
     `floor` and never touch a base span. No shuffle.
     """
-    send = docs.sparkSession.sparkContext.broadcast((field.unary, np.log(field.step), np.log(field.skip)))
+    send = docs.sparkSession.sparkContext.broadcast(field.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*send.value)
         for batch in batches:
             counts, digests, spans = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in (x for part in parts(batch, "text", 512) for x in part.column("text").to_pylist()):
                 base = base_spans(text) if text and CANDIDATE.search(text) else []
                 counts.append([sum(k == kind for _, k, _ in base) for kind in range(4)])
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -379,22 +465,22 @@ def redact_pii(docs: DataFrame, field: Field, floor: float = 0.9) -> DataFrame:
 
     Overlapping spans become one, named after the first. Null texts stay null.
     """
-    send = docs.sparkSession.sparkContext.broadcast((field.unary, np.log(field.step), np.log(field.skip)))
+    send = docs.sparkSession.sparkContext.broadcast(field.weights)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*send.value)
         for batch in batches:
             texts = []
-            for text in batch.column(at).to_pylist():
+            for text in (x for part in parts(batch, "text", 512) for x in part.column(at).to_pylist()):
                 if text and CANDIDATE.search(text):
                     base = base_spans(text)
-                    parts, free = [], 0
+                    pieces, free = [], 0
                     for a, kind, b in sorted(base + added_spans(text, base, own, floor)):
                         if a >= free:
-                            parts += [text[free:a], f"[{KINDS[kind].upper()}]"]
+                            pieces += [text[free:a], f"[{KINDS[kind].upper()}]"]
                         free = max(free, b)
-                    text = "".join([*parts, text[free:]])
+                    text = "".join([*pieces, text[free:]])
                 texts.append(text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
