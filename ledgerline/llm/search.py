@@ -1,9 +1,13 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Rows are dealt to blocks of bounded size. A task gets a block of queries and a run of data blocks,
-builds a cover tree over each and walks pairs of nodes. The inner products of all points below two
-nodes are at most cq.cx + rq|cx| + rx|cq| + rq rx for centres c and covering radii r. A pair is
-dropped if that is under the worst k-th score of its queries, which only rises.
+Rows are dealt to cells around centres, and cells to blocks of bounded size, so a block holds
+neighbours. A first search of a few near blocks gives each query a floor, a k-th score that it has
+reached already. A query block then meets only cells whose bound is not under its floors. A task gets
+query blocks and a run of data blocks, builds a cover tree over each and walks pairs of nodes.
+
+The inner products of all points below two nodes with centres c, covering radii r, angular radii a and
+longest points m are at most cq.cx + rq|cx| + rx|cq| + rq rx, and at most mq mx cos(angle(cq, cx) - aq -
+ax). A pair is dropped if either is under the worst k-th score of its queries, which only rises.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +27,40 @@ SLACK = 0.5
 
 
 class Node:
-    """Rows at[...] around a centre; the children's centres are kept side by side."""
+    """Rows at[...] around a centre; what bounds need of the children is kept side by side."""
 
-    __slots__ = ("at", "centre", "children", "centres", "norm", "radii", "norms", "radius")
+    __slots__ = ("angle", "angles", "at", "centre", "centres", "children", "longest", "longests", "norm", "norms", "radii", "radius")
 
-    def __init__(self, at: np.ndarray, centre: np.ndarray, radius: float):
+    def __init__(self, points: np.ndarray, at: np.ndarray, centre: np.ndarray, radius: float):
         self.at, self.centre, self.radius = at, centre, radius
         self.norm = float(np.sqrt(centre @ centre))
+        self.angle, self.longest = cone(points[at], centre)
         self.children: list[Node] = []
 
+    def close(self) -> None:
+        of = lambda name: np.array([getattr(c, name) for c in self.children])
+        self.centres, self.radii, self.norms, self.angles, self.longests = of("centre"), of("radius"), of("norm"), of("angle"), of("longest")
+
+
+def cone(points: np.ndarray, centre: np.ndarray) -> tuple[float, float]:
+    """Greatest angle between points and centre, and length of the longest point; zero vectors have no angle."""
+    length = np.sqrt((points * points).sum(1))
+    own = float(np.sqrt(centre @ centre))
+    if not own:
+        return float(np.pi), float(length.max())
+    some = length > 0
+    cos = (points[some] @ centre) / (length[some] * own)
+    return float(np.arccos(np.clip(cos.min(), -1, 1))) + 1e-7 if some.any() else 0.0, float(length.max())
+
+
+def bounds(dot, norms, others, radii, other_radii, angles, longest):
+    """Upper bound of the inner products below pairs of nodes: the lesser of ball and cone, but a cone gives no less than 0."""
+    ball = dot + radii * others + other_radii * norms + radii * other_radii
+    size = norms * others
+    cos = np.divide(dot, size, out=np.ones(np.broadcast(dot, size).shape), where=size > 0)
+    between = np.arccos(np.clip(cos, -1, 1)) - 1e-7
+    return np.minimum(ball, longest * np.maximum(np.cos(np.clip(between - angles, 0, np.pi)), 0)) + SLACK
+
 
 def cover_tree(points: np.ndarray) -> Node:
     """A cover tree, levels of one kind merged: each level halves the covering distance.
@@ -41,7 +71,7 @@ def cover_tree(points: np.ndarray) -> Node:
 
     def build(at: np.ndarray, centre: np.ndarray, away: np.ndarray) -> Node:
         radius = float(away.max())
-        node = Node(at, centre, radius)
+        node = Node(points, at, centre, radius)
         if len(at) <= LEAF or radius == 0:
             return node
         reach = radius
@@ -68,10 +98,8 @@ def cover_tree(points: np.ndarray) -> Node:
             for k in range(0, len(rest), LEAF):
                 own = at[rest[k : k + LEAF]]
                 c = points[own].mean(0)
-                node.children.append(Node(own, c, float(np.sqrt(((points[own] - c) ** 2).sum(1)).max())))
-        node.centres = np.stack([c.centre for c in node.children])
-        node.radii = np.array([c.radius for c in node.children])
-        node.norms = np.array([c.norm for c in node.children])
+                node.children.append(Node(points, own, c, float(np.sqrt(((points[own] - c) ** 2).sum(1)).max())))
+        node.close()
         return node
 
     centre = points[0]
@@ -79,20 +107,28 @@ def cover_tree(points: np.ndarray) -> Node:
 
 
 class Best:
-    """The k best (score, id) so far of each query; ties go to the smaller id."""
+    """The k best (score, id) so far of each query; ties go to the smaller id.
+
+    floor: a k-th score that each query is known to reach elsewhere. `scored` counts pairs.
+    """
 
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
+    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.ids, self.k, self.scored = ids, k, 0
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor
         self.score = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
+    def kth(self, at: np.ndarray) -> np.ndarray:
+        return np.maximum(self.score[at, -1], self.floor[at])
+
     def worst(self, at: np.ndarray) -> float:
-        return float(self.score[at, -1].min())
+        return float(self.kth(at).min())
 
     def offer(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         """score[i, j] of query at[i] and the row with ids[j]; a row isn't its own query's candidate."""
+        self.scored += score.size
         score = np.where(self.ids[at][:, None] == ids[None, :], -np.inf, score)
-        hit = np.flatnonzero(score.max(1) >= self.score[at, -1])
+        hit = np.flatnonzero(score.max(1) >= self.kth(at))
         if not len(hit):
             return
         rows = at[hit]
@@ -105,20 +141,25 @@ class Best:
 
 def search(queries: np.ndarray, tree: Node, data: np.ndarray, ids: np.ndarray, data_tree: Node, best: Best) -> None:
     """Adds the data block's best to `best`."""
+    length = np.sqrt((queries * queries).sum(1))
 
     def visit(q: Node, x: Node) -> None:
+        if not x.children and not q.children:
+            # Each query of the leaf by itself: a ball without radius, a cone without angle.
+            own = bounds(queries[q.at] @ x.centre, length[q.at], x.norm, 0.0, x.radius, x.angle, length[q.at] * x.longest)
+            at = q.at[own >= best.kth(q.at)]
+            if len(at):
+                best.offer(at, queries[at] @ data[x.at].T, ids[x.at])
+            return
         if not x.children:
-            if not q.children:
-                best.offer(q.at, queries[q.at] @ data[x.at].T, ids[x.at])
-                return
-            bound = q.centres @ x.centre + q.radii * x.norm + x.radius * q.norms + q.radii * x.radius
+            bound = bounds(q.centres @ x.centre, q.norms, x.norm, q.radii, x.radius, q.angles + x.angle, q.longests * x.longest)
             for c, b in zip(q.children, bound.tolist(), strict=True):
-                if b + SLACK >= best.worst(c.at):
+                if b >= best.worst(c.at):
                     visit(c, x)
             return
-        bound = x.centres @ q.centre + q.radius * x.norms + x.radii * q.norm + q.radius * x.radii
+        bound = bounds(x.centres @ q.centre, x.norms, q.norm, x.radii, q.radius, x.angles + q.angle, x.longests * q.longest)
         for k in np.argsort(-bound, kind="stable").tolist():
-            if bound[k] + SLACK < best.worst(q.at):
+            if bound[k] < best.worst(q.at):
                 break
             for c in q.children or (q,):
                 visit(c, x.children[k])
@@ -126,34 +167,89 @@ def search(queries: np.ndarray, tree: Node, data: np.ndarray, ids: np.ndarray, d
     visit(tree, data_tree)
 
 
-def packed_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
-    """(block, ids binary, vectors binary) of (vec_id, vector array<int>, block)."""
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest of three widths, which the first byte tells."""
+    size = next(n for n in (2, 4, 8) if not x.size or n == 8 or max(-int(x.min()) - 1, int(x.max())) < 1 << (8 * n - 1))
+    return bytes([size]) + x.astype(f"<i{size}").tobytes()
+
+
+def unpacked(cell: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(cell, f"<i{cell[0]}", offset=1).reshape(-1, width).astype("float64")
+
+
+def packed_blocks(rows: DataFrame) -> DataFrame:
+    """(block, cell, ids binary, vectors binary) of (vec_id, row, vector, cell, block)."""
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("row")
-        vectors = np.asarray(table.column("vector").combine_chunks().flatten(), dtype="<i8")
-        return pa.table({"block": table.column("block")[:1], "ids": [np.asarray(table.column("vec_id")).astype("<i8").tobytes()], "vectors": [vectors.tobytes()]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+        vectors = np.asarray(table.column("vector").combine_chunks().flatten(), dtype="i8")
+        ids = np.asarray(table.column("vec_id")).astype("<i8").tobytes()
+        return pa.table({"block": table.column("block")[:1], "cell": table.column("cell")[:1], "ids": [ids], "vectors": [packed(vectors)]}, schema=pa.schema([("block", pa.int64()), ("cell", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+
+    return rows.groupBy("block").applyInArrow(pack, "block long, cell int, ids binary, vectors binary")
+
 
-    return rows.groupBy("block").applyInArrow(pack, "block long, ids binary, vectors binary")
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
-def numbers(n: int):
-    """A row for each number from 0 to n - 1."""
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+def centres_of(sample: np.ndarray, cells: int, rounds: int = 5) -> np.ndarray:
+    """Directions of `cells` cells: means of the sample's nearest vectors, begun by far ones. They shape the blocks only."""
+    x = unit(sample)
+    picked, near = [0], x @ x[0]
+    for _ in range(min(cells, len(x)) - 1):
+        picked.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[picked[-1]])
+    centres = x[picked]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        centres = np.where((total * total).sum(1, keepdims=True) > 0, unit(total), centres)
+    return centres
 
 
-def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256, query_rows: int = 1024, block_rows: int = 1024, run_blocks: int = 16) -> DataFrame:
+def with_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """rows (vec_id, row, vector) with the cell of the nearest direction, the angle to it and the length."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column("vector").flatten(), dtype="float64").reshape(batch.num_rows, -1)
+                cos = unit(x) @ centres.T
+                length = np.sqrt((x * x).sum(1))
+                angle = np.where(length > 0, np.arccos(np.clip(cos.max(1), -1, 1)) + 1e-7, 0.0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cos.argmax(1), pa.int32()), pa.array(angle), pa.array(length)], names=[*batch.schema.names, "cell", "angle", "length"])
+
+    return rows.select("vec_id", "row", "vector").mapInArrow(run, "vec_id long, row long, vector array<long>, cell int, angle double, length double")
+
+
+class Blocks:
+    """Numbers of the blocks of each cell: count[cell] blocks from start[cell] on."""
+
+    def __init__(self, sizes: dict[int, int], cells: int, block_rows: int):
+        self.count = [-(-sizes.get(c, 0) // block_rows) for c in range(cells)]
+        self.start = np.r_[0, np.cumsum(self.count)].tolist()
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        pick = lambda values: F.element_at(F.lit(values), F.col("cell") + 1)
+        return rows.withColumn("block", (pick(self.start[:-1]) + F.pmod(F.xxhash64("row"), F.greatest(pick(self.count), F.lit(1)))).cast("long"))
+
+
+def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256, query_rows: int = 1024, block_rows: int = 1024, run_blocks: int = 16, cell_rows: int = 256, most_cells: int = 1024, scored: Accumulator | None = None) -> DataFrame:
     """The k rows of the highest inner product for each row whose vec_id is divisible by `every`.
 
     Components become floor(scale * x). Rows with a null id, a null vector or a null or non-finite
     component take no part. Candidates are all rows with another vec_id; repeated rows count as rows, as
-    queries too. Inner products stay exact below 2**53.
+    queries too. Inner products stay exact below 2**53; a component that leaves 64 bits is an error.
     Ties go to the smaller vec_id. A dimension of its own makes a search of its own: vectors of other
     lengths don't meet. Result: query_id, rank, vec_id, score.
 
-    Queries and data are packed into blocks of bounded size; every block of queries meets every run
-    of data blocks, so that a threshold that one block has raised prunes the next. Each pair gives at
-    most k rows a query, and a window over these keeps the best.
+    There are n / cell_rows cells, most_cells at most, around directions learned from 4 rows a cell;
+    they decide what is compared early and skipped, never the result. The driver gets counts, angles and
+    lengths by cell. Tasks get run_blocks query blocks and run_blocks data blocks at most. Each gives
+    at most k rows a query, and a window over these keeps the best. `scored` counts the pairs whose
+    inner product was taken.
     """
     x = F.col("embedding")
     good = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
@@ -165,42 +261,109 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
     )
     width = F.size("vector")
     sizes = {r["width"]: (r["n"], r["q"]) for r in rows.groupBy(width.alias("width")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}
-    parts = []
+    found = None
     for w, (n, q) in sorted(sizes.items()):
-        if not q:
-            continue
-        own = rows.where(width == w)
-        blocks, q_blocks = -(-n // block_rows), -(-q // query_rows)
-        hashed = F.xxhash64("row")
-        data = packed_blocks(own.withColumn("block", F.pmod(hashed, F.lit(blocks))), block_rows)
-        asked = packed_blocks(own.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(hashed, F.lit(q_blocks))), query_rows)
-        runs = -(-blocks // run_blocks)
-        left = asked.select(F.col("block").alias("q_block"), numbers(runs).alias("run"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        right = data.select(F.pmod(F.col("block"), F.lit(runs)).alias("run"), "block", "ids", "vectors")
-        left = left.repartition(max(1, min(runs * q_blocks, 4096)), "q_block", "run").withColumn("pair", F.col("q_block") * runs + F.col("run"))
-        right = right.select(numbers(q_blocks).alias("q_block"), "*").withColumn("pair", F.col("q_block") * runs + F.col("run"))
-        parts.append(left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(searcher(w, k), "query_id long, query_row long, vec_id long, score long"))
-    if not parts:
+        if q:
+            own = search_width(rows.where(width == w), w, every, k, query_rows, block_rows, run_blocks, max(1, min(most_cells, n // cell_rows)), scored)
+            found = own if found is None else found.unionByName(own)
+    if found is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where(F.lit(False))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def searcher(width: int, k: int):
-    """Function over a block of queries and a run of data blocks."""
+#: Cells in which a query block looks for its floors.
+NEAR_CELLS = 4
+
+
+def search_width(rows: DataFrame, width: int, every: int, k: int, query_rows: int, block_rows: int, run_blocks: int, cells: int, scored: Accumulator | None) -> DataFrame:
+    """(query_id, query_row, vec_id, score): candidates for the best of each query, over vectors of one length."""
+    sample = rows.orderBy(F.xxhash64("row"), "row").limit(4 * cells).select("vector").toArrow().column("vector").combine_chunks()
+    centres = centres_of(np.asarray(sample.flatten(), dtype="float64").reshape(-1, width), cells)
+    cells = len(centres)
+    placed = written(with_cells(rows, centres), "cells")
+    asks = F.col("vec_id") % every == 0
+    state = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(asks).alias("q"), F.max("angle").alias("angle"), F.max("length").alias("longest")).collect()}
+    data, asked = (Blocks({c: r[name] for c, r in state.items()}, cells, size) for name, size in (("n", block_rows), ("q", query_rows)))
+    d_blocks = written(packed_blocks(data.of(placed)), "blocks")
+    q_blocks = written(packed_blocks(asked.of(placed.where(asks))).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "vectors": "q_vectors"}).drop("cell"), "queries")
+    angles = np.array([state[c]["angle"] if c in state else 0.0 for c in range(cells)])
+    longest = np.array([state[c]["longest"] if c in state else 0.0 for c in range(cells)])
+    full = np.array(data.count) > 0
+
+    def near(batches):
+        for pdf in batches:
+            for q_block, vectors in zip(pdf["q_block"], pdf["q_vectors"], strict=True):
+                mean = unit(unpacked(vectors, width)).mean(0)
+                order = np.argsort(np.where(full, -(centres @ mean), np.inf), kind="stable")[: min(NEAR_CELLS, int(full.sum()))]
+                yield pd.DataFrame({"q_block": q_block, "block": [data.start[c] for c in order]})
+
+    seeds = q_blocks.select("q_block", "q_vectors").mapInPandas(near, "q_block long, block long")
+    seeds = d_blocks.join(seeds, "block").select(F.col("q_block").alias("for_block"), "block", "ids", "vectors")
+    floors = written(q_blocks.groupBy("q_block").cogroup(seeds.groupBy("for_block")).applyInPandas(floor_finder(width, k, scored), "q_block long, floors binary"), "floors")
+    asking = q_blocks.join(floors, "q_block")
+
+    def open_cells(batches):
+        for pdf in batches:
+            for q_block, vectors, floor in zip(pdf["q_block"], pdf["q_vectors"], pdf["floors"], strict=True):
+                queries = unpacked(vectors, width)
+                length = np.sqrt((queries * queries).sum(1, keepdims=True))
+                cos = np.clip(np.divide(queries @ centres.T, length, out=np.ones((len(queries), cells)), where=length > 0), -1, 1)
+                bound = length * longest * np.maximum(np.cos(np.clip(np.arccos(cos) - 1e-7 - angles, 0, np.pi)), 0) + SLACK
+                for c in np.flatnonzero(full & (bound >= np.frombuffer(floor)[:, None]).any(0)):
+                    for first in range(data.start[c], data.start[c + 1], run_blocks):
+                        yield pd.DataFrame({"q_block": [q_block], "run": [first]})
+
+    pairs = written(asking.select("q_block", "q_vectors", "floors").mapInPandas(open_cells, "q_block long, run long").withColumn("part", F.floor(F.col("q_block") / run_blocks)), "pairs")
+    starts = F.element_at(F.lit(data.start[:-1]), F.col("cell") + 1)
+    task = F.concat_ws(":", F.col("run").cast("string"), F.col("part").cast("string"))
+    right = d_blocks.withColumn("run", F.col("block") - F.pmod(F.col("block") - starts, F.lit(run_blocks)))
+    right = right.join(pairs.select("run", "part").distinct(), "run").select(task.alias("task"), "block", "ids", "vectors")
+    left = asking.join(pairs, "q_block").select(task.alias("task"), "q_block", "q_ids", "q_vectors", "floors")
+    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(searcher(width, k, scored), "query_id long, query_row long, vec_id long, score long")
+
+
+def data_trees(right: pd.DataFrame, width: int) -> list[tuple[np.ndarray, np.ndarray, Node]]:
+    out = []
+    for ids, vectors in right.sort_values("block")[["ids", "vectors"]].itertuples(index=False):
+        data = unpacked(vectors, width)
+        out.append((data, np.frombuffer(ids, "<i8"), cover_tree(data)))
+    return out
+
+
+def floor_finder(width: int, k: int, scored: Accumulator | None):
+    """Function over a query block and a few data blocks: the k-th score that each query finds there."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
+        trees = data_trees(right, width)
         for q_block, q_ids, q_vectors in zip(left["q_block"], left["q_ids"], left["q_vectors"], strict=True):
+            queries, best = unpacked(q_vectors, width), Best(np.frombuffer(q_ids, "<i8"), k)
+            tree = cover_tree(queries)
+            for data, ids, data_tree in trees:
+                search(queries, tree, data, ids, data_tree, best)
+            if scored is not None:
+                scored.add(best.scored)
+            out.append((q_block, best.score[:, -1].astype("<f8").tobytes()))
+        return pd.DataFrame(out, columns=["q_block", "floors"])
+
+    return run
+
+
+def searcher(width: int, k: int, scored: Accumulator | None):
+    """Function over some query blocks and a run of data blocks."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        trees = data_trees(right, width)
+        for q_block, q_ids, q_vectors, floors in zip(left["q_block"], left["q_ids"], left["q_vectors"], left["floors"], strict=True):
             names = np.frombuffer(q_ids, "<i8")
-            queries = np.frombuffer(q_vectors, "<i8").reshape(-1, width).astype("float64")
-            best, tree = Best(names, k), cover_tree(queries)
-            for ids, vectors in right.sort_values("block")[["ids", "vectors"]].itertuples(index=False):
-                data = np.frombuffer(vectors, "<i8").reshape(-1, width).astype("float64")
-                search(queries, tree, data, np.frombuffer(ids, "<i8"), cover_tree(data), best)
+            queries = unpacked(q_vectors, width)
+            best, tree = Best(names, k, np.frombuffer(floors)), cover_tree(queries)
+            for data, ids, data_tree in trees:
+                search(queries, tree, data, ids, data_tree, best)
+            if scored is not None:
+                scored.add(best.scored)
             got = np.isfinite(best.score)
             number = (np.int64(q_block) << 32) + np.arange(len(names))
             out.append(pd.DataFrame({"query_row": np.broadcast_to(number[:, None], got.shape)[got], "query_id": np.broadcast_to(names[:, None], got.shape)[got], "vec_id": best.found[got], "score": best.score[got].astype("int64")}))

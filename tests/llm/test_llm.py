@@ -115,7 +115,7 @@ def test_top_k_brute_force(spark):
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(120)]
     frame = spark.createDataFrame(rows + [(None, [0.0] * 8), (2000, None), (2001, [None] * 8), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (2050, [1.0] * 3), (2051, [1.0] * 3)], "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     got: dict = {}
-    for r in search.top_k(frame, query_rows=4, block_rows=64, run_blocks=3).collect():
+    for r in search.top_k(frame, query_rows=4, block_rows=64, run_blocks=3, cell_rows=20).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     x = {i: np.floor(256 * np.array(np.array(v, "f4"), "f8")).astype(int) for i, v in rows}
     for q in [i for i in x if i % 50 == 0]:
@@ -126,6 +126,24 @@ def test_top_k_brute_force(spark):
     assert search.top_k(frame.where("vec_id = 50")).count() == 0
 
 
+def test_top_k_skips_most_of_clustered_data(spark):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(50, 64))
+    x = middle[rng.integers(0, 50, 8000)] / np.sqrt(64) + rng.normal(size=(8000, 64)) * 0.08
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    scored = spark.sparkContext.accumulator(0)
+    got: dict = {}
+    for r in search.top_k(frame, cell_rows=64, scored=scored).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    y = np.floor(256 * x).astype(int)
+    for q in range(0, 8000, 50):
+        scores = y @ y[q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
+        assert [got[q][k] for k in range(1, 6)] == [(i, -s) for s, i in want]
+    assert scored.value < 0.3 * 160 * 8000
+
+
 def test_cover_tree_holds_all_points():
     points = np.random.default_rng(1).normal(size=(500, 6))
     seen = []
