@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 #: Rendering of one turn.
 START, MIDDLE, END = "<|", "|>\n", "\n"
+SAFE = "< |"
 LEARNED_ROLE = "assistant"
+#: Turns whose offsets are added up together.
+FOLD_TURNS = 256
 
 
 def ordered_turns(turns: DataFrame, name: str) -> DataFrame:
     """(pair_id, name): each conversation's turns in order as an array of (role, text).
 
     turns: (pair_id, turn, role, text). Order is by turn (null first), then role and text. Rows with
-    neither role nor text don't count; a null role or text is empty.
+    neither role nor text don't count; a null role or text is empty. What opens a turn can't stand in
+    one: START in a role or text becomes SAFE.
     """
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    safe = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(START), F.lit(SAFE)).alias(c)
+    turn = F.struct(F.col("turn"), safe("role"), safe("text"))
     kept = turns.where(F.col("pair_id").isNotNull() & (F.col("role").isNotNull() | F.col("text").isNotNull()))
     grouped = kept.groupBy("pair_id").agg(F.sort_array(F.collect_list(turn)).alias("all"))
     return grouped.select("pair_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(name))
@@ -28,17 +33,27 @@ def rendered(turns: Column) -> Column:
 
 def learned_spans(turns: Column) -> Column:
     """start:end of each learned text in the rendered turns, comma-joined; code points, end exclusive."""
-    fixed = len(START) + len(MIDDLE)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    fixed = len(START) + len(MIDDLE) + len(END)
+    sizes = F.transform(turns, lambda t: fixed + F.length(t["role"]) + F.length(t["text"]))
+    ends = running(sizes)
+    told = F.zip_with(turns, ends, lambda t, e: F.when(t["role"] == LEARNED_ROLE, F.concat_ws(":", (e - len(END) - F.length(t["text"])).cast("string"), (e - len(END)).cast("string"))))
+    return F.array_join(told, ",")
 
-    def step(state: Column, t: Column) -> Column:
-        start = state["at"] + fixed + F.length(t["role"])
-        end = start + F.length(t["text"])
-        span = F.concat_ws(":", start.cast("string"), end.cast("string"))
-        spans = F.when(t["role"] == LEARNED_ROLE, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((end + len(END)).alias("at"), spans.alias("spans"))
 
-    return F.aggregate(turns, empty, step, lambda s: F.array_join(s["spans"], ","))
+def sums(sizes: Column, start: Column) -> Column:
+    """Running sums from start on; the fold copies its result at each step, so it is for short arrays."""
+    first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("all"))
+    step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all"))
+    return F.aggregate(sizes, first, step, lambda s: s["all"])
+
+
+def running(sizes: Column) -> Column:
+    """Running sums of an array of any length: of stretches of FOLD_TURNS first, then within each."""
+    zero = F.lit(0).cast("long")
+    n = F.ceil(F.size(sizes) / FOLD_TURNS).cast("int")
+    stretches = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(sizes, i * FOLD_TURNS + 1, FOLD_TURNS))).otherwise(F.array().cast("array<array<int>>"))
+    totals = F.transform(stretches, lambda x: F.aggregate(x, zero, lambda s, n: s + n))
+    return F.flatten(F.zip_with(stretches, sums(totals, zero), lambda x, end: sums(x, end - F.aggregate(x, zero, lambda s, n: s + n))))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -59,7 +74,11 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     rejected_mask. Only SQL functions; two groupings by pair_id and a join on the same key, so each
     side is shuffled once. A pair's turns come together, as its texts do in one row.
     """
-    both = ordered_turns(chosen, "c").join(ordered_turns(rejected, "r"), "pair_id")
+    return format_turns(ordered_turns(chosen, "c").join(ordered_turns(rejected, "r"), "pair_id"))
+
+
+def format_turns(both: DataFrame) -> DataFrame:
+    """format_preferences of (pair_id, c, r) whose turns are arrays already, as ordered_turns makes them."""
     both = both.withColumn("k", common_prefix(F.col("c"), F.col("r")))
     rest = lambda side: F.slice(side, F.col("k") + 1, F.size(side))
     both = both.select("pair_id", "k", F.slice("c", F.lit(1), F.col("k")).alias("p"), rest(F.col("c")).alias("c"), rest(F.col("r")).alias("r"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -10,12 +11,13 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import parts
 
 BLOCK, FILLER = 576, b"\xff"
+GENERAL = "application/octet-stream"
 WAV_RATE = 8000
 
 
@@ -31,90 +33,148 @@ def padded(data: bytes) -> bytes:
     return data + FILLER * (-len(data) % BLOCK if data else BLOCK)
 
 
-# Each validator takes the bytes and where a signature starts; it gives the length of the whole
-# object there, or 0 if structure or lengths are wrong.
+class Scan:
+    """Bytes and what validators have found out about them, so that no stretch is walked twice.
 
+    A validator takes the scan and where a signature starts; it gives the length of the whole object
+    there, or 0 if structure or lengths are wrong. Walks that meet go on alike, whatever their starts,
+    so each keeps what follows from every place it has been to.
+    """
 
-def wav_length(data: bytes, at: int) -> int:
-    if data[at + 8 : at + 12] != b"WAVE":
+    def __init__(self, data: bytes):
+        self.data = data
+        self.known: dict[tuple[str, int], object] = {}
+
+    def walk(self, kind: str, pos: int, step: Callable[[int], tuple[int, object]], join: Callable[[object, object], object] | None = None):
+        """What is at the end of a walk: step(pos) gives the next place (0 at the end) and a finding.
+
+        The findings of all places are joined from the last to the first; without join the last counts.
+        """
+        path = []
+        while pos and (kind, pos) not in self.known:
+            after, found = step(pos)
+            path.append((pos, found))
+            if not after:
+                last = found
+                path.pop()
+                self.known[kind, pos] = last
+                break
+            pos = after
+        else:
+            last = self.known.get((kind, pos))
+        for place, found in reversed(path):
+            last = join(found, last) if join else last
+            self.known[kind, place] = last
+        return last
+
+    def ends(self, kind: str, make: Callable[[bytes], dict[int, int]]) -> dict[int, int]:
+        """Starts and ends of all objects of a kind whose end marks tell their start, found once."""
+        if (kind, -1) not in self.known:
+            self.known[kind, -1] = make(self.data)
+        return self.known[kind, -1]
+
+
+def wav_length(scan: Scan, at: int) -> int:
+    data = scan.data
+    if at + 12 > len(data) or data[at + 8 : at + 12] != b"WAVE":
         return 0
-    (size,) = struct.unpack_from("<I", data, at + 4)
-    end = at + 8 + size
+    end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
     if end > len(data):
         return 0
-    found = dict(riff_chunks(data, at))
-    return end - at if b"fmt " in found and b"data" in found else 0
 
-
-def riff_chunks(data: bytes, at: int) -> Iterator[tuple[bytes, tuple[int, int]]]:
-    """Name and (start, end) of each whole chunk of the RIFF file at `at`."""
-    end = min(len(data), at + 8 + struct.unpack_from("<I", data, at + 4)[0])
-    pos = at + 12
-    while pos + 8 <= end:
+    def step(pos: int) -> tuple[int, tuple[int, int]]:
+        """Ends of this chunk if it is a format and if it is data."""
+        if pos + 8 > len(data):
+            return 0, (0, 0)
         (size,) = struct.unpack_from("<I", data, pos + 4)
-        if pos + 8 + size > end:
-            return
-        yield data[pos : pos + 4], (pos + 8, pos + 8 + size)
+        kind, stop = data[pos : pos + 4], pos + 8 + size
+        if stop > len(data):
+            return 0, (0, 0)
+        return stop + (size & 1), (stop * (kind == b"fmt "), stop * (kind == b"data"))
+
+    form, samples = scan.walk("riff", at + 12, step, lambda own, later: (own[0] or later[0], own[1] or later[1])) or (0, 0)
+    return end - at if 0 < form <= end and 0 < samples <= end else 0
+
+
+def wav_samples(data: bytes) -> tuple[int, int]:
+    """Start and end of the samples of the WAV file that data begins with."""
+    pos = 12
+    while data[pos : pos + 4] != b"data":
+        size = struct.unpack_from("<I", data, pos + 4)[0]
         pos += 8 + size + (size & 1)
+    return pos + 8, pos + 8 + struct.unpack_from("<I", data, pos + 4)[0]
+
 
+def png_length(scan: Scan, at: int) -> int:
+    data = scan.data
 
-def png_length(data: bytes, at: int) -> int:
-    pos, first = at + 8, True
-    while pos + 12 <= len(data):
+    def step(pos: int) -> tuple[int, int]:
+        if pos + 12 > len(data):
+            return 0, 0
         (size,) = struct.unpack_from(">I", data, pos)
-        kind = data[pos + 4 : pos + 8]
-        if pos + 12 + size > len(data) or first and kind != b"IHDR":
-            return 0
-        if zlib.crc32(data[pos + 4 : pos + 8 + size]) != struct.unpack_from(">I", data, pos + 8 + size)[0]:
-            return 0
-        pos, first = pos + 12 + size, False
-        if kind == b"IEND":
-            return pos - at
-    return 0
-
-
-def gif_length(data: bytes, at: int) -> int:
+        end = pos + 12 + size
+        if end > len(data) or zlib.crc32(memoryview(data)[pos + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
+            return 0, 0
+        return (0, end) if data[pos + 4 : pos + 8] == b"IEND" else (end, 0)
+
+    end = scan.walk("png", at + 8, step) if data[at + 8 : at + 16] == b"\0\0\0\rIHDR" else 0
+    return end - at if end else 0
+
+
+def gif_length(scan: Scan, at: int) -> int:
+    data = scan.data
     if at + 13 > len(data):
         return 0
-    pos = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0)
+    table = lambda flags: 3 << (flags & 7) + 1 if flags & 0x80 else 0
 
-    def blocks(pos: int) -> int:
-        while pos < len(data) and data[pos]:
-            pos += 1 + data[pos]
-        return pos + 1
+    def rest(pos: int) -> tuple[int, int]:
+        """Sub-blocks follow each other up to an empty one, which ends them."""
+        if pos >= len(data):
+            return 0, 0
+        return (pos + 1 + data[pos], 0) if data[pos] else (0, pos + 1)
 
-    while pos < len(data):
+    def step(pos: int) -> tuple[int, int]:
+        if pos >= len(data) or data[pos] not in (0x21, 0x2C, 0x3B):
+            return 0, 0
         if data[pos] == 0x3B:
-            return pos + 1 - at
+            return 0, pos + 1
         if data[pos] == 0x21:
-            pos = blocks(pos + 2)
-        elif data[pos] == 0x2C and pos + 10 < len(data):
-            pos = blocks(pos + 11 + (3 << (data[pos + 9] & 7) + 1 if data[pos + 9] & 0x80 else 0))
-        else:
-            return 0
-    return 0
+            return scan.walk("gif data", pos + 2, rest) or 0, 0
+        return (scan.walk("gif data", pos + 11 + table(data[pos + 9]), rest) or 0) if pos + 10 < len(data) else 0, 0
+
+    end = scan.walk("gif", at + 13 + table(data[at + 10]), step)
+    return end - at if end else 0
+
 
+def jpeg_length(scan: Scan, at: int) -> int:
+    data = scan.data
 
-def jpeg_length(data: bytes, at: int) -> int:
-    pos = at + 2
-    while pos + 4 <= len(data) and data[pos] == 0xFF:
+    def coded(pos: int) -> tuple[int, int]:
+        """The next marker behind coded data: -1 less its place for the end of the image, else its place."""
+        pos = data.find(b"\xff", pos)
+        if pos < 0 or pos + 1 >= len(data):
+            return 0, 0
+        if data[pos + 1] == 0xD9:
+            return 0, -1 - pos
+        return (pos + 2, 0) if not data[pos + 1] or 0xD0 <= data[pos + 1] <= 0xD7 else (0, pos)
+
+    def step(pos: int) -> tuple[int, int]:
+        if pos + 4 > len(data) or data[pos] != 0xFF:
+            return 0, 0
         kind, (size,) = data[pos + 1], struct.unpack_from(">H", data, pos + 2)
         if kind in (0x00, 0xFF) or size < 2:
-            return 0
-        pos += 2 + size
-        if kind == 0xDA:
-            while (pos := data.find(b"\xff", pos)) >= 0 and pos + 1 < len(data):
-                if data[pos + 1] == 0xD9:
-                    return pos + 2 - at
-                if data[pos + 1] and not 0xD0 <= data[pos + 1] <= 0xD7:
-                    break
-                pos += 2
-            if pos < 0:
-                return 0
-    return 0
-
-
-def bmp_length(data: bytes, at: int) -> int:
+            return 0, 0
+        if kind != 0xDA:
+            return pos + 2 + size, 0
+        found = scan.walk("jpeg data", pos + 2 + size, coded) or 0
+        return (0, 1 - found) if found < 0 else (found, 0)
+
+    end = scan.walk("jpeg", at + 2, step)
+    return end - at if end else 0
+
+
+def bmp_length(scan: Scan, at: int) -> int:
+    data = scan.data
     if at + 26 > len(data):
         return 0
     size, reserved, pixels, header = struct.unpack_from("<IIII", data, at + 2)
@@ -123,21 +183,48 @@ def bmp_length(data: bytes, at: int) -> int:
     return size
 
 
-def pdf_length(data: bytes, at: int) -> int:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data.find(b"startxref", at, end) >= 0 else 0
+#: A cross-reference table or stream, and the end of a PDF section with the offset of its cross-references.
+PDF_PARTS = re.compile(rb"(?<!start)(xref)|([0-9]{1,10}\s[0-9]{1,5}\sobj)|startxref\s{1,4}([0-9]{1,12})\s{1,4}%%EOF")
 
 
-def zip_length(data: bytes, at: int) -> int:
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", data, end + 12)
-    return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(data) else 0
+def pdf_ends(data: bytes) -> dict[int, int]:
+    """The last section end of each PDF: its offset, taken from the start, leads to the cross-references before it."""
+    out, places = {}, (-1, -1)
+    for m in PDF_PARTS.finditer(data):
+        if m[1]:
+            places = m.start(), places[1]
+        elif m[2]:
+            places = places[0], m.start()
+        else:
+            for place in places:
+                start = place - int(m[3])
+                if place >= 0 and start >= 0 and data.startswith(b"%PDF-", start):
+                    out[start] = m.end()
+    return out
+
+
+def pdf_length(scan: Scan, at: int) -> int:
+    return scan.ends("pdf", pdf_ends).get(at, at) - at
+
+
+def zip_ends(data: bytes) -> dict[int, int]:
+    """The end of each ZIP: an end record's sizes and offsets lead back to the start."""
+    out, end = {}, data.find(b"PK\x05\x06")
+    while 0 <= end <= len(data) - 22:
+        size, start, note = struct.unpack_from("<IIH", data, end + 12)
+        at = end - size - start
+        if at >= 0 and end + 22 + note <= len(data):
+            out[at] = end + 22 + note
+        end = data.find(b"PK\x05\x06", end + 1)
+    return out
+
+
+def zip_length(scan: Scan, at: int) -> int:
+    return scan.ends("zip", zip_ends).get(at, at) - at
 
 
 #: Magic bytes, type and validator (fixed values of the formats).
-SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int], int]]] = [
+SIGNATURES: list[tuple[bytes, str, Callable[[Scan, int], int]]] = [
     (b"RIFF", "audio/wav", wav_length),
     (b"\x89PNG\r\n\x1a\n", "image/png", png_length),
     (b"GIF87a", "image/gif", gif_length),
@@ -163,12 +250,13 @@ def sniffed(data: bytes, magic: ahocorasick.Automaton) -> tuple[str | None, int,
 
     Embedded objects lie behind the start, whole and valid, leftmost first without overlap.
     """
+    scan = Scan(data)
     kind, length, inside, free = None, 0, [], 0
     for last, (k, size) in magic.iter(data.decode("latin-1")):
         at = last - size + 1
         if at and at < free:
             continue
-        if n := SIGNATURES[k][2](data, at):
+        if n := SIGNATURES[k][2](scan, at):
             if at == 0:
                 kind, length = SIGNATURES[k][1], n
             else:
@@ -177,20 +265,21 @@ def sniffed(data: bytes, magic: ahocorasick.Automaton) -> tuple[str | None, int,
     return kind, length, inside
 
 
-def encode_media(docs: DataFrame) -> DataFrame:
+def encode_media(docs: DataFrame, declared: Column | None = None) -> DataFrame:
     """(doc_id, n_bytes, media, declared): each text as UTF-8, padded, in a WAV file.
 
     Null texts are empty ones and still fill a block. Rows pass one by one, null and repeated ids
-    included; other columns are left out. The declared type is the general one, as an upload's.
+    included; other columns are left out. Without `declared` the type is the general one, as an upload's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text", 256):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array([wav_bytes(padded(x)) for x in raw], pa.binary()), pa.array(["application/octet-stream"] * len(raw))], names=["doc_id", "n_bytes", "media", "declared"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array([wav_bytes(padded(x)) for x in raw], pa.binary()), part.column("declared")], names=["doc_id", "n_bytes", "media", "declared"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, declared string")
+    told = F.lit(GENERAL) if declared is None else declared.cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", told.alias("declared")).mapInArrow(run, "doc_id long, n_bytes long, media binary, declared string")
 
 
 INSPECTED = "doc_id long, n_bytes long, declared string, detected string, corrected boolean, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, embedded array<struct<type: string, offset: long, length: long>>, feature string"
@@ -217,7 +306,7 @@ def inspect_media(media: DataFrame) -> DataFrame:
                 for doc_id, n_bytes, data, declared in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "declared")), strict=True):
                     data = data or b""
                     kind, _, inside = sniffed(data, magic)
-                    a, b = dict(riff_chunks(data, 0))[b"data"] if kind == "audio/wav" else (0, len(data))
+                    a, b = wav_samples(data) if kind == "audio/wav" else (0, len(data))
                     payload = data[a:b]
                     seen = np.flatnonzero(np.bincount(np.frombuffer(payload, "u1"), minlength=256))
                     total = int(np.frombuffer(payload, "u1").sum(dtype="int64"))
@@ -233,10 +322,9 @@ def carve_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         magic = automaton()
-        for batch in batches:
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                inside = sniffed(data or b"", magic)[2]
-                if inside:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(inside), pa.int64()), pa.array([x[0] for x in inside]), pa.array([x[1] for x in inside], pa.int64()), pa.array([data[a : a + n] for _, a, n in inside], pa.binary())], names=["doc_id", "type", "offset", "bytes"])
+        for doc_id, data in ((i, x) for batch in batches for part in parts(batch, "media", 256) for i, x in zip(part.column("doc_id").to_pylist(), part.column("media").to_pylist(), strict=True)):
+            inside = sniffed(data or b"", magic)[2]
+            if inside:
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(inside), pa.int64()), pa.array([x[0] for x in inside]), pa.array([x[1] for x in inside], pa.int64()), pa.array([data[a : a + n] for _, a, n in inside], pa.binary())], names=["doc_id", "type", "offset", "bytes"])
 
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, type string, offset long, bytes binary")

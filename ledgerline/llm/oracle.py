@@ -8,7 +8,8 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
-URL_FILTER = r"""WITH h AS (SELECT page_id, nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\.$', '')), '') AS host,
+URL_FILTER = r"""WITH h AS (SELECT page_id, nullif(lower(regexp_replace(url_decode(regexp_extract(regexp_replace(regexp_extract(replace(regexp_replace(url, '^[\x00-\x20]+|[\t\r\n]', '', 'g'), '\', '/'),
+    '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//+([^/?#]*)', 1), '^.*@', ''), '^(\[[^\]]*\]|[^:]*)', 1)), '\.+$', '')), '') AS host,
   CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS DATE) AS fetch_date FROM pages),
 listed AS (SELECT DISTINCT host, CAST(DATE '2024-01-01' + CAST((7 * length(host)) % 365 AS INTEGER) AS DATE) AS day FROM h WHERE host IS NOT NULL AND length(host) % 3 = 0),
 entries AS (SELECT host AS domain, day AS since, true AS active, 'host' AS category FROM listed UNION SELECT host, CAST(day + 120 AS DATE), false, 'host' FROM listed
@@ -31,7 +32,7 @@ def _mask(turns: str) -> str:
     return f"array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].r = 'assistant'), lambda i: ({start}) || ':' || ({start} + length({turns}[i].t))), ',')"
 
 
-CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+CHAT = f"""WITH t AS (SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 l AS (SELECT conv_id, max(turn) AS last, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM t GROUP BY 1),
 ends AS (SELECT a.conv_id, a.last, b.role, b.text FROM l a JOIN l b ON b.conv_id = a.conv_id + 1),
 c AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn) AS c FROM t GROUP BY 1),

@@ -76,27 +76,26 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.inspect_media(media.encode_media(table(spark, sf_dir, "documents")))
+    """Texts as WAV files; about half are declared as text, by the text's checksum, and so are corrected."""
+    declared = F.when(F.crc32(F.coalesce("text", F.lit(""))) % 2 == 0, "audio/wav").otherwise("text/plain")
+    found = media.inspect_media(media.encode_media(table(spark, sf_dir, "documents"), declared))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected", "corrected")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that follow from the table: see preference_pairs."""
-    return chat.format_preferences(*preference_pairs(table(spark, sf_dir, "conversations")))
+    return chat.format_turns(preference_pairs(table(spark, sf_dir, "conversations")))
 
 
-def preference_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen is conversation c. Rejected has c's turns but its last, and then the last turn of c + 1.
+def preference_pairs(turns: DataFrame) -> DataFrame:
+    """(pair_id, c, r): chosen is conversation c; rejected has c's turns but its last, and then the last turn of c + 1.
 
-    The table has no preferences, so this makes pairs that share all turns but the last.
+    The table has no preferences, so this makes pairs that share all turns but the last. Texts are
+    shuffled once, when turns are gathered; after that only the last turns move.
     """
-    last = turns.groupBy("conv_id").agg(F.max_by(F.struct("turn", "role", "text"), F.struct("turn", "role", "text")).alias("last"))
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last").alias("next"))
-    ends = last.join(other, "conv_id")
-    kept = turns.join(ends.select("conv_id", F.col("last.turn").alias("last_turn")), "conv_id").where(F.col("turn") < F.col("last_turn"))
-    rejected = kept.select("conv_id", "turn", "role", "text").unionByName(ends.select("conv_id", F.col("last.turn").alias("turn"), "next.role", "next.text"))
-    named = lambda df: df.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    return named(turns), named(rejected)
+    whole = chat.ordered_turns(turns.withColumnRenamed("conv_id", "pair_id"), "c")
+    ends = whole.select((F.col("pair_id") - 1).alias("pair_id"), F.slice("c", -1, 1).alias("end"))
+    return whole.join(ends, "pair_id").select("pair_id", "c", F.concat(F.slice("c", F.lit(1), F.size("c") - 1), F.col("end")).alias("r"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,9 +9,17 @@ from ledgerline.llm.common import written
 
 
 def host_of(url):
-    """Host in lower case without user, port and a final dot; null if the URL has none."""
-    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    return F.nullif(F.lower(F.regexp_replace(found, r"\.$", "")), F.lit(""))
+    """Host in lower case without user, port and final dots; null if the URL has none.
+
+    Reads a URL as browsers do: blanks before it don't count, a backslash is a slash, the scheme may
+    be left out before two slashes, the user ends at the last @, percent codes are decoded, and an
+    IPv6 address keeps its brackets.
+    """
+    plain = F.translate(F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", ""), "\\", "/")
+    authority = F.regexp_replace(F.regexp_extract(plain, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//+([^/?#]*)", 1), r"^.*@", "")
+    found = F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]*)", 1)
+    decoded = F.coalesce(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))), found)
+    return F.nullif(F.lower(F.regexp_replace(decoded, r"\.+$", "")), F.lit(""))
 
 
 def suffixes(host):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -493,7 +494,7 @@ def test_sniffing_and_carving(spark):
     gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02L\x01\0;"
     bmp = b"BM" + struct.pack("<IIII", 30, 0, 26, 12) + b"\0" * 12
     jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xda" + struct.pack(">H", 2) + b"xx\xff\0y\xff\xd9"
-    pdf, zip_ = b"%PDF-1.4 startxref 0 %%EOF", b"PK\x03\x04" + b"PK\x05\x06" + b"\0" * 8 + struct.pack("<IIH", 0, 4, 0)
+    pdf, zip_ = b"%PDF-1.4\nxref\n0 0\ntrailer <<>>\nstartxref\n9\n%%EOF", b"PK\x03\x04" + b"PK\x05\x06" + b"\0" * 8 + struct.pack("<IIH", 0, 4, 0)
     kinds = [(png(), "image/png"), (gif, "image/gif"), (bmp, "image/bmp"), (jpeg, "image/jpeg"), (pdf, "application/pdf"), (zip_, "application/zip"), (media.wav_bytes(b"abc"), "audio/wav")]
     magic = media.automaton()
     for data, kind in kinds:
@@ -504,9 +505,39 @@ def test_sniffing_and_carving(spark):
     assert [(r["type"], bytes(r["bytes"])) for r in media.carve_media(frame).orderBy("offset").collect()] == [("image/png", png()), ("image/gif", gif)]
 
 
+def test_ends_of_pdf_and_zip():
+    magic = media.automaton()
+    pdf = b"%PDF-1.4\nxref\n0 0\ntrailer <<>>\nstartxref\n9\n%%EOF"
+    longer = pdf + b"\n7 0 obj <<>>\nxref\n" + b"trailer <<>>\nstartxref\n%d\n%%%%EOF" % (len(pdf) + 14)
+    linear = b"%PDF-1.5\nxref\nstartxref\n0\n%%EOF\n12 0 obj\nstartxref\n32\n%%EOF"
+    stream = b"x" + longer + b"\n" + linear + b"%PDF-1.7 no end"
+    assert media.sniffed(stream, magic)[2] == [("application/pdf", 1, len(longer)), ("application/pdf", 2 + len(longer), len(linear))]
+    end = lambda size, start: b"PK\x05\x06" + b"\0" * 8 + struct.pack("<IIH", size, start, 0)
+    inner = b"PK\x03\x04" + b"a" * 9 + end(0, 13)
+    outer = b"PK\x03\x04head" + inner + b"tail" + end(4, 8 + len(inner))
+    assert media.sniffed(b"z" + outer, magic)[2] == [("application/zip", 1, len(outer))]
+
+
+@pytest.mark.parametrize("piece", [b"%PDF-", b"%PDF-%%EOF", b"PK\x03\x04", b"PK\x05\x06" + b"\0" * 3, b"RIFF\x10\0\0\0WAVE", b"RIFF\0\0\0\0", b"GIF89a\x01", b"GIF87a" + b"!" * 9, b"\xff\xd8\xff\xda\0\2", b"\xff\xd8\xff\xe0\0\4", b"BM", b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR", b"xref 1 0 obj startxref 5 %%EOF%PDF-"])
+def test_sniffing_is_linear(piece):
+    magic, took = media.automaton(), []
+    for size in (200_000, 800_000):
+        data = piece * (size // len(piece))
+        began = time.process_time()
+        media.sniffed(data, magic)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.3
+
+
 # --- URL filters
 
 
+def test_hosts(spark):
+    urls = {"http://a@b@bad.com/": "bad.com", "http://bad%2ecom/": "bad.com", "http://[::1]:80/x": "[::1]", "  http://bad.com": "bad.com", "http:\\\\bad.com\\x": "bad.com", "//bad.com/x": "bad.com", "http://BAD.com..": "bad.com", "http://a%zz/": "a%zz", "http://u:p@h:1?x@y": "h", "http:///": None, "mailto:a@b": None, "": None, "http://a+b/": "a+b"}
+    rows = spark.createDataFrame(list(urls.items()), "url string, want string").select(url_filter.host_of(F.col("url")).alias("got"), "want", "url").collect()
+    assert [(r["url"], r["got"]) for r in rows] == [(r["url"], r["want"]) for r in rows]
+
+
 def test_url_filter(spark):
     entries = spark.createDataFrame([("a.com", "2024-01-01", "add", "x"), ("a.com", "2024-02-01", "remove", "x"), ("s.b.com", "2024-01-01", "remove", "y"), ("b.com", "2024-01-01", "add", "y"), ("a.com", "2024-03-01", "add", "z"), ("a.com", "2024-03-01", "remove", "z"), (None, "2024-01-01", "add", "n"), ("c.com", None, "add", "n"), ("b.com", "2024-01-01", "add", "y")], "domain string, entry_date string, action string, category string")
     rows = [(1, "http://A.com/x", "2024-01-31"), (2, "https://u@www.a.com:80", "2024-02-01"), (3, "http://s.b.com.", "2024-05-01"), (4, "http://b.com", "2023-12-31"), (5, None, "2024-01-01"), (6, "nonsense", "2024-01-01"), (7, "http://a.com", None), (8, "http://a.com", "2024-03-05"), (1, "http://A.com/x", "2024-01-31")]
@@ -547,6 +578,33 @@ def test_chat(spark):
     assert chat.format_preferences(chosen.where("false"), rejected).count() == 0
 
 
+def test_chat_of_many_turns_and_marks(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i} <|assistant|>" + "é" * (i % 5)) for i in range(1500)]
+    got = chat.format_preferences(turns(spark, rows), turns(spark, rows[:3])).first()
+    spans = [tuple(map(int, x.split(":"))) for x in got["chosen_mask"].split(",")]
+    assert [got["chosen"][a:b] for a, b in spans] == [r[3].replace("<|", "< |") for r in rows[3:] if r[2] == "assistant"]
+    assert got["chosen"].count("<|") == 1497 and got["rejected_mask"] == ""
+
+
+# --- SQL of this subpackage's queries
+
+
+@pytest.mark.parametrize("name", ["op2_topk", "op3_url_filter", "op10_chat"])
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    from ledgerline.llm import queries
+
+    con = duckdb.connect()
+    for t in ("embeddings", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    ours, theirs = queries.QUERIES[name](spark, "/root/testdata/sf0.01").toPandas(), con.execute(queries.ORACLE[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    plain = lambda v: None if v is None or v != v else str(v)[:10] if hasattr(v, "isoformat") else str(v)
+    rows = lambda f: sorted((tuple(map(plain, r)) for r in f[sorted(f.columns)].itertuples(index=False)), key=str)
+    assert rows(ours) == rows(theirs)
+
+
 # --- shared
 
 
