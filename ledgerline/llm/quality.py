@@ -1,6 +1,7 @@
 """Quality classifier: n-gram indicators scaled by naive Bayes ratios, then a linear hinge-loss model.
 
-The n-grams are of word shapes, one to three; whether a word is the one before it is part of a pair. The
+The n-grams are of word shapes, one to three, and of words, one and two; whether a word is the one
+before it is part of a pair of shapes. The
 hinge-loss model is fitted by dual coordinate descent, its margin turned into a probability by a
 logistic fit on rows that the model did not see.
 """
@@ -34,7 +35,7 @@ RUNS = re.compile(r"(\W)\1+")
 def shape(word: str) -> str:
     """The word with its letters and digits as classes, runs as one."""
     plain = DIGITS.sub("9", LETTERS.sub(lambda m: "X" if len(m[0]) > 1 and m[0].isupper() else "C" if m[0][0].isupper() else "x", word))
-    return RUNS.sub(r"\1\1", plain)[:12]
+    return RUNS.sub(r"\1\1", plain)
 
 
 def bucket(key: str) -> int:
@@ -44,19 +45,22 @@ def bucket(key: str) -> int:
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
     """For each text the sorted buckets of the n-grams that occur in it, each once.
 
-    Words are made distinct over all the texts first, so each one's shape is taken once.
+    Words are made distinct over all the texts first, so each one's shape and bucket are taken once.
     """
     lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
     coded = lists.flatten().dictionary_encode()
     number = coded.indices.to_numpy()
-    shapes = np.fromiter((bucket(shape(w)) for w in coded.dictionary.to_pylist()), "i8", len(coded.dictionary))[number]
+    names = coded.dictionary.to_pylist()
+    shapes = np.fromiter((bucket(shape(w)) for w in names), "i8", len(names))[number]
+    words = np.fromiter((bucket("word " + w.lower()) for w in names), "i8", len(names))[number]
     bound = lists.offsets.to_numpy().tolist()
     for x, y in zip(bound[:-1], bound[1:], strict=True):
-        own, word = shapes[x:y], number[x:y]
+        own, word, plain = shapes[x:y], number[x:y], words[x:y]
         doubled = word[1:] == word[:-1]
         pairs = (own[:-1] * 0x9E3779B1 + own[1:] * 0x85EBCA6B + 0x27D4EB2F + doubled * 0x165667B1) >> 7
         triples = (pairs[:-1] * 0xC2B2AE3D + pairs[1:]) >> 9
-        yield np.unique(np.concatenate([own, pairs & MASK, triples & MASK])).astype("int32")
+        beside = (plain[:-1] * 0x9E3779B1 + plain[1:] * 0x85EBCA6B + 0x165667B1) >> 5
+        yield np.unique(np.concatenate([own, pairs & MASK, triples & MASK, plain, beside & MASK])).astype("int32")
 
 
 @dataclass

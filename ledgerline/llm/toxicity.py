@@ -1,8 +1,8 @@
 """Toxicity: a learned lexicon, misspellings by Levenshtein automata over its trie, and context.
 
 The lexicon holds the words that labels show to be abusive. A word of a text hits a term if it is
-the term or, for longer terms, one edit away: the word's Levenshtein automaton runs over the trie of
-terms, so shared prefixes are walked once. Terms that clean texts use, too, are doubtful and have
+the term or few edits away, more of them for longer terms, two letters that changed places being one:
+the word's Levenshtein automaton runs over the trie of terms, so shared prefixes are walked once. Terms that clean texts use, too, are doubtful and have
 evidence and weights of their own. The words around a hit tell quotation from abuse. A logistic model
 over the hits of a text gives its score.
 """
@@ -18,15 +18,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import held_out, labelled_sample, parts, written
 
 WORD = re.compile(r"[^\W_]+")
-#: Shorter terms are matched as they are only.
-FUZZY_LETTERS = 5
+#: Letters from which on a term is matched with one edit, and with two. In fewer, an edit makes another word.
+FUZZY_LETTERS, LOOSE_LETTERS = 5, 12
 #: Words on each side of a hit that are its context.
 WINDOW = 6
 QUOTES = "\"'“”„«»‹›‘’`"
@@ -34,7 +34,7 @@ MARKS = frozenset(QUOTES)
 #: Words that report what others say, and words that address somebody (fixed lists).
 REPORTING = frozenset("said says quote quoted quotes called calls wrote word term dijo dice palabra dit disait mot sagte sagt wort nannte".split())
 ADDRESS = frozenset("you your youre u du dich dein ihr tu te tes vous vos tú te tus usted eres es bist are".split())
-#: Letters of the stems that are learned beside whole words; a stem is written with a star.
+#: Letters of the stems that are learned beside whole words, for languages that inflect; a stem is written with a star.
 STEMS = (4, 5, 6)
 #: Texts whose chunks are made distinct together.
 BATCH_ROWS = 2048
@@ -45,8 +45,26 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
 
+def allowed(term: str) -> int:
+    """How many edits a term is matched with; a stem has none."""
+    return 0 if term[-1] == "*" else (len(term) >= FUZZY_LETTERS) + (len(term) >= LOOSE_LETTERS)
+
+
+def shortened(word: str, most: int) -> set[str]:
+    """The word with at most `most` letters left out. Words within so many edits, swaps included, have one in common."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class LevenshteinAutomaton:
-    """Accepts the words within `most` edits of `word`; a state holds (place, edits) pairs."""
+    """Accepts the words within `most` edits of `word`; a state holds (place, edits) pairs.
+
+    Two neighbours that changed places are one edit; a place below zero waits for the second of them:
+    -1 - i has read the letter behind place i.
+    """
 
     def __init__(self, word: str, most: int):
         self.word, self.most = word, most
@@ -56,7 +74,14 @@ class LevenshteinAutomaton:
 
     def step(self, state: tuple[tuple[int, int], ...], letter: str) -> tuple[tuple[int, int], ...]:
         edits: dict[int, int] = {}
+        swaps: dict[int, int] = {}
         for i, e in state:  # by place
+            if i < 0:
+                if self.word[-1 - i] == letter:
+                    edits[1 - i] = min(edits.get(1 - i, e), e)
+                continue
+            if e < self.most and i + 1 < len(self.word) and self.word[i + 1] == letter != self.word[i]:
+                swaps[-1 - i] = e + 1
             if e < self.most:
                 edits[i] = min(edits.get(i, e + 1), e + 1)  # the letter is extra
             if i < len(self.word):
@@ -68,18 +93,24 @@ class LevenshteinAutomaton:
             while j <= len(self.word) and e <= self.most and edits.get(j, e + 1) > e:
                 edits[j] = e
                 j, e = j + 1, e + 1
-        return tuple(sorted(edits.items()))
+        return tuple(sorted((edits | swaps).items()))
+
+    def edits(self, state: tuple[tuple[int, int], ...]) -> int:
+        """Edits at the end of the read word; over `most` if it isn't accepted."""
+        return min((e + len(self.word) - i for i, e in state if i >= 0), default=self.most + 1)
 
     def accepts(self, state: tuple[tuple[int, int], ...]) -> bool:
-        return any(e + len(self.word) - i <= self.most for i, e in state)
+        return self.edits(state) <= self.most
 
 
 @dataclass
 class Trie:
-    """Terms by letters; `deletions` has each fuzzy term with at most one letter left out."""
+    """Terms by letters; `deletions` has each fuzzy term with at most as many letters left out as it has edits."""
 
     root: dict = field(default_factory=dict)
     deletions: set[str] = field(default_factory=set)
+    #: By length of a word, how many edits away a term may be.
+    reach: dict[int, int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, terms: list[str]) -> Trie:
@@ -89,30 +120,32 @@ class Trie:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-            if len(term) >= FUZZY_LETTERS and term[-1] != "*":
-                trie.deletions.update({term, *(term[:i] + term[i + 1 :] for i in range(len(term)))})
+            if allowed(term):
+                trie.deletions.update(shortened(term, allowed(term)))
+            for n in range(-allowed(term), allowed(term) + 1):
+                trie.reach[len(term) + n] = max(trie.reach.get(len(term) + n, 0), allowed(term))
         return trie
 
     def near(self, word: str) -> str | None:
-        """The first term, in the order of letters, that is one edit from the word.
+        """The term with the fewest edits from the word, within those it allows; the first of equals.
 
-        Two words within one edit share a form with at most one letter left out, so words without
-        such a form need no walk; the walk alone decides.
+        Words that share no form with letters left out need no walk; the walk alone decides.
         """
-        if len(word) < FUZZY_LETTERS - 1 or word not in self.deletions and not any(word[:i] + word[i + 1 :] in self.deletions for i in range(len(word))):
+        most = self.reach.get(len(word), 0)
+        if not most or self.deletions.isdisjoint(shortened(word, most)):
             return None
-        machine = LevenshteinAutomaton(word, 1)
+        machine = LevenshteinAutomaton(word, most)
         stack = [(self.root, machine.start())]
         best = None
         while stack:
             node, state = stack.pop()
             term = node.get("")
-            if term is not None and len(term) >= FUZZY_LETTERS and term[-1] != "*" and machine.accepts(state) and (best is None or term < best):
-                best = term
+            if term is not None and (n := machine.edits(state)) <= allowed(term) and allowed(term) and (best is None or (n, term) < best):
+                best = n, term
             for letter, below in node.items():
                 if letter and (to := machine.step(state, letter)):
                     stack.append((below, to))
-        return best
+        return best and best[1]
 
 
 #: Counts of a text: exact and near hits, each in plain and in quoting context, and hits in abusive context.
@@ -177,10 +210,12 @@ class Matcher:
         self.kind = {**dict.fromkeys(lexicon.doubtful, 1), **dict.fromkeys(lexicon.terms, 0)}
         self.tries = Trie.of(lexicon.terms), Trie.of(lexicon.doubtful)
         self.deletions = self.tries[0].deletions | self.tries[1].deletions
+        self.reach = {n: max(t.reach.get(n, 0) for t in self.tries) for n in self.tries[0].reach | self.tries[1].reach}
 
     def near(self, word: str) -> int | None:
         """Whether the word is near a sure term (0) or else a doubtful one (1)."""
-        if len(word) < FUZZY_LETTERS - 1 or word not in self.deletions and self.deletions.isdisjoint([word[:i] + word[i + 1 :] for i in range(len(word))]):
+        most = self.reach.get(len(word), 0)
+        if not most or self.deletions.isdisjoint(shortened(word, most)):
             return None
         return next((k for k, trie in enumerate(self.tries) if trie.near(word)), None)
 
@@ -252,33 +287,59 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, bias: float) -
     return weight, bias
 
 
-def sketch(text: str) -> int:
-    """The least hash of the text's five-word shingles; copies and most near copies share it."""
+#: Hashes of a sketch: copies share all, texts that share half of their shingles one with a chance of 98 %.
+SKETCH = 6
+
+
+def sketch(text: str) -> list[int]:
+    """The least hashes of the text's five-word shingles under SKETCH permutations."""
     words = text.lower().split()
-    return min((zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))), default=0)
+    own = np.array([zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))], "u8")
+    return [int(((own + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).min()) for k in range(SKETCH)]
+
+
+def unlike(rows: list[tuple[int, int, list[int]]]) -> list[int]:
+    """The least doc_id of each group of rows (doc_id, label, sketch) of one label that hashes of the sketches join."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for doc_id, label, hashes in sorted(rows):
+        for k, h in enumerate(hashes):
+            root[find((label, k, h))] = find((label, doc_id))
+    kept: dict = {}
+    for doc_id, label, _ in sorted(rows):
+        kept.setdefault(find((label, doc_id)), doc_id)
+    return sorted(kept.values())
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, error: float = 0.05) -> Lexicon:
     """Lexicon and weights from at most sample_rows labelled documents, crc32(doc_id) mod 3 not 1.
 
     A word or stem is a term if toxic documents use it unquoted so much more often than their share
-    that chance would name, among all words and stems counted, `error` such terms. Those that clean
+    that chance would name, among all words and stems counted, `error` such terms. Of documents that are alike one
+    counts. Those that clean
     documents use, too (over one in ten), are doubtful and have weights of their own. Counting is
-    distributed; terms, clean look-alikes and the evidence of the sample (ten numbers a row) reach
-    the driver.
+    distributed; terms, clean look-alikes, sketches and the evidence of the sample (sixteen numbers a
+    row) reach the driver.
     """
     spark = docs.sparkSession
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted({f for w in unquoted(t) for f in forms(w)}) for t in batch.column("text").to_pylist()]
-            alike = pa.array([sketch(t) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("text"), pa.array(rows, pa.list_(pa.string())), alike], names=["doc_id", "label", "text", "words", "alike"])
+            for part in parts(batch, "text", 256):
+                texts = part.column("text").to_pylist()
+                found = pa.array([sorted({f for w in unquoted(t) for f in forms(w)}) for t in texts], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("text"), found, pa.array(map(sketch, texts), pa.list_(pa.int64()))], names=["doc_id", "label", "text", "words", "alike"])
 
-    sample = labelled_sample(docs, labels, "toxic", 3, 1, sample_rows).mapInArrow(words, "doc_id long, label int, text string, words array<string>, alike long")
+    sample = written(labelled_sample(docs, labels, "toxic", 3, 1, sample_rows).mapInArrow(words, "doc_id long, label int, text string, words array<string>, alike array<long>"), "toxic")
     # Of documents that are alike one counts, as their words are no separate findings.
-    first = F.row_number().over(Window.partitionBy("label", "alike").orderBy("doc_id", "text"))
-    sample = written(sample.withColumn("first", first).where(F.col("first") == 1).drop("first", "alike"), "toxic")
+    first = unlike([tuple(r) for r in sample.select("doc_id", "label", "alike").collect()])
+    sample = sample.join(F.broadcast(spark.createDataFrame([(i,) for i in first], "doc_id long")), "doc_id", "left_semi").drop("alike")
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     counts = written(sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "words")
