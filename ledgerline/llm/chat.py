@@ -13,6 +13,21 @@ LEARNED_ROLE = "assistant"
 FOLD_TURNS = 256
 
 
+def turn_of() -> Column:
+    """A turn as (turn, role, text), which sorts as turns follow each other."""
+    safe = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(START), F.lit(SAFE)).alias(c)
+    return F.struct(F.col("turn"), safe("role"), safe("text"))
+
+
+def counted(turns: DataFrame) -> DataFrame:
+    return turns.where(F.col("pair_id").isNotNull() & (F.col("role").isNotNull() | F.col("text").isNotNull()))
+
+
+def last_turns(turns: DataFrame, name: str) -> DataFrame:
+    """(pair_id, name): each conversation's last turn as (role, text); only one a task and conversation is shuffled."""
+    return counted(turns).groupBy("pair_id").agg(F.max(turn_of()).alias("last")).select("pair_id", F.struct("last.role", "last.text").alias(name))
+
+
 def ordered_turns(turns: DataFrame, name: str) -> DataFrame:
     """(pair_id, name): each conversation's turns in order as an array of (role, text).
 
@@ -20,10 +35,7 @@ def ordered_turns(turns: DataFrame, name: str) -> DataFrame:
     neither role nor text don't count; a null role or text is empty. What opens a turn can't stand in
     one: START in a role or text becomes SAFE.
     """
-    safe = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(START), F.lit(SAFE)).alias(c)
-    turn = F.struct(F.col("turn"), safe("role"), safe("text"))
-    kept = turns.where(F.col("pair_id").isNotNull() & (F.col("role").isNotNull() | F.col("text").isNotNull()))
-    grouped = kept.groupBy("pair_id").agg(F.sort_array(F.collect_list(turn)).alias("all"))
+    grouped = counted(turns).groupBy("pair_id").agg(F.sort_array(F.collect_list(turn_of())).alias("all"))
     return grouped.select("pair_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(name))
 
 

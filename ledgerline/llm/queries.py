@@ -90,12 +90,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """(pair_id, c, r): chosen is conversation c; rejected has c's turns but its last, and then the last turn of c + 1.
 
-    The table has no preferences, so this makes pairs that share all turns but the last. Texts are
-    shuffled once, when turns are gathered; after that only the last turns move.
+    The table has no preferences, so this makes pairs that share all turns but the last. All turns are
+    shuffled once, when they are gathered; besides that only last turns move.
     """
-    whole = chat.ordered_turns(turns.withColumnRenamed("conv_id", "pair_id"), "c")
-    ends = whole.select((F.col("pair_id") - 1).alias("pair_id"), F.slice("c", -1, 1).alias("end"))
-    return whole.join(ends, "pair_id").select("pair_id", "c", F.concat(F.slice("c", F.lit(1), F.size("c") - 1), F.col("end")).alias("r"))
+    turns = turns.withColumnRenamed("conv_id", "pair_id")
+    whole = chat.ordered_turns(turns, "c")
+    ends = chat.last_turns(turns, "end").withColumn("pair_id", F.col("pair_id") - 1)
+    return whole.join(ends, "pair_id").select("pair_id", "c", F.concat(F.slice("c", F.lit(1), F.size("c") - 1), F.array("end")).alias("r"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

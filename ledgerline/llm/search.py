@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import written
 
-LEAF = 48
+LEAF = 256
 #: Scores are whole numbers, so rounding of a bound is well below this.
 SLACK = 0.5
 
@@ -29,7 +29,7 @@ SLACK = 0.5
 class Node:
     """Rows at[...] around a centre; what bounds need of the children is kept side by side."""
 
-    __slots__ = ("angle", "angles", "at", "centre", "centres", "children", "longest", "longests", "norm", "norms", "radii", "radius")
+    __slots__ = ("angle", "angles", "at", "cell", "centre", "centres", "children", "longest", "longests", "norm", "norms", "radii", "radius")
 
     def __init__(self, points: np.ndarray, at: np.ndarray, centre: np.ndarray, radius: float):
         self.at, self.centre, self.radius = at, centre, radius
@@ -62,6 +62,12 @@ def bounds(dot, norms, others, radii, other_radii, angles, longest):
     return np.minimum(ball, longest * np.maximum(np.cos(np.clip(between - angles, 0, np.pi)), 0)) + SLACK
 
 
+def leaf(points: np.ndarray, at: np.ndarray) -> Node:
+    """A node without children around the mean of its rows."""
+    centre = points[at].mean(0)
+    return Node(points, at, centre, float(np.sqrt(((points[at] - centre) ** 2).sum(1)).max()))
+
+
 def cover_tree(points: np.ndarray) -> Node:
     """A cover tree, levels of one kind merged: each level halves the covering distance.
 
@@ -71,12 +77,14 @@ def cover_tree(points: np.ndarray) -> Node:
 
     def build(at: np.ndarray, centre: np.ndarray, away: np.ndarray) -> Node:
         radius = float(away.max())
+        if len(at) <= LEAF or radius <= 1e-9 * (1 + float(np.abs(points[at[0]]).max())):
+            return leaf(points, at)
         node = Node(points, at, centre, radius)
-        if len(at) <= LEAF or radius == 0:
-            return node
         reach = radius
         while True:
             reach /= 2
+            if reach <= 1e-12 * radius:
+                return leaf(points, at)
             groups, left, dist = [], np.arange(len(at)), away
             first = centre
             while len(left):
@@ -96,16 +104,31 @@ def cover_tree(points: np.ndarray) -> Node:
         if lone:  # small groups share leaves, in order
             rest = np.concatenate([g[0] for g in lone])
             for k in range(0, len(rest), LEAF):
-                own = at[rest[k : k + LEAF]]
-                c = points[own].mean(0)
-                node.children.append(Node(points, own, c, float(np.sqrt(((points[own] - c) ** 2).sum(1)).max())))
+                node.children.append(leaf(points, at[rest[k : k + LEAF]]))
         node.close()
         return node
 
-    centre = points[0]
+    centre = points.mean(0)
     return build(np.arange(len(points)), centre, np.sqrt(((points - centre) ** 2).sum(1)))
 
 
+def forest(points: np.ndarray, cells: np.ndarray) -> Node:
+    """A tree over points that come sorted by cell: one cover tree a cell below a common root."""
+    root = leaf(points, np.arange(len(points)))
+    for own in np.split(root.at, np.flatnonzero(np.diff(cells)) + 1):
+        root.children.append(moved(cover_tree(points[own]), int(own[0])))
+        root.children[-1].cell = int(cells[own[0]])
+    root.close()
+    return root
+
+
+def moved(node: Node, by: int) -> Node:
+    node.at = node.at + by
+    for c in node.children:
+        moved(c, by)
+    return node
+
+
 class Best:
     """The k best (score, id) so far of each query; ties go to the smaller id.
 
@@ -139,8 +162,8 @@ class Best:
         self.found[rows] = np.take_along_axis(f, order, 1)
 
 
-def search(queries: np.ndarray, tree: Node, data: np.ndarray, ids: np.ndarray, data_tree: Node, best: Best) -> None:
-    """Adds the data block's best to `best`."""
+def search(queries: np.ndarray, tree: Node, data: np.ndarray, ids: np.ndarray, data_tree: Node, best: Best, same_cell: bool = False) -> None:
+    """Adds the data's best to `best`; with same_cell, of forests only trees of one cell meet."""
     length = np.sqrt((queries * queries).sum(1))
 
     def visit(q: Node, x: Node) -> None:
@@ -151,7 +174,8 @@ def search(queries: np.ndarray, tree: Node, data: np.ndarray, ids: np.ndarray, d
             if len(at):
                 best.offer(at, queries[at] @ data[x.at].T, ids[x.at])
             return
-        if not x.children:
+        # The wider node is opened, so that queries meet the nearest data first and floors rise early.
+        if q.children and (not x.children or q.radius >= x.radius):
             bound = bounds(q.centres @ x.centre, q.norms, x.norm, q.radii, x.radius, q.angles + x.angle, q.longests * x.longest)
             for c, b in zip(q.children, bound.tolist(), strict=True):
                 if b >= best.worst(c.at):
@@ -161,10 +185,15 @@ def search(queries: np.ndarray, tree: Node, data: np.ndarray, ids: np.ndarray, d
         for k in np.argsort(-bound, kind="stable").tolist():
             if bound[k] < best.worst(q.at):
                 break
-            for c in q.children or (q,):
-                visit(c, x.children[k])
+            visit(q, x.children[k])
 
-    visit(tree, data_tree)
+    if same_cell:
+        of = {x.cell: x for x in data_tree.children}
+        for q in tree.children:
+            if q.cell in of:
+                visit(q, of[q.cell])
+    else:
+        visit(tree, data_tree)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -178,15 +207,16 @@ def unpacked(cell: bytes, width: int) -> np.ndarray:
 
 
 def packed_blocks(rows: DataFrame) -> DataFrame:
-    """(block, cell, ids binary, vectors binary) of (vec_id, row, vector, cell, block)."""
+    """(block, ids binary, cells binary, vectors binary) of (vec_id, row, vector, cell, block)."""
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
+        table = table.sort_by([("cell", "ascending"), ("row", "ascending")])
         vectors = np.asarray(table.column("vector").combine_chunks().flatten(), dtype="i8")
         ids = np.asarray(table.column("vec_id")).astype("<i8").tobytes()
-        return pa.table({"block": table.column("block")[:1], "cell": table.column("cell")[:1], "ids": [ids], "vectors": [packed(vectors)]}, schema=pa.schema([("block", pa.int64()), ("cell", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+        cells = np.asarray(table.column("cell")).astype("<i4").tobytes()
+        return pa.table({"block": table.column("block")[:1], "ids": [ids], "cells": [cells], "vectors": [packed(vectors)]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("cells", pa.binary()), ("vectors", pa.binary())]))
 
-    return rows.groupBy("block").applyInArrow(pack, "block long, cell int, ids binary, vectors binary")
+    return rows.groupBy("block").applyInArrow(pack, "block long, ids binary, cells binary, vectors binary")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -206,7 +236,12 @@ def centres_of(sample: np.ndarray, cells: int, rounds: int = 5) -> np.ndarray:
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
         centres = np.where((total * total).sum(1, keepdims=True) > 0, unit(total), centres)
-    return centres
+    order, left = [0], set(range(1, len(centres)))  # each next to the one nearest to it
+    while left:
+        rest = sorted(left)
+        order.append(rest[int((centres[rest] @ centres[order[-1]]).argmax())])
+        left.remove(order[-1])
+    return centres[order]
 
 
 def with_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -225,18 +260,25 @@ def with_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 class Blocks:
-    """Numbers of the blocks of each cell: count[cell] blocks from start[cell] on."""
+    """Blocks of about block_rows rows in the order of cells: large cells have several, small neighbours share one."""
 
     def __init__(self, sizes: dict[int, int], cells: int, block_rows: int):
-        self.count = [-(-sizes.get(c, 0) // block_rows) for c in range(cells)]
-        self.start = np.r_[0, np.cumsum(self.count)].tolist()
+        self.rows = block_rows
+        self.size = np.array([sizes.get(c, 0) for c in range(cells)], "i8")
+        self.start = np.cumsum(self.size) - self.size
 
     def of(self, rows: DataFrame) -> DataFrame:
-        pick = lambda values: F.element_at(F.lit(values), F.col("cell") + 1)
-        return rows.withColumn("block", (pick(self.start[:-1]) + F.pmod(F.xxhash64("row"), F.greatest(pick(self.count), F.lit(1)))).cast("long"))
+        pick = lambda values: F.element_at(F.lit(values.tolist()), F.col("cell") + 1)
+        place = pick(self.start) + F.pmod(F.xxhash64("row"), F.greatest(pick(self.size), F.lit(1)))
+        return rows.withColumn("block", F.floor(place / self.rows).cast("long"))
+
+    def numbers(self, cells: np.ndarray) -> np.ndarray:
+        """The blocks that hold rows of these cells."""
+        own = [np.arange(self.start[c] // self.rows, (self.start[c] + self.size[c] - 1) // self.rows + 1) for c in cells if self.size[c]]
+        return np.unique(np.concatenate(own)) if own else np.zeros(0, "i8")
 
 
-def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256, query_rows: int = 1024, block_rows: int = 1024, run_blocks: int = 16, cell_rows: int = 256, most_cells: int = 1024, scored: Accumulator | None = None) -> DataFrame:
+def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256, query_rows: int = 1024, block_rows: int = 1024, run_blocks: int = 16, cell_rows: int = 512, most_cells: int = 1024, scored: Accumulator | None = None) -> DataFrame:
     """The k rows of the highest inner product for each row whose vec_id is divisible by `every`.
 
     Components become floor(scale * x). Rows with a null id, a null vector or a null or non-finite
@@ -245,7 +287,8 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
     Ties go to the smaller vec_id. A dimension of its own makes a search of its own: vectors of other
     lengths don't meet. Result: query_id, rank, vec_id, score.
 
-    There are n / cell_rows cells, most_cells at most, around directions learned from 4 rows a cell;
+    There are n / cell_rows cells, most_cells at most, around directions learned from 4 rows a cell,
+    numbered so that neighbours follow each other;
     they decide what is compared early and skipped, never the result. The driver gets counts, angles and
     lengths by cell. Tasks get run_blocks query blocks and run_blocks data blocks at most. Each gives
     at most k rows a query, and a window over these keeps the best. `scored` counts the pairs whose
@@ -272,8 +315,8 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-#: Cells in which a query block looks for its floors.
-NEAR_CELLS = 4
+#: Blocks of its own cells in which a query block looks for its floors, at most; they change no result.
+NEAR_BLOCKS = 64
 
 
 def search_width(rows: DataFrame, width: int, every: int, k: int, query_rows: int, block_rows: int, run_blocks: int, cells: int, scored: Accumulator | None) -> DataFrame:
@@ -286,20 +329,18 @@ def search_width(rows: DataFrame, width: int, every: int, k: int, query_rows: in
     state = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(asks).alias("q"), F.max("angle").alias("angle"), F.max("length").alias("longest")).collect()}
     data, asked = (Blocks({c: r[name] for c, r in state.items()}, cells, size) for name, size in (("n", block_rows), ("q", query_rows)))
     d_blocks = written(packed_blocks(data.of(placed)), "blocks")
-    q_blocks = written(packed_blocks(asked.of(placed.where(asks))).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "vectors": "q_vectors"}).drop("cell"), "queries")
+    q_blocks = written(packed_blocks(asked.of(placed.where(asks))).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "cells": "q_cells", "vectors": "q_vectors"}), "queries")
     angles = np.array([state[c]["angle"] if c in state else 0.0 for c in range(cells)])
     longest = np.array([state[c]["longest"] if c in state else 0.0 for c in range(cells)])
-    full = np.array(data.count) > 0
 
     def near(batches):
         for pdf in batches:
-            for q_block, vectors in zip(pdf["q_block"], pdf["q_vectors"], strict=True):
-                mean = unit(unpacked(vectors, width)).mean(0)
-                order = np.argsort(np.where(full, -(centres @ mean), np.inf), kind="stable")[: min(NEAR_CELLS, int(full.sum()))]
-                yield pd.DataFrame({"q_block": q_block, "block": [data.start[c] for c in order]})
+            for q_block, cells in zip(pdf["q_block"], pdf["q_cells"], strict=True):
+                own = data.numbers(np.unique(np.frombuffer(cells, "<i4")))
+                yield pd.DataFrame({"q_block": q_block, "block": own[:: -(-len(own) // NEAR_BLOCKS)]})
 
-    seeds = q_blocks.select("q_block", "q_vectors").mapInPandas(near, "q_block long, block long")
-    seeds = d_blocks.join(seeds, "block").select(F.col("q_block").alias("for_block"), "block", "ids", "vectors")
+    seeds = q_blocks.select("q_block", "q_cells").mapInPandas(near, "q_block long, block long")
+    seeds = d_blocks.join(seeds, "block").select(F.col("q_block").alias("for_block"), "ids", "cells", "vectors")
     floors = written(q_blocks.groupBy("q_block").cogroup(seeds.groupBy("for_block")).applyInPandas(floor_finder(width, k, scored), "q_block long, floors binary"), "floors")
     asking = q_blocks.join(floors, "q_block")
 
@@ -310,41 +351,45 @@ def search_width(rows: DataFrame, width: int, every: int, k: int, query_rows: in
                 length = np.sqrt((queries * queries).sum(1, keepdims=True))
                 cos = np.clip(np.divide(queries @ centres.T, length, out=np.ones((len(queries), cells)), where=length > 0), -1, 1)
                 bound = length * longest * np.maximum(np.cos(np.clip(np.arccos(cos) - 1e-7 - angles, 0, np.pi)), 0) + SLACK
-                for c in np.flatnonzero(full & (bound >= np.frombuffer(floor)[:, None]).any(0)):
-                    for first in range(data.start[c], data.start[c + 1], run_blocks):
-                        yield pd.DataFrame({"q_block": [q_block], "run": [first]})
+                runs = np.unique(data.numbers(np.flatnonzero((bound >= np.frombuffer(floor)[:, None]).any(0))) // run_blocks)
+                yield pd.DataFrame({"q_block": q_block, "run": runs})
 
     pairs = written(asking.select("q_block", "q_vectors", "floors").mapInPandas(open_cells, "q_block long, run long").withColumn("part", F.floor(F.col("q_block") / run_blocks)), "pairs")
-    starts = F.element_at(F.lit(data.start[:-1]), F.col("cell") + 1)
     task = F.concat_ws(":", F.col("run").cast("string"), F.col("part").cast("string"))
-    right = d_blocks.withColumn("run", F.col("block") - F.pmod(F.col("block") - starts, F.lit(run_blocks)))
-    right = right.join(pairs.select("run", "part").distinct(), "run").select(task.alias("task"), "block", "ids", "vectors")
-    left = asking.join(pairs, "q_block").select(task.alias("task"), "q_block", "q_ids", "q_vectors", "floors")
+    right = d_blocks.withColumn("run", F.floor(F.col("block") / run_blocks))
+    right = right.join(pairs.select("run", "part").distinct(), "run").select(task.alias("task"), "ids", "cells", "vectors")
+    left = asking.join(pairs, "q_block").select(task.alias("task"), "q_block", "q_ids", "q_cells", "q_vectors", "floors")
     return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(searcher(width, k, scored), "query_id long, query_row long, vec_id long, score long")
 
 
-def data_trees(right: pd.DataFrame, width: int) -> list[tuple[np.ndarray, np.ndarray, Node]]:
-    out = []
-    for ids, vectors in right.sort_values("block")[["ids", "vectors"]].itertuples(index=False):
-        data = unpacked(vectors, width)
-        out.append((data, np.frombuffer(ids, "<i8"), cover_tree(data)))
-    return out
+def data_forest(right: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, Node]:
+    """Vectors, ids and tree of all data blocks of a task, by cell and id."""
+    data = np.concatenate([unpacked(v, width) for v in right["vectors"]])
+    ids = np.concatenate([np.frombuffer(x, "<i8") for x in right["ids"]])
+    cells = np.concatenate([np.frombuffer(x, "<i4") for x in right["cells"]])
+    order = np.lexsort((ids, cells))
+    return data[order], ids[order], forest(data[order], cells[order])
+
+
+def searched(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int, scored: Accumulator | None, same_cell: bool = False):
+    """Number and best of each query block over the data blocks of a task."""
+    if left.empty or right.empty:
+        return
+    data, ids, tree = data_forest(right, width)
+    floors = left["floors"] if "floors" in left else [None] * len(left)
+    for q_block, q_ids, q_cells, q_vectors, floor in zip(left["q_block"], left["q_ids"], left["q_cells"], left["q_vectors"], floors, strict=True):
+        queries, best = unpacked(q_vectors, width), Best(np.frombuffer(q_ids, "<i8"), k, None if floor is None else np.frombuffer(floor))
+        search(queries, forest(queries, np.frombuffer(q_cells, "<i4")), data, ids, tree, best, same_cell)
+        if scored is not None:
+            scored.add(best.scored)
+        yield q_block, best
 
 
 def floor_finder(width: int, k: int, scored: Accumulator | None):
-    """Function over a query block and a few data blocks: the k-th score that each query finds there."""
+    """Function over a query block and a few data blocks: the k-th score that each query finds in its own cell."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        trees = data_trees(right, width)
-        for q_block, q_ids, q_vectors in zip(left["q_block"], left["q_ids"], left["q_vectors"], strict=True):
-            queries, best = unpacked(q_vectors, width), Best(np.frombuffer(q_ids, "<i8"), k)
-            tree = cover_tree(queries)
-            for data, ids, data_tree in trees:
-                search(queries, tree, data, ids, data_tree, best)
-            if scored is not None:
-                scored.add(best.scored)
-            out.append((q_block, best.score[:, -1].astype("<f8").tobytes()))
+        out = [(q_block, best.score[:, -1].astype("<f8").tobytes()) for q_block, best in searched(left, right, width, k, scored, True)]
         return pd.DataFrame(out, columns=["q_block", "floors"])
 
     return run
@@ -354,19 +399,11 @@ def searcher(width: int, k: int, scored: Accumulator | None):
     """Function over some query blocks and a run of data blocks."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        trees = data_trees(right, width)
-        for q_block, q_ids, q_vectors, floors in zip(left["q_block"], left["q_ids"], left["q_vectors"], left["floors"], strict=True):
-            names = np.frombuffer(q_ids, "<i8")
-            queries = unpacked(q_vectors, width)
-            best, tree = Best(names, k, np.frombuffer(floors)), cover_tree(queries)
-            for data, ids, data_tree in trees:
-                search(queries, tree, data, ids, data_tree, best)
-            if scored is not None:
-                scored.add(best.scored)
+        out = [pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}, dtype="int64")]
+        for q_block, best in searched(left, right, width, k, scored):
             got = np.isfinite(best.score)
-            number = (np.int64(q_block) << 32) + np.arange(len(names))
-            out.append(pd.DataFrame({"query_row": np.broadcast_to(number[:, None], got.shape)[got], "query_id": np.broadcast_to(names[:, None], got.shape)[got], "vec_id": best.found[got], "score": best.score[got].astype("int64")}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}, dtype="int64")
+            number = (np.int64(q_block) << 32) + np.arange(len(got))
+            out.append(pd.DataFrame({"query_id": np.broadcast_to(best.ids[:, None], got.shape)[got], "query_row": np.broadcast_to(number[:, None], got.shape)[got], "vec_id": best.found[got], "score": best.score[got].astype("int64")}))
+        return pd.concat(out, ignore_index=True)
 
     return run
