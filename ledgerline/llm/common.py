@@ -49,8 +49,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts(batch: pa.RecordBatch, column: str, rows: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most `rows` rows and about most_bytes of text; a longer text is alone."""
+def parts(batch: pa.RecordBatch, column: str, rows: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `rows` rows and about most_bytes of text; a longer text is alone.
+
+    What Arrow keeps for later goes back after each batch, as a worker shares an executor's memory.
+    """
     end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
     at = 0
     while at < batch.num_rows:
@@ -58,6 +61,7 @@ def parts(batch: pa.RecordBatch, column: str, rows: int, most_bytes: int = 8 <<
         n = max(1, min(rows, reach - at))
         yield batch.slice(at, n)
         at += n
+    pa.default_memory_pool().release_unused()
 
 
 def held_out(doc_id: str, modulus: int, remainder: int):

@@ -26,7 +26,7 @@ from ledgerline.llm.common import held_out, labelled_sample, parts
 BITS = 20
 MASK = (1 << BITS) - 1
 #: Texts whose words are made distinct together.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"[0-9]+")
 RUNS = re.compile(r"(\W)\1+")

@@ -37,7 +37,7 @@ ADDRESS = frozenset("you your youre u du dich dein ihr tu te tes vous vos tú te
 #: Letters of the stems that are learned beside whole words, for languages that inflect; a stem is written with a star.
 STEMS = (4, 5, 6)
 #: Texts whose chunks are made distinct together.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 def forms(word: str) -> list[str]:
@@ -59,6 +59,15 @@ def shortened(word: str, most: int) -> set[str]:
     return out
 
 
+def unlike_all(word: str, most: int, deletions: set[str]) -> bool:
+    """Whether no form of the word with up to `most` letters left out is among the deletions."""
+    if not most:
+        return True
+    if most == 1:
+        return word not in deletions and deletions.isdisjoint([word[:i] + word[i + 1 :] for i in range(len(word))])
+    return deletions.isdisjoint(shortened(word, most))
+
+
 class LevenshteinAutomaton:
     """Accepts the words within `most` edits of `word`; a state holds (place, edits) pairs.
 
@@ -132,7 +141,7 @@ class Trie:
         Words that share no form with letters left out need no walk; the walk alone decides.
         """
         most = self.reach.get(len(word), 0)
-        if not most or self.deletions.isdisjoint(shortened(word, most)):
+        if unlike_all(word, most, self.deletions):
             return None
         machine = LevenshteinAutomaton(word, most)
         stack = [(self.root, machine.start())]
@@ -214,8 +223,7 @@ class Matcher:
 
     def near(self, word: str) -> int | None:
         """Whether the word is near a sure term (0) or else a doubtful one (1)."""
-        most = self.reach.get(len(word), 0)
-        if not most or self.deletions.isdisjoint(shortened(word, most)):
+        if unlike_all(word, self.reach.get(len(word), 0), self.deletions):
             return None
         return next((k for k, trie in enumerate(self.tries) if trie.near(word)), None)
 
