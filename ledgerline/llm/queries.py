@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, media, minhash, oracle, packing, pii, quality, search, toxicity, url_filter
+from ledgerline.llm import bpe, chat, fim, lexical, media, minhash, oracle, packing, pii, quality, search, secret_scan, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -99,7 +99,21 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     return whole.join(ends, "pair_id").select("pair_id", "c", F.concat(F.slice("c", F.lit(1), F.size("c") - 1), F.array("end")).alias("r"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are owners; the documents of a source in one language are a repository."""
+    repository = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"), F.col("source"), repository)
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_topk, op3_url_filter, op4_quality, op5_bpe, op6_toxicity, op7_pii, op8_minhash, op9_media, op10_chat)
+    f.__name__: f for f in (op1_packing, op2_topk, op3_url_filter, op4_quality, op5_bpe, op6_toxicity, op7_pii, op8_minhash, op9_media, op10_chat, op11_secrets, op12_middle, op13_lexical)
 }
 ORACLE: dict[str, str] = oracle.ORACLE
