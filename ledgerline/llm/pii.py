@@ -75,7 +75,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all base spans, by start and kind."""
     spans = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        # Zeros in front don't count, and Python reads no number of very many digits.
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split(".")):
             spans.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -116,6 +117,8 @@ N_FEATURES, N_LABELS = len(FEATURES) + 1, len(LABELS)
 #: Least value of a message. Sweeps without a new low of movement before messages are damped by half,
 #: and the part of a new message under which loopy propagation counts as unsettled.
 TINY, PATIENCE, LEAST_PART = 1e-60, 20, 1 / 64
+#: Log potential of what is impossible; far under the sum of as many least messages as a text can have.
+NEVER = -1e12
 
 
 def features(token: str) -> int:
@@ -176,9 +179,10 @@ class Tokens:
             j = k
             while j < len(self.spans) and self.spans[j][0] < b:
                 self.label[j] = self.label[j] or kind + 1
-                whole[j] = digits_of(text[a:b])
+                whole.pop(j, None)
                 j += 1
-            whole = {i: d for i, d in whole.items() if i + 1 not in whole or whole[i + 1] != d}
+            if j > k:
+                whole[j - 1] = digits_of(text[a:b])
         self.skips: dict[tuple[int, int], int] = {}
         seen: dict[tuple, list[tuple[int, str]]] = defaultdict(list)
         for i, token in enumerate(tokens):
@@ -294,38 +298,51 @@ class Field:
         seen = label > 0
         node[seen] = np.eye(N_LABELS)[label[seen]]
         node /= node.sum(1, keepdims=True)
-        # A skip between neighbours and their step are one edge.
-        edges = {(i, i + 1): self.stretch(t.place[i + 1] - t.place[i] - 1) for i in range(n - 1)}
+        # A skip between neighbours and their step are one edge; edges of one potential share its matrix.
+        potentials: dict[tuple[int, int], int] = {}
+        edges: dict[tuple[int, int], int] = {}
+        for i in range(n - 1):
+            edges[i, i + 1] = potentials.setdefault((t.place[i + 1] - t.place[i] - 1, t.skips.get((i, i + 1), -1)), len(potentials))
         for pair, kind in t.skips.items():
-            own = self.similar if kind else self.skip
-            edges[pair] = edges[pair] * own if pair in edges else own
-        before: list[list[int]] = [[] for _ in range(n)]
-        after: list[list[int]] = [[] for _ in range(n)]
-        for k, (a, b) in enumerate(edges):
-            after[a].append(k)
-            before[b].append(k)
-        matrix = list(edges.values())
-        sent = np.full((2, len(edges), N_LABELS), 1 / N_LABELS)  # to later candidates, to earlier ones
-        turns = [(0, range(n), after, [m.T for m in matrix]), (1, range(n - 1, -1, -1), before, matrix)]
-
-        def belief(i: int, besides: int = -1) -> np.ndarray:
-            out = node[i]
-            for way, arriving in ((0, before[i]), (1, after[i])):
-                for k in arriving:
-                    if k != besides:
-                        out = out * sent[way, k]
-            return out
+            if pair not in edges:
+                edges[pair] = potentials.setdefault((-1, kind), len(potentials))
+        matrices = np.array([(self.stretch(words) if words >= 0 else 1) * (self.skip, self.similar, 1)[kind] for words, kind in potentials]).reshape(-1, N_LABELS, N_LABELS)
+        pairs, which = np.array(list(edges), "i8").reshape(-1, 2), np.array(list(edges.values()), "i8")
+        # By end: the edges that leave each candidate towards later ones, and towards earlier ones.
+        leaving = []
+        for way in (0, 1):
+            order = np.argsort(pairs[:, way], kind="stable")
+            leaving.append(np.split(order, np.searchsorted(pairs[order, way], np.arange(1, n))))
+        turns = [(0, range(n), matrices.transpose(0, 2, 1)), (1, range(n - 1, -1, -1), matrices)]
+        logs = np.full((2, len(edges), N_LABELS), -np.log(N_LABELS))  # messages to later candidates, to earlier ones
+        own = np.log(node, out=np.full_like(node, NEVER), where=node > 0)
+
+        def beliefs() -> np.ndarray:
+            """Each candidate's log potential and all log messages that arrive there, added up."""
+            total = own.copy()
+            for way in (0, 1):
+                np.add.at(total, pairs[:, 1 - way], logs[way])
+            return total
 
         part, least, waited = 1.0, np.inf, 0
         while len(edges):
-            old = sent.copy()
-            for way, order, leaving, matrices in turns:
+            old, total = np.exp(logs), beliefs()
+            for way, order, mats in turns:
                 for i in order:
-                    for k in leaving[i]:
-                        new = matrices[k] @ belief(i, k)
-                        new = np.maximum(new / new.sum(), TINY)
-                        sent[way, k] = new if part == 1 else (1 - part) * sent[way, k] + part * new
-            change = np.abs(sent - old).max() / part
+                    ks = leaving[way][i]
+                    if not len(ks):
+                        continue
+                    # What a message tells is all that its sender knows but what came the other way.
+                    told = total[i] - logs[1 - way, ks]
+                    told = np.exp(told - told.max(1, keepdims=True))
+                    new = np.matmul(mats[which[ks]], told[:, :, None])[:, :, 0]
+                    new = np.maximum(new / new.sum(1, keepdims=True), TINY)
+                    if part < 1:
+                        new = (1 - part) * np.exp(logs[way, ks]) + part * new
+                    new = np.log(new)
+                    total[pairs[ks, 1 - way]] += new - logs[way, ks]
+                    logs[way, ks] = new
+            change = np.abs(np.exp(logs) - old).max() / part
             if len(edges) == n - 1 or change < tolerance:
                 break
             waited = 0 if change < 0.9 * least else waited + 1
@@ -333,8 +350,9 @@ class Field:
             if waited == PATIENCE:
                 part, waited = part / 2, 0
                 if part < LEAST_PART:
-                    return mean_field(node, edges, tolerance)
-        out = np.array([belief(i) for i in range(n)])
+                    return mean_field(node, {pair: matrices[k] for pair, k in edges.items()}, tolerance)
+        total = beliefs()
+        out = np.exp(total - total.max(1, keepdims=True))
         return out / out.sum(1, keepdims=True)
 
 

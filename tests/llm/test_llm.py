@@ -685,6 +685,32 @@ def test_skips_find_mentions(spark):
     assert added_on_mentions(texts, alone)[1] < 0.3 * asked
 
 
+def test_addresses_with_many_zeros():
+    for zeros in (4301, 10_000):
+        assert pii.base_spans("0" * zeros + "1.2.3.4") == [(0, 1, zeros + 7)]
+        assert pii.base_spans("x 1.2.3." + "0" * zeros) == [(2, 1, zeros + 8)]
+        assert pii.base_spans("1" + "0" * zeros + ".2.3.4") == []
+
+
+def test_tokens_of_many_addresses():
+    text = "host 10.20.30.40 up " * 20_000
+    base = pii.base_spans(text)
+    began = time.time()
+    assert len(base) == 20_000 and len(pii.Tokens(text, base).label) == 20_000
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("mentions", [500, 20_000])
+def test_an_address_and_many_mentions(mentions):
+    """The messages of so many mentions multiply to less than a double holds; each mention still gets its label."""
+    text = "write to john.miller@site.org today " + "and john.miller said so " * mentions
+    began = time.time()
+    field = pii.Field(np.zeros((pii.N_FEATURES, pii.N_LABELS)), np.zeros((pii.N_LABELS, pii.N_LABELS)), 7 * np.eye(pii.N_LABELS))
+    p = field.marginals(pii.Tokens(text, pii.base_spans(text)))
+    assert p.shape == (mentions + 1, pii.N_LABELS) and (p[:, 1] > 0.99).all()
+    assert time.time() - began < 30
+
+
 def test_skips_to_similar_tokens():
     t = pii.Tokens("write to jane.roe@x.example.com or ask jane.roe (Jane.Roe) at 4111111111111111 not 4111111111111112 nor 4111111111119912", [])
     names = [t.spans[i] for i in range(len(t.spans))]
