@@ -138,3 +138,22 @@ def report_fields(output: Column) -> Column:
 def sse_kind(line: Column) -> Column:
     """Kind of a line of an event stream."""
     return F.when(line.startswith("event:"), "event").when(line.startswith("data:"), "data").when(line.startswith(":"), "comment").when(F.trim(line) == "", "dispatch").otherwise("other")
+
+
+def sse_dispatch_kind(event: Column, data: Column) -> Column:
+    """Kind of a data line: error, complete, progress or unknown, by its event and then by its JSON; null if it is nothing.
+
+    Text that is no JSON is an error if it speaks of one. Empty texts, zero, false and null don't count
+    as a step, a message or data.
+    """
+    parsed = F.try_parse_json(data)
+    field = lambda name: F.try_variant_get(parsed, f"$.{name}", "string")
+    given = lambda name: ~F.coalesce(field(name), F.lit("")).isin("", "0", "false")
+    status, event = F.coalesce(field("status"), F.lit("")), F.coalesce(event, F.lit(""))
+    known = (
+        F.when((event == "error") | (status == "error"), "error")
+        .when((event == "complete") | (status == "success") & given("data"), "complete")
+        .when((event == "progress") | given("step") | given("message"), "progress")
+        .otherwise("unknown")
+    )
+    return F.when(F.trim(data) == "", F.lit(None)).when(parsed.isNull(), F.when(data.rlike("[eE]rror"), "error")).otherwise(known)
