@@ -140,6 +140,12 @@ def sse_kind(line: Column) -> Column:
     return F.when(line.startswith("event:"), "event").when(line.startswith("data:"), "data").when(line.startswith(":"), "comment").when(F.trim(line) == "", "dispatch").otherwise("other")
 
 
+def sse_event(event: Column, data: Column) -> Column:
+    """An event as text of an event stream: its name unless null, its data, an empty line. Line ends in the data start lines of their own."""
+    named = F.coalesce(F.concat(F.lit("event: "), event, F.lit("\n")), F.lit(""))
+    return F.concat(named, F.lit("data: "), F.regexp_replace(F.coalesce(data, F.lit("")), r"\r\n|\r|\n", "\ndata: "), F.lit("\n\n"))
+
+
 def sse_dispatch_kind(event: Column, data: Column) -> Column:
     """Kind of a data line: error, complete, progress or unknown, by its event and then by its JSON; null if it is nothing.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import progress
+from ledgerline.plans.oracle import BARS
 from ledgerline.plans.parts import query
+from ledgerline.sources import feeds, scratch
 from ledgerline.sources import tables as T
 from ledgerline.streaming import event_stream
 
@@ -68,3 +72,10 @@ due AS (SELECT run_id, from_ts, least(40, (epoch_us(to_ts) - epoch_us(from_ts) -
 @query(f"WITH {SILENCES} SELECT run_id, from_ts, CAST(least(due, 39) AS INTEGER) AS keep_alives, CASE WHEN due = 40 THEN from_ts + INTERVAL 600 SECOND END AS stale_at FROM due WHERE due > 0")
 def silences(spark, d):
     return progress.silences(T.scan(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts"))
+
+
+@query(f"WITH {BARS} SELECT * FROM bars WHERE dt >= DATE '1997-06-30' - INTERVAL 6 MONTH")
+def bars_feed(spark, d):
+    """A feed that answers with the bars of each symbol, asked for six months of them."""
+    urls = feeds.archived(T.bars(spark, d), f"{scratch.scratch_dir(spark)}/ledgerline/feed-{uuid.uuid4().hex}")
+    return feeds.history(spark, urls).where(F.col("dt") >= T.since("1997-06-30", "6mo"))

@@ -118,3 +118,105 @@ def test_silences_by_definition(spark):
     assert sorted(map(tuple, progress.silence_signals(rows).collect())) == sorted(want)
     last = [r for r in progress.silences(rows, str(moments[0] + dt.timedelta(seconds=601))).collect() if r["run_id"] == 2]
     assert [tuple(r) for r in last] == [(2, moments[0], 39, moments[0] + dt.timedelta(seconds=600))]
+
+
+# --- the feed
+
+
+@pytest.fixture
+def feed():
+    """A server of bars by the day that knows a start date, fails on a symbol's first request, and keeps what it was asked."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            symbol, first = q["symbol"], q["symbol"] not in {s for s, _ in asked}
+            asked.append((symbol, q.get("start", "")))
+            self.send_response(404 if symbol == "NONE" else 503 if first and symbol == "BUSY" else 200)
+            self.end_headers()
+            days = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(60)]
+            for k, day in enumerate(days):
+                if symbol != "FLAT" and day.isoformat() < q.get("start", ""):
+                    continue
+                self.wfile.write((json.dumps({"dt": day.isoformat(), "open": 1, "high": 2.5, "low": None if k % 7 else 0.5, "close": len(symbol) + k, "volume": k}) + "\n\n").encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/history?symbol={{symbol}}&start={{start}}", asked
+    server.shutdown()
+
+
+def test_feed_is_asked_for_what_is_needed(spark, feed):
+    from ledgerline.sources import feeds
+
+    url, asked = feed
+    rows = feeds.history(spark, ["AAA", "BUSY", "NONE", "FLAT", "OTHER"], url)
+    assert rows.rdd.getNumPartitions() == 5
+    some = rows.where((F.col("dt") > F.lit("2024-02-10").cast("date")) & (F.col("dt") >= F.lit("2024-02-01").cast("date")) & (F.col("symbol") != "OTHER") & F.col("symbol").isin("AAA", "BUSY", "NONE", "FLAT"))
+    got = sorted((r["symbol"], r["dt"].isoformat(), r["close"], r["volume"]) for r in some.collect())
+    assert got == sorted((s, (dt.date(2024, 1, 1) + dt.timedelta(days=k)).isoformat(), float(len(s) + k), k) for s in ("AAA", "BUSY", "FLAT") for k in range(41, 60))
+    assert sorted(asked) == sorted((s, "2024-02-10") for s in ("AAA", "BUSY", "BUSY", "NONE", "FLAT"))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan and "2024-02-01" not in plan  # the feed has taken that bound
+
+
+def test_feed_without_filters(spark, feed):
+    from ledgerline.sources import feeds
+
+    url, asked = feed
+    assert feeds.history(spark, ["AAA"], url).where("low IS NULL").count() == 51
+    assert asked == [("AAA", "")]
+    assert feeds.history(spark, []).count() == 0
+
+
+# --- the sink
+
+
+def test_a_replayed_epoch_writes_nothing_twice(tmp_path):
+    from pyspark.sql import Row
+
+    from ledgerline.sources import event_files
+
+    path = str(tmp_path / "events")
+    writer = event_files.EpochWriter(path)
+    rows = [Row(value=f"event: e\ndata: {k}\n\n") for k in range(5)]
+    read = lambda: sorted((f.parent.name, f.read_text()) for f in (tmp_path / "events").glob("epoch=*/*"))
+    first, lost = writer.write(iter(rows)), writer.write(iter(rows[:2]))  # the second task is tried again, its first file is lost
+    again = writer.write(iter([]))
+    writer.commit([first, again, None], 0)
+    once = read()
+    assert once == [("epoch=0", "".join(r["value"] for r in rows))]
+    writer.commit([writer.write(iter(rows))], 0)  # a replay
+    assert read() == once
+    writer.abort([writer.write(iter(rows))], 1)
+    assert read() == once and event_files.staged(path) == [lost.name]
+    writer.commit([writer.write(iter(rows[:1]))], 1)
+    assert [name for name, _ in read()] == ["epoch=0", "epoch=1"]
+
+
+def test_sink_of_a_stream(spark, tmp_path):
+    """A query whose last commit is lost replays its epoch; each event still stands once."""
+    import shutil
+
+    from ledgerline.sources import event_files
+
+    schema = "run_id long, step string, message string, kind string"
+    source, path, state = (str(tmp_path / x) for x in ("in", "events", "state"))
+    for k in range(2):
+        spark.createDataFrame([(k, "a", 'say "x"', "progress"), (k, "b", "two\r\nlines", "complete"), (k, None, "", None)], schema).coalesce(1).write.mode("append").json(source)
+        event_files.write_events(spark.readStream.schema(schema).json(source), path, state, trigger="availableNow").awaitTermination()
+    shutil.rmtree(f"{state}/commits")
+    event_files.write_events(spark.readStream.schema(schema).json(source), path, state, trigger="availableNow").awaitTermination()
+    got = sorted(map(tuple, event_files.read_events(spark, path).collect()))
+    want = [("complete", '{"run_id":%d,"step":"b","message":"two\\r\\nlines"}'), ("progress", '{"run_id":%d,"step":"a","message":"say \\"x\\""}'), ("", '{"run_id":%d,"message":""}')]
+    assert got == sorted((k, e, d % k) for k in range(2) for e, d in want)
+    assert event_files.staged(path) == []
