@@ -7,9 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements without text of their own, and the named entities that are decoded (fixed values).
-SILENT = ("script", "style")
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 TRUNCATED = "\n...[truncated]"
 SECTION_CHARS = 5000
 CONTEXT_CHARS = 3000
@@ -30,23 +27,6 @@ SECTIONS = {
 }
 
 
-def html_to_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags out, entities decoded, lines stripped, blanks dropped."""
-    text = html
-    for name in SILENT:
-        text = F.regexp_replace(text, rf"(?is)<{name}\b.*?</{name}\s*>", "")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", "\n")
-    for entity, plain in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return clean_lines(text)
-
-
-def clean_lines(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-
-
 def section(text: Column, name: str) -> Column:
     """Body of a named filing section; the first pattern that matches wins; cut with a marker.
 

@@ -96,12 +96,21 @@ SELECT doc_id, section, length(body) AS chars, md5(body) AS digest FROM cut"""
 
 
 def html_sql() -> str:
-    text = "html"
-    for pattern, plain in ((r"(?is)<script\b.*?</script\s*>", "''"), (r"(?is)<style\b.*?</style\s*>", "''"), (r"(?s)<!--.*?-->", "''"), (r"(?s)<[^>]*>", "chr(10)")):
-        text = f"regexp_replace({text}, '{pattern}', {plain}, 'g')"
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-        text = f"replace({text}, '{entity}', '{plain}')"
-    return rf"SELECT page_id, url, array_to_string(list_filter(list_transform(string_split({text}, chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages"
+    """Markup by a pattern without look-around: of a page's tags, raw elements and comments, the first that begins is cut out."""
+    from ledgerline.functions.html import BLANKS, NAMED
+
+    attributes = r"""[^>=]*(?:=[\s=]*(?:"[^"]*"|''[^'']*'')?[^>=]*)*"""
+    raw = "|".join(rf"<{n}(?:[\s/]{attributes})?>.*?(?:</{n}(?:[\s/][^>]*)?>|\z)" for n in ("script", "style"))
+    markup = rf"<!--(?:-?>|.*?(?:--!?>|\z))|<!\[CDATA\[(.*?)\]\]>|(<[a-z/!?][^>]*\z)|{raw}|<[!?/][^>]*>|<[a-z]{attributes}>"
+    reference = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*);?"
+    listed = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+    known = f"MAP({listed(NAMED)}, {listed(NAMED.values())})"
+    name = "CASE WHEN starts_with(lower(n), '#x') THEN chr(CAST('0x' || substring(n, 3) AS INTEGER)) WHEN starts_with(n, '#') THEN chr(CAST(substring(n, 2) AS INTEGER)) ELSE coalesce(map_extract(known, n)[1], '&' || n) END"
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+    return rf"""WITH bare AS (SELECT page_id, url, regexp_replace(html, '{markup}', chr(10) || '\1\2' || chr(10), 'gsi') AS t FROM pages),
+cut AS (SELECT page_id, url, string_split_regex(t, '{reference}') AS b, regexp_extract_all(t, '{reference}', 1) AS n, {known} AS known FROM bare),
+joined AS (SELECT page_id, url, b[1] || array_to_string(list_transform(range(1, len(n) + 1), lambda i: list_transform([n[i]], lambda n: {name})[1] || b[i + 1]), '') AS t FROM cut)
+SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, {blanks})), lambda x: x <> ''), chr(10)) AS text FROM joined"""
 
 
 def sentence_sql() -> str:

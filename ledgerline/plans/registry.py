@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import html
 from ledgerline.functions import text as X
 from ledgerline.operators import catalog, decision, documents, evaluation, macro, prices, progress, prompts, recursive, resolve, risk, telemetry, vectors
 from ledgerline.plans import parts, report, streams  # noqa: F401
@@ -214,7 +215,7 @@ def resolver_accuracy(spark, d):
 
 @query
 def html_to_text(spark, d):
-    return T.scan(spark, d, "pages").select("page_id", "url", X.html_to_text(F.col("html")).alias("text"))
+    return T.scan(spark, d, "pages").select("page_id", "url", html.html_to_text(F.col("html")).alias("text"))
 
 
 def filing_texts(spark, d):

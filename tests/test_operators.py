@@ -2,12 +2,14 @@
 
 import datetime as dt
 import random
+import time
+from html.parser import HTMLParser
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions import formats
+from ledgerline.functions import formats, html
 from ledgerline.functions import text as X
 from ledgerline.operators import catalog, decision, documents, evaluation, macro, model_steps, prices, progress, prompts, recursive, resolve, risk, telemetry, vectors
 from ledgerline.sources import schemas, sinks, tables
@@ -165,9 +167,74 @@ def test_fixed_chunks(spark):
     assert [len(r["c"]) for r in rows] == [0, 0, 1, 2]
 
 
+class PlainPage(HTMLParser):
+    """Texts of a page as the parser of the standard library finds them, one an element and stretch."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.texts, self.now, self.silent = [], [], 0
+        self.feed(page)
+        self.close()
+        self.part()
+
+    def part(self, *_):
+        self.texts += ["".join(self.now)] if self.now and not self.silent else []
+        self.now = []
+
+    handle_comment = handle_decl = handle_pi = handle_startendtag = part
+
+    def handle_starttag(self, tag, attrs):
+        self.part()
+        self.silent += tag in html.SILENT
+
+    def handle_endtag(self, tag):
+        self.part()
+        self.silent = max(0, self.silent - (tag in html.SILENT))
+
+    def handle_data(self, data):
+        self.now.append(data)
+
+    def handle_charref(self, name):
+        n = int(name[1:], 16) if name[0] in "xX" else int(name)
+        old = bytes([n]).decode("cp1252", "ignore") if n < 256 else ""
+        self.now.append(old or (chr(n) if n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else "\ufffd"))
+
+    def handle_entityref(self, name):
+        self.now.append(html.NAMED.get(name, "&" + name))
+
+    @property
+    def text(self):
+        return "\n".join(x for x in (line.strip() for line in "\n".join(self.texts).split("\n")) if x)
+
+
+PAGES = [
+    '<p title="a>b">x</p> it&#8217;s &eacute; 5 < 6 and 7 > 2 <b>bold</b>', "a<!-- <b> x --> b<!---->c", '<script>if (a<b) "</p>"</script>t<STYLE a=b>p{}</Style >u<script src="x"/>v', "x &#x110000; &#128; &#129; &#xD800; &bogus; &copy 2020 &amp;lt; &nbsp;end&nbsp;",
+    "<p it's>q</p>", "<a href='x>y' b=\"u'v>\" c=d>z</a>", "<!DOCTYPE html><?xml v?>k</p >l", "a<br/>b<br />c &#0038;&#x26;", "1 <2 <3> 4", "a&lt;b&gt;c &notin; &ApplyFunction;", '<p class="x"">y', "", "no markup", " \x1c \u2003 x \r\n\xa0 y\x85",
+    "<html><SCRIPT>x<y</SCRIPT ><style>p{}</style><!-- c --><p> a &amp;lt; b</p>\n\n<br>c&nbsp;</html>",
+]
+
+
 def test_html(spark):
-    page = "<html><SCRIPT>x<y</SCRIPT ><style>p{}</style><!-- c --><p> a &amp;lt; b</p>\n\n<br>c&nbsp;</html>"
-    assert spark.createDataFrame([(page,)], "h string").select(X.html_to_text(F.col("h")).alias("x")).first()["x"] == "a &lt; b\nc"
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(PAGES)] + [(99, None)], "k int, h string")
+    got = dict(map(tuple, rows.select("k", html.html_to_text(F.col("h"))).collect()))
+    assert got[0] == "x\nit\u2019s \xe9 5 < 6 and 7 > 2\nbold"
+    for k, page in enumerate(PAGES):
+        assert got[k] == PlainPage(page).text, page
+    assert got[99] is None
+
+
+def test_html_as_the_standard_parser_reads_it(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html", html.html_to_text(F.col("html"))).collect()
+    assert all(text == PlainPage(page).text for page, text in rows)
+
+
+def test_html_that_never_ends(spark):
+    pages = ["a <b c" + " <d" * 50_000, "a <!-- " + "<!-- " * 50_000, "<script>" * 50_000, "<p a=" * 50_000, "&amp" * 50_000, "<![CDATA[ <x>&gt;]]>y", "one <p two"]
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, h string").select("k", html.html_to_text(F.col("h")).alias("t"))
+    began = time.time()
+    got = [r["t"] for r in rows.orderBy("k").collect()]
+    assert time.time() - began < 60
+    assert got[0] == "a\n<b c" + " <d" * 50_000 and got[1:3] == ["a", ""] and got[4] == "&" * 50_000 and got[5:] == ["<x>>\ny", "one\n<p two"]
 
 
 def test_sections(spark):
