@@ -9,11 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerline.functions.arrays import bound
+from ledgerline.functions.text import stripped
 
 #: Elements without text of their own, with all they hold (fixed values).
 SILENT = ("script", "style")
-#: Blanks around a line (fixed values).
-BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Names of character references and what they stand for; those known longest come first.
 NAMED = {n: chr(c) for n, c in html.entities.name2codepoint.items()} | {n.rstrip(";"): c for n, c in html.entities.html5.items()}
 #: What numbers from 128 to 159 mean on pages: characters of the code page, where it has one.
@@ -71,5 +70,5 @@ def html_to_text(page: Column) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """Lines stripped of all blanks; empty ones are dropped."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
+    lines = F.transform(F.split(text, "\n"), stripped)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")

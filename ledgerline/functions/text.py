@@ -2,41 +2,103 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerline.functions.arrays import bound, running_sums
+
 TRUNCATED = "\n...[truncated]"
 SECTION_CHARS = 5000
 CONTEXT_CHARS = 3000
-#: Name, and patterns in the order they are tried; the body is group 1 (fixed values).
+#: Blanks around a text (fixed values).
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BETWEEN = _SPACE.replace("[", r"[.\-\u2014")
+
+
+def _any_case(words: str) -> str:
+    """Pattern of words in either case, blanks between them; letters as classes, which are tried faster than a flag."""
+    other = {"i": "iI\u0130\u0131", "s": "sS\u017f", "k": "kK\u212a"}
+    return "".join(f"{_SPACE}+" if c == " " else f"[{other.get(c, c + c.upper())}]" if c.isalpha() else c for c in words)
+
+
+#: Phrases that begin or end a section, by name (fixed values). "business" counts where a line begins.
+MARKS = {
+    "item 1a": "item 1a", "item 1b": "item 1b", "item 1": "item 1", "item 2": "item 2", "item 7a": "item 7a", "item 7": "item 7", "item 8": "item 8", "risk factors": "risk factors",
+    "management": "management.?s? discussion and analysis", "quantitative": "quantitative and qualitative", "financial": "financial statements", "business": "business",
+}
+_MARK = "(?s)" + "|".join((r"(?:(?<=\n)|\A)" if name == "business" else "") + _any_case(words).replace(".[sS\u017f]?", ".?[sS\u017f]?") for name, words in MARKS.items())
+#: How a section's heading reads, in the order in which headings are tried, and the marks that end it (fixed
+#: values): a mark with another one behind points and dashes, or a mark that ends its line.
 SECTIONS = {
-    "risk_factors": (
-        r"item\s+1a[\.\s\-—]+risk\s+factors(.*?)(?=item\s+1b|item\s+2)",
-        r"risk\s+factors\s*\n(.*?)(?=item\s+1b|item\s+2|quantitative\s+and\s+qualitative)",
-    ),
-    "mda": (
-        r"item\s+7[\.\s\-—]+management.?s?\s+discussion\s+and\s+analysis(.*?)(?=item\s+7a|item\s+8)",
-        r"management.?s?\s+discussion\s+and\s+analysis(.*?)(?=item\s+7a|item\s+8|financial\s+statements)",
-    ),
-    "business": (
-        r"item\s+1[\.\s\-—]+business(.*?)(?=item\s+1a|item\s+2)",
-        r"(?:^|\n)business\s*\n(.*?)(?=item\s+1a|risk\s+factors)",
-    ),
+    "risk_factors": ((("item 1a", "risk factors"), ("item 1b", "item 2")), (("risk factors", "\n"), ("item 1b", "item 2", "quantitative"))),
+    "mda": ((("item 7", "management"), ("item 7a", "item 8")), (("management", ""), ("item 7a", "item 8", "financial"))),
+    "business": ((("item 1", "business"), ("item 1a", "item 2")), (("business", "\n"), ("item 1a", "risk factors"))),
 }
 
 
-def section(text: Column, name: str) -> Column:
-    """Body of a named filing section; the first pattern that matches wins; cut with a marker.
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def _named(mark: Column) -> Column:
+    """Name of a mark's text."""
+    plain = F.regexp_replace(F.lower(F.translate(mark, "\u0130\u0131\u017f\u212a", "iisk")), f"{_SPACE}+", " ")
+    return F.when(plain.startswith("management"), "management").when(plain.startswith("quantitative"), "quantitative").when(plain.startswith("financial"), "financial").otherwise(plain)
+
 
-    The group takes the last character of the heading, too, so that it is empty only without a match
-    and a pattern runs once.
+def _marks(text: Column) -> Column:
+    """All marks of a text in order, from one pass over it: (name, at, and where a section behind it as a heading begins).
+
+    after, joined and line are places: behind the mark, behind the mark that follows it after points and
+    dashes alone (or the word business there), and behind the line that it ends; null where there is none.
     """
-    marked = (re.sub(r"(\\n|.)\(\.\*\?\)", r"(\1.*?)", p) for p in SECTIONS[name])
-    found = F.coalesce(*(F.nullif(F.regexp_extract(text, "(?isU)" + p, 1), F.lit("")) for p in marked))
-    body = F.regexp_replace(F.substring(found, 2, 2**31 - 1), r"(?U)^\s+|\s+$", "")
-    return truncated(body, SECTION_CHARS)
+    texts = F.regexp_extract_all(text, F.lit(_MARK), F.lit(0))
+    between = F.split(text, _MARK, -1)
+
+    def placed(x: Column) -> Column:
+        m, p, ends = x["m"], x["p"], x["ends"]
+
+        def one(mark: Column, i: Column) -> Column:
+            after = F.get(ends, i) + F.length(F.get(p, i))  # where the piece behind mark i - 1 ends, mark i begins
+            behind, following = F.get(p, i + 1), F.get(m, i + 1)
+            end = after + F.length(mark)
+            parted = behind.rlike(rf"\A{_BETWEEN}+\z")
+            inside = F.length(F.regexp_extract(behind, rf"\A{_BETWEEN}+{_any_case('business')}", 0))
+            line = F.length(F.regexp_extract(behind, rf"\A{_SPACE}*\n", 0))
+            return F.struct(
+                _named(mark).alias("name"), after.alias("at"), end.alias("after"), F.when(parted, _named(following)).when(inside > 0, "business").alias("next"),
+                F.when(parted, end + F.length(behind) + F.length(following)).when(inside > 0, end + inside).alias("joined"), F.when(line > 0, end + line).alias("line"),
+            )
+
+        return F.transform(m, one)
+
+    # ends: where the marks before end, 0 first; running sums of pieces and marks.
+    sums = lambda m: F.concat(F.array(F.lit(0).cast("long")), running_sums(F.zip_with(F.slice(between, F.lit(1), F.size(m)), m, lambda a, b: (F.length(a) + F.length(b)).cast("long"))))
+    return bound(texts, lambda m: bound(F.struct(m.alias("m"), between.alias("p"), sums(m).alias("ends")), placed))
+
+
+def sections(text: Column) -> Column:
+    """Array of (section, section_text): the body of each filing section that a text has, cut with a marker.
+
+    A section goes from its heading, the first one of a kind, to the nearest mark that ends it; the
+    first kind of heading with both counts. Marks are listed by one pass over the text.
+    """
+
+    def tried(marks: Column, mark: str, behind: str, ends: tuple[str, ...]) -> Column:
+        start = {"": lambda x: x["after"], "\n": lambda x: x["line"]}.get(behind, lambda x: F.when(x["next"] == behind, x["joined"]))
+        first = F.get(F.filter(F.transform(F.filter(marks, lambda x: x["name"] == mark), start), lambda at: at.isNotNull()), F.lit(0))
+
+        def to_end(at: Column) -> Column:
+            later = F.get(F.filter(marks, lambda x: x["name"].isin(*ends) & (x["at"] >= at)), F.lit(0))["at"]
+            return F.substring(text, (at + 1).cast("int"), (later - at).cast("int"))
+
+        return bound(first, to_end)
+
+    def body(marks: Column, name: str) -> Column:
+        return truncated(stripped(F.coalesce(*(tried(marks, mark, behind, ends) for (mark, behind), ends in SECTIONS[name]))), SECTION_CHARS)
+
+    return bound(_marks(text), lambda marks: F.array(*(F.struct(F.lit(name).alias("section"), body(marks, name).alias("section_text")) for name in SECTIONS)))
 
 
 def truncated(text: Column, chars: int) -> Column:

@@ -97,7 +97,8 @@ SELECT doc_id, section, length(body) AS chars, md5(body) AS digest FROM cut"""
 
 def html_sql() -> str:
     """Markup by a pattern without look-around: of a page's tags, raw elements and comments, the first that begins is cut out."""
-    from ledgerline.functions.html import BLANKS, NAMED
+    from ledgerline.functions.html import NAMED
+    from ledgerline.functions.text import BLANKS
 
     attributes = r"""[^>=]*(?:=[\s=]*(?:"[^"]*"|''[^'']*'')?[^>=]*)*"""
     raw = "|".join(rf"<{n}(?:[\s/]{attributes})?>.*?(?:</{n}(?:[\s/][^>]*)?>|\z)" for n in ("script", "style"))
