@@ -27,7 +27,10 @@ MARKS = {
     "item 1a": "item 1a", "item 1b": "item 1b", "item 1": "item 1", "item 2": "item 2", "item 7a": "item 7a", "item 7": "item 7", "item 8": "item 8", "risk factors": "risk factors",
     "management": "management.?s? discussion and analysis", "quantitative": "quantitative and qualitative", "financial": "financial statements", "business": "business",
 }
-_MARK = "(?s)" + "|".join((r"(?:(?<=\n)|\A)" if name == "business" else "") + _any_case(words).replace(".[sS\u017f]?", ".?[sS\u017f]?") for name, words in MARKS.items())
+_ITEMS = "|".join(words.removeprefix("item ") for words in MARKS.values() if words.startswith("item "))
+_PHRASES = [_any_case(words).replace(".[sS\u017f]?", ".?[sS\u017f]?") for words in MARKS.values() if not words.startswith(("item ", "business"))]
+# The first letter is looked at before the phrases are tried one by one.
+_MARK = "(?s)(?=[iI\u0130\u0131rRmMqQfFbB])(?:" + "|".join([_any_case("item ") + f"(?:{_any_case(_ITEMS)})", *_PHRASES, rf"(?:(?<=\n)|\A){_any_case('business')}"]) + ")"
 #: How a section's heading reads, in the order in which headings are tried, and the marks that end it (fixed
 #: values): a mark with another one behind points and dashes, or a mark that ends its line.
 SECTIONS = {
@@ -44,7 +47,7 @@ def stripped(text: Column) -> Column:
 def _named(mark: Column) -> Column:
     """Name of a mark's text."""
     plain = F.regexp_replace(F.lower(F.translate(mark, "\u0130\u0131\u017f\u212a", "iisk")), f"{_SPACE}+", " ")
-    return F.when(plain.startswith("management"), "management").when(plain.startswith("quantitative"), "quantitative").when(plain.startswith("financial"), "financial").otherwise(plain)
+    return bound(plain, lambda x: F.when(x.startswith("management"), "management").when(x.startswith("quantitative"), "quantitative").when(x.startswith("financial"), "financial").otherwise(x))
 
 
 def _marks(text: Column) -> Column:
@@ -96,7 +99,8 @@ def sections(text: Column) -> Column:
         return bound(first, to_end)
 
     def body(marks: Column, name: str) -> Column:
-        return truncated(stripped(F.coalesce(*(tried(marks, mark, behind, ends) for (mark, behind), ends in SECTIONS[name]))), SECTION_CHARS)
+        found = F.coalesce(*(tried(marks, mark, behind, ends) for (mark, behind), ends in SECTIONS[name]))
+        return bound(stripped(found), lambda x: truncated(x, SECTION_CHARS))
 
     return bound(_marks(text), lambda marks: F.array(*(F.struct(F.lit(name).alias("section"), body(marks, name).alias("section_text")) for name in SECTIONS)))
 
