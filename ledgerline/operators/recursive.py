@@ -1,7 +1,9 @@
-"""Indicators that are recursions over a symbol's closes: folds over its ordered history.
+"""Indicators that are recursions over a symbol's closes, as a blocked scan.
 
-A symbol's closes are one array (a daily history is small and bounded by time); symbols spread over
-the cluster. The folds run in the JVM.
+A symbol's history is cut into blocks by time. Each block's recursion, begun at zero, is an affine map
+of the state before it: powers of the decay times that state, plus what the block itself adds. The
+blocks are folded where they lie; only their maps, some numbers each, meet in the order of time to be
+composed. So no history is one array, and a symbol with very many bars is many small groups.
 """
 
 from __future__ import annotations
@@ -9,41 +11,95 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Days of a block where bars are daily; other bars need a block of their own choice.
+BLOCK_DAYS = 512
+FAST, SLOW, SMOOTH, CHANGES = 12, 26, 9, 14
 
-def histories(bars: DataFrame) -> DataFrame:
-    """(symbol, closes) in the order of dates, missing closes left out."""
-    kept = bars.where(F.col("close").isNotNull() & ~F.isnan("close"))
-    return kept.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("dt", "close"))), lambda x: x["close"]).alias("closes"))
 
+def block_of(dt: Column) -> Column:
+    return F.floor(F.unix_date(dt.cast("date")) / BLOCK_DAYS)
 
-def macd(closes: Column, fast: int = 12, slow: int = 26, smooth: int = 9) -> Column:
-    """struct(line, signal) at the last close; averages start at the first close."""
 
-    def toward(old: Column, new: Column, span: int) -> Column:
-        return old + (new - old) * (2.0 / (span + 1))
+def decay(span: int) -> float:
+    """What an exponential average of a span keeps of itself at each step."""
+    return 1 - 2.0 / (span + 1)
+
+
+def _averages(closes: Column) -> Column:
+    """The averages and their smoothed difference after a block that begins at zero."""
 
     def step(s: Column, x: Column) -> Column:
-        f, g = toward(s["fast"], x, fast), toward(s["slow"], x, slow)
-        return F.struct(f.alias("fast"), g.alias("slow"), toward(s["signal"], f - g, smooth).alias("signal"))
+        f, g = s["fast"] * decay(FAST) + x * (1 - decay(FAST)), s["slow"] * decay(SLOW) + x * (1 - decay(SLOW))
+        return F.struct(f.alias("fast"), g.alias("slow"), (s["signal"] * decay(SMOOTH) + (f - g) * (1 - decay(SMOOTH))).alias("signal"))
 
-    first = F.try_element_at(closes, F.lit(1))
-    start = F.struct(first.alias("fast"), first.alias("slow"), F.lit(0.0).alias("signal"))
-    return F.aggregate(F.slice(closes, 2, F.greatest(F.size(closes), F.lit(1))), start, step, lambda s: F.struct((s["fast"] - s["slow"]).alias("line"), s["signal"].alias("signal")))
+    return F.aggregate(closes, F.struct(*(F.lit(0.0).alias(c) for c in ("fast", "slow", "signal"))), step)
 
 
-def rsi(closes: Column, n: int = 14) -> Column:
-    """Wilder's index: the first averages are means of n changes; null with fewer changes."""
-    size = F.size(closes)
-    changes = F.zip_with(F.slice(closes, 2, F.greatest(size - 1, F.lit(0))), F.slice(closes, 1, F.greatest(size - 1, F.lit(0))), lambda b, a: b - a)
-    total = lambda part, sign: F.aggregate(part, F.lit(0.0), lambda s, x: s + F.greatest(x * sign, F.lit(0.0)))
-    head = F.slice(changes, 1, n)
-    start = F.struct((total(head, 1) / n).alias("up"), (total(head, -1) / n).alias("down"))
+def _moves(closes: Column) -> Column:
+    """Smoothed rises and falls after a block's own changes, begun at zero."""
+    r = 1 - 1.0 / CHANGES
 
     def step(s: Column, x: Column) -> Column:
-        return F.struct(((s["up"] * (n - 1) + F.greatest(x, F.lit(0.0))) / n).alias("up"), ((s["down"] * (n - 1) + F.greatest(-x, F.lit(0.0))) / n).alias("down"))
-
-    index = F.aggregate(F.slice(changes, n + 1, F.greatest(size, F.lit(0))), start, step, lambda s: F.when(s["up"] + s["down"] == 0, 50.0).otherwise(100 * F.try_divide(s["up"], s["up"] + s["down"])))
-    return F.when(size > n, index)
+        move = x - s["last"]
+        up, down = F.greatest(move, F.lit(0.0)), F.greatest(-move, F.lit(0.0))
+        return F.struct(x.alias("last"), (s["up"] * r + up / CHANGES).alias("up"), (s["down"] * r + down / CHANGES).alias("down"))
+
+    first = F.struct(F.element_at(closes, 1).alias("last"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
+    return F.aggregate(F.slice(closes, F.lit(2), F.size(closes)), first, step)
+
+
+def blocks(bars: DataFrame, block: Column | None = None) -> DataFrame:
+    """(symbol, block, n, first, averages, moves, head) of each block of closes; missing closes are left out.
+
+    block: a number that grows with dt, BLOCK_DAYS days if not given. head is its first closes, as many
+    as the first average of changes needs.
+    """
+    kept = bars.where(F.col("close").isNotNull() & ~F.isnan("close")).select("symbol", "dt", F.col("close").cast("double").alias("close"), (block_of(F.col("dt")) if block is None else block).alias("block"))
+    closes = F.transform(F.sort_array(F.collect_list(F.struct("dt", "close"))), lambda x: x["close"])
+    grouped = kept.groupBy("symbol", "block").agg(closes.alias("closes"))
+    c = F.col("closes")
+    return grouped.select("symbol", "block", F.size(c).alias("n"), F.element_at(c, 1).alias("first"), _averages(c).alias("averages"), _moves(c).alias("moves"), F.slice(c, 1, CHANGES + 1).alias("head"))
+
+
+def indicators(bars: DataFrame, block: Column | None = None) -> DataFrame:
+    """(symbol, macd, rsi) at the last close: macd is (line, signal), rsi Wilder's index, null with fewer than 14 changes.
+
+    Averages start at the first close; the first averages of rises and falls are means of 14 changes.
+    """
+    ordered = blocks(bars, block).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("block", "n", "first", "averages", "moves", "head"))).alias("all"))
+    rf, rs, rg, r = decay(FAST), decay(SLOW), decay(SMOOTH), 1 - 1.0 / CHANGES
+
+    def leaned(rate: float, n: Column) -> Column:
+        """How much of an average before a block has gone into the smoothed difference after it."""
+        return (1 - rg) * rate / (rate - rg) * (F.pow(F.lit(rate), n) - F.pow(F.lit(rg), n))
+
+    def step(s: Column, b: Column) -> Column:
+        n, a, m = b["n"], b["averages"], b["moves"]
+        move = F.coalesce(b["first"] - s["last"], F.lit(0.0))
+        joined = lambda name, sign: F.pow(F.lit(r), n - 1) * (s[name] * r + F.greatest(move * sign, F.lit(0.0)) / CHANGES) + m[name]
+        return F.struct(
+            (F.pow(F.lit(rf), n) * s["fast"] + a["fast"]).alias("fast"), (F.pow(F.lit(rs), n) * s["slow"] + a["slow"]).alias("slow"),
+            (F.pow(F.lit(rg), n) * s["signal"] + leaned(rf, n) * s["fast"] - leaned(rs, n) * s["slow"] + a["signal"]).alias("signal"),
+            m["last"].alias("last"), joined("up", 1).alias("up"), joined("down", -1).alias("down"), (s["n"] + n).alias("n"),
+            F.when(F.size(s["head"]) > CHANGES, s["head"]).otherwise(F.slice(F.concat(s["head"], b["head"]), 1, CHANGES + 1)).alias("head"),
+        )
+
+    first = F.get("all", F.lit(0))["first"]
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    start = F.struct(first.alias("fast"), first.alias("slow"), zero.alias("signal"), none.alias("last"), zero.alias("up"), zero.alias("down"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("head"))
+    end = ordered.select("symbol", F.aggregate("all", start, step).alias("s")).select("symbol", "s.*")
+
+    # The scan has smoothed the first changes one by one; their mean, as it would have faded, takes their place.
+    changes = F.zip_with(F.slice("head", 2, CHANGES), F.slice("head", 1, CHANGES), lambda b, a: b - a)
+
+    def corrected(name: str, sign: int) -> Column:
+        faded = lambda k: F.pow(F.lit(r), F.col("n") - 1 - k)
+        share = F.transform(changes, lambda x, i: F.greatest(x * sign, zero) * (faded(F.lit(CHANGES)) - faded(i + 1)) / CHANGES)
+        return F.col(name) + F.aggregate(share, zero, lambda s, x: s + x)
+
+    both = end.withColumns({"u": corrected("up", 1), "w": corrected("down", -1)})
+    index = F.when(F.col("u") + F.col("w") == 0, 50.0).otherwise(100 * F.try_divide("u", F.col("u") + F.col("w")))
+    return both.select("symbol", F.struct((F.col("fast") - F.col("slow")).alias("line"), F.col("signal").alias("signal")).alias("macd"), F.when(F.col("n") > CHANGES, index).alias("rsi"))
 
 
 def macd_signal(value: Column) -> Column:

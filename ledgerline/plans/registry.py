@@ -62,13 +62,13 @@ def bollinger_signal(spark, d):
 
 @query
 def macd_signal(spark, d):
-    found = recursive.histories(T.bars(spark, d)).select("symbol", recursive.macd(F.col("closes")).alias("m"))
-    return rounded(found.select("symbol", F.col("m.line").alias("macd_line"), F.col("m.signal").alias("macd_smooth"), recursive.macd_signal(F.col("m")).alias("macd_signal")), 4, "macd_line", "macd_smooth")
+    found = recursive.indicators(T.bars(spark, d))
+    return rounded(found.select("symbol", F.col("macd.line").alias("macd_line"), F.col("macd.signal").alias("macd_smooth"), recursive.macd_signal(F.col("macd")).alias("macd_signal")), 4, "macd_line", "macd_smooth")
 
 
 @query
 def rsi_14(spark, d):
-    return rounded(recursive.histories(T.bars(spark, d)).select("symbol", recursive.rsi(F.col("closes")).alias("rsi_14")), 6, "rsi_14")
+    return rounded(recursive.indicators(T.bars(spark, d)).select("symbol", F.col("rsi").alias("rsi_14")), 6, "rsi_14")
 
 
 @query

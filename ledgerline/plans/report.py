@@ -23,11 +23,10 @@ def market(bars: DataFrame) -> DataFrame:
 def market_data(bars: DataFrame, months: int = 6, year: int = 252) -> DataFrame:
     """A row a symbol: market state, RSI, MACD, place in the year's range and price trend.
 
-    A symbol's closes are gathered to one array (a daily history is small); RSI, MACD, range and trend
-    are folds and slices of it.
+    RSI and MACD are a blocked scan over all bars; range and trend look at the last ones alone.
     """
-    found = market(bars).join(recursive.histories(bars), "symbol")
-    found = found.withColumns({"macd": recursive.macd(F.col("closes")), "rsi": recursive.rsi(F.col("closes")), "year": tail("closes", year), "part": tail("closes", months * 21)})
+    found = market(bars).join(recursive.indicators(bars), "symbol").join(last_closes(bars, max(year, months * 21)), "symbol")
+    found = found.withColumns({"year": tail("closes", year), "part": tail("closes", months * 21)})
     position = prices.range_position(F.col("price"), F.array_max("year"), F.array_min("year"))
     change = prices.percent_change(F.element_at("part", 1), F.element_at("part", -1))
     return found.select(
@@ -37,6 +36,13 @@ def market_data(bars: DataFrame, months: int = 6, year: int = 252) -> DataFrame:
     )
 
 
+def last_closes(bars: DataFrame, n: int) -> DataFrame:
+    """(symbol, closes): the last n closes that aren't missing, in the order of dates; only those are shuffled whole."""
+    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("dt")))
+    kept = bars.where(F.col("close").isNotNull() & ~F.isnan("close")).select("symbol", "dt", "close", newest.alias("rn")).where(F.col("rn") <= n)
+    return kept.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("dt", "close"))), lambda x: x["close"]).alias("closes"))
+
+
 def tail(array: str, n: int):
     """The last n elements."""
     return F.slice(array, F.greatest(F.size(array) - n, F.lit(0)) + 1, n)

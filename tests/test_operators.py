@@ -60,20 +60,42 @@ def test_risk_against_pandas(spark):
     assert one(risk.risk_metrics(b, flat))["beta"] is None
 
 
-def test_recursive_against_pandas(spark):
-    closes = [float(50 + (i * 37) % 23 - i % 7) for i in range(80)]
-    got = one(recursive.histories(bars(spark, closes)).select(recursive.macd(F.col("closes")).alias("m"), recursive.rsi(F.col("closes")).alias("r")))
+def plain_indicators(closes):
+    """(line, signal, index) by running through the closes."""
     s = pd.Series(closes)
     line = s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
-    assert got["m"]["line"] == pytest.approx(line.iloc[-1])
-    assert got["m"]["signal"] == pytest.approx(line.ewm(span=9, adjust=False).mean().iloc[-1])
     change = s.diff().dropna()
     up, down = change.clip(lower=0), (-change).clip(lower=0)
     u, d = up[:14].mean(), down[:14].mean()
     for x, y in zip(up[14:], down[14:], strict=True):
         u, d = (u * 13 + x) / 14, (d * 13 + y) / 14
-    assert got["r"] == pytest.approx(100 * u / (u + d))
-    assert one(recursive.histories(bars(spark, closes[:14])).select(recursive.rsi(F.col("closes")).alias("r")))["r"] is None
+    return line.iloc[-1], line.ewm(span=9, adjust=False).mean().iloc[-1], None if len(closes) < 15 else 50.0 if u + d == 0 else 100 * u / (u + d)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 14, 15, 16, 512])
+def test_recursive_against_pandas(spark, size):
+    """Blocks of every size around the first average give the plain run, over several symbols at once."""
+    histories = {"long": [float(50 + (i * 37) % 23 - i % 7) for i in range(180)], "short": [5.0, 6.5] * 7, "one": [3.0], "flat": [2.0] * 40, "rise": [float(i) for i in range(1, 30)], "edge": [1.0, 2.0, 1.5] * 5}
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=i), c) for s, closes in histories.items() for i, c in enumerate(closes)]
+    rows += [("long", dt.date(2023, 1, 1), None), ("long", dt.date(2025, 1, 1), float("nan")), ("none", dt.date(2024, 1, 1), None)]
+    frame = spark.createDataFrame(rows, "symbol string, dt date, close double")
+    got = {r["symbol"]: r for r in recursive.indicators(frame, F.floor(F.unix_date("dt") / size)).collect()}
+    assert set(got) == set(histories)
+    for symbol, closes in histories.items():
+        line, signal, index = plain_indicators(closes)
+        assert got[symbol]["macd"]["line"] == pytest.approx(line, abs=1e-9) and got[symbol]["macd"]["signal"] == pytest.approx(signal, abs=1e-9)
+        assert got[symbol]["rsi"] == (None if index is None else pytest.approx(index))
+
+
+def test_ten_million_bars_of_one_symbol(spark):
+    """No task holds the history: the largest array is a block, and the plain run over the last bars alone gives the same numbers."""
+    n, close = 10_000_000, lambda i: 100.0 + (i * 7919) % 1009 / 100 + (i // 1000) % 50
+    i = F.col("id")
+    bars = spark.range(n).select(F.lit("X").alias("symbol"), i.alias("dt"), (F.lit(100.0) + (i * 7919) % 1009 / 100 + F.floor(i / 1000) % 50).alias("close"))
+    assert recursive.blocks(bars, F.floor(F.col("dt") / 512)).agg(F.max("n")).first()[0] == 512
+    got = one(recursive.indicators(bars, F.floor(F.col("dt") / 512)))
+    line, signal, index = plain_indicators([close(k) for k in range(n - 4000, n)])
+    assert got["macd"]["line"] == pytest.approx(line) and got["macd"]["signal"] == pytest.approx(signal) and got["rsi"] == pytest.approx(index)
 
 
 def series(spark, name, values):
