@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerline.plans import registry
+from ledgerline.plans import registry, stores
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,7 +36,7 @@ def test_same_as_sql(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_or_a_test():
-    assert set(registry.QUERIES) == set(registry.ORACLE)
+    assert set(registry.QUERIES) == set(registry.ORACLE) | set(stores.WITHOUT_SQL)
 
 
 @pytest.mark.parametrize("hidden", ["ahocorasick", "tokenizers", "ledgerline.llm", "corpus_pipeline"])
