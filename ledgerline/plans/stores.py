@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import ivf, vectors
+from ledgerline.operators import ivf, resolve, vectors
 from ledgerline.plans.parts import QUERIES, query
 from ledgerline.sources import scratch
 from ledgerline.sources import tables as T
@@ -49,3 +49,16 @@ def ivf_recall(spark, d):
     exact = vectors.cosine_top_k(*sides(spark, d), 10).select("query_id", "id")
     found = vector_topk_ivf(spark, d).select("query_id", "id", F.lit(1).alias("hit"))
     return exact.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.95 * F.count("*")).alias("recalled"))
+
+
+@query(r"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS name FROM benchmark), companies AS (SELECT md5(name) AS ord, name, upper(left(md5(name), 6)) AS code FROM words),
+q AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM conversations),
+m AS (SELECT conv_id, turn, arg_min(code, (lower(s) <> name, ord)) AS code FROM q JOIN companies ON contains(lower(s), name) GROUP BY 1, 2),
+r AS (SELECT q.conv_id, q.turn, s, code, CASE WHEN coalesce(s, '') = '' THEN 'empty' WHEN regexp_matches(upper(s), '^[A-Z]{1,5}(-[A-Z]{1,2})?$') THEN 'symbol' WHEN code IS NOT NULL THEN 'company' ELSE 'model' END AS route FROM q LEFT JOIN m USING (conv_id, turn))
+SELECT conv_id, turn, CASE route WHEN 'symbol' THEN upper(s) WHEN 'company' THEN code END AS symbol, route FROM r""")
+def resolve_companies(spark, d):
+    """Turns of conversations as queries, against a table of names: the words of the benchmark texts."""
+    words = T.scan(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("name")).distinct()
+    companies = words.select(F.md5("name").alias("ord"), "name", F.upper(F.left(F.md5("name"), F.lit(6))).alias("symbol"))
+    asked = T.scan(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
+    return resolve.resolve(asked, companies=companies).select("conv_id", "turn", "symbol", "route")

@@ -483,3 +483,33 @@ def test_stream_windows_and_sink(spark, tmp_path):
     sink.processAllAvailable()
     sink.stop()
     assert len(got["sink"]) == 4
+
+
+def test_names_of_a_table(spark):
+    """Names from an inverted index give what looking for every name in every text gives."""
+    rng = random.Random(4)
+    names = ["".join(rng.choices("abc \xe9", k=rng.randrange(1, 7))) for _ in range(300)] + ["ab", "q", "  ", "", None, "Apple Inc", "apple inc", "\u0130x"]
+    companies = [(rng.randrange(1000) if k % 3 else k, n, f"S{k}") for k, n in enumerate(names)]
+    texts = ["".join(rng.choices("abc \xe9Q", k=rng.randrange(0, 14))) for _ in range(400)] + ["buy APPLE INC now", "apple inc", " Apple Inc ", None, "", "  ", "zzzzzzzz", "buy APPLE INC now", "AB", "zz-b"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, query string")
+    table = spark.createDataFrame(companies, "ord long, name string, symbol string")
+    got = {r["id"]: (r["route"], r["symbol"]) for r in resolve.resolve(frame, companies=table).collect()}
+    known = {}
+    for ord_, name, symbol in companies:
+        key = (name or "").strip().lower()
+        if key:
+            known[key] = min(known.get(key, (ord_, symbol)), (ord_, symbol))
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        s = (text or "").strip()
+        hits = [(s.lower() != n, o, c) for n, (o, c) in known.items() if n in s.lower()]
+        want = ("empty", None) if not s else ("symbol", s.upper()) if re.fullmatch(resolve.SYMBOL_SHAPE.strip("^$"), s.upper()) else ("company", min(hits)[2]) if hits else ("model", None)
+        assert got[i] == want, (text, hits)
+    assert resolve.resolve(frame, companies=table.where("false")).where("route = 'company'").count() == 0
+
+
+def test_more_names_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BROADCAST_NAMES", 2)
+    table = spark.createDataFrame([(k, f"name{k}x", f"S{k}") for k in range(50)], "ord long, name string, symbol string")
+    frame = spark.createDataFrame([(k, f"about name{k}x and name{49 - k}x") for k in range(50)], "id long, query string")
+    assert {r["id"]: r["symbol"] for r in resolve.resolve(frame, companies=table).collect()} == {k: f"S{min(k, 49 - k)}" for k in range(50)}
