@@ -40,3 +40,10 @@ def variant(label: Column, kinds: dict[str, str], default: str) -> Column:
 #: Fixed category maps.
 RECOMMENDATION_KINDS = {"Buy": "success", "Sell": "danger", "Hold": "warning"}
 SCENARIO_KINDS = {"bull": "success", "base": "info", "bear": "danger"}
+
+
+def step_kind(step: Column) -> Column:
+    """Severity of a progress step, by what its name holds."""
+    lower = F.lower(step)
+    stage = lower.rlike("market|macro|risk|scenario|memo")
+    return F.when(lower.contains("error"), "danger").when(lower.rlike("ok|complete"), "success").when(stage, "info").otherwise("secondary")

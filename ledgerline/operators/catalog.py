@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import first_given
@@ -30,11 +30,22 @@ def search_documents(registry: DataFrame, query: str) -> DataFrame:
 
 
 def document_detail(registry: DataFrame, previews: DataFrame, doc_id) -> DataFrame:
-    """One document with its preview, which may be missing, and what it offers."""
+    """One document with its preview, which may be missing, and what it offers; file_url where its file is stored."""
     own = registry.where(F.col("id") == doc_id).join(previews, "id", "left")
+    if "file_id" in registry.columns:
+        url = F.concat(F.lit("/api/documents/"), url_part(F.col("id").cast("string")), F.lit("/pdf"))
+        own = own.withColumn("file_url", F.when(F.coalesce("file_id", F.lit("")) != "", url))
     return own.withColumns({"has_pdf": (F.col("source_type") == "user_pdf") | F.col("source_url").isNotNull(), "has_text_preview": F.coalesce(F.length("preview_text") > 0, F.lit(False))})
 
 
+def url_part(text: Column) -> Column:
+    """A text as one part of an address: all but letters, digits and - _ . ! ~ * ' ( ) in hexadecimal."""
+    out = F.url_encode(text)
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
 def by_any_id(rows: DataFrame, value: str, columns: tuple[str, ...] = ("id", "object_id")) -> DataFrame:
     condition = F.lit(False)
     for c in columns:

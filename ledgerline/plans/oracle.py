@@ -80,7 +80,8 @@ chunks AS (SELECT doc_id, source, lang, CAST(i AS INTEGER) AS chunk_index, n AS
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-def sections_sql() -> str:
+def section_ctes(texts: str = "documents") -> str:
+    """filings and cut (doc_id, section, body) over a table with text and lang."""
     heads = {
         "risk_factors": (r"item\s+1a[\.\s\-—]+risk\s+factors(.*?)(?:item\s+1b|item\s+2)", r"risk\s+factors\s*\n(.*?)(?:item\s+1b|item\s+2|quantitative\s+and\s+qualitative)"),
         "mda": (r"item\s+7[\.\s\-—]+management.?s?\s+discussion\s+and\s+analysis(.*?)(?:item\s+7a|item\s+8)", r"management.?s?\s+discussion\s+and\s+analysis(.*?)(?:item\s+7a|item\s+8|financial\s+statements)"),
@@ -90,9 +91,8 @@ def sections_sql() -> str:
     for name, patterns in heads.items():
         tries = " ".join(f"WHEN regexp_matches(text, '(?is){p}') THEN regexp_extract(text, '(?is){p}', 1)" for p in patterns)
         parts.append(f"SELECT doc_id, '{name}' AS section, {STRIP.format(f'CASE {tries} END')} AS body FROM filings")
-    return f"""WITH filings AS (SELECT doc_id, 'Item 1. Business ' || lang || ' Item 1A. Risk Factors ' || text || ' Item 2. Properties Item 7. Management''s Discussion and Analysis ' || text || ' Item 8.' AS text FROM documents),
-bodies AS ({" UNION ALL ".join(parts)}), cut AS (SELECT doc_id, section, CASE WHEN length(body) > 5000 THEN left(body, 5000) || chr(10) || '...[truncated]' ELSE body END AS body FROM bodies WHERE body <> '')
-SELECT doc_id, section, length(body) AS chars, md5(body) AS digest FROM cut"""
+    return f"""filings AS (SELECT doc_id, 'Item 1. Business ' || lang || ' Item 1A. Risk Factors ' || text || ' Item 2. Properties Item 7. Management''s Discussion and Analysis ' || text || ' Item 8.' AS text FROM {texts}),
+bodies AS ({" UNION ALL ".join(parts)}), cut AS (SELECT doc_id, section, CASE WHEN length(body) > 5000 THEN left(body, 5000) || chr(10) || '...[truncated]' ELSE body END AS body FROM bodies WHERE body <> '')"""
 
 
 def html_sql() -> str:
@@ -114,19 +114,18 @@ joined AS (SELECT page_id, url, b[1] || array_to_string(list_transform(range(1,
 SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, {blanks})), lambda x: x <> ''), chr(10)) AS text FROM joined"""
 
 
-def sentence_sql() -> str:
-    """Cuts by recursion: a row a chunk, the next one beginning 200 characters before its end."""
+def chunk_ctes(texts: str, keys: str) -> str:
+    """k (keys, a, chunk) over texts (keys, text), by recursion: a row a chunk, the next one beginning 200 characters before its end."""
     last = lambda mark: f"length(w) - nullif(instr(reverse(w), {mark}), 0) + 1"
     ends = f"coalesce({last(chr(39) + ' .' + chr(39))}, {last('chr(10) || chr(46)')}, {last('chr(10) || chr(10)')}, {last('chr(10)')})"
     cut = f"CASE WHEN a + 2000 < n THEN coalesce(a + 1000 + {ends}, a + 2000) ELSE a + 2000 END"
     window = "substring(text, {} + 1001, 1200)"
-    return rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
-s AS (SELECT doc_id, text, n, 0 AS a, {window.format(0)} AS w FROM d WHERE n > 2000),
-c AS (SELECT doc_id, text, n, a, {cut} AS b FROM s UNION ALL
-  SELECT doc_id, text, n, a, {cut} AS b FROM (SELECT doc_id, text, n, b - 200 AS a, {window.format("(b - 200)")} AS w FROM c WHERE b - 200 < n)),
-p AS (SELECT doc_id, a, trim(substring(text, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) AS chunk FROM c),
-k AS (SELECT doc_id, a, chunk FROM p WHERE chunk <> '' UNION ALL SELECT doc_id, 0, text FROM d WHERE n <= 2000)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, length(chunk) AS chars, md5(chunk) AS digest FROM k"""
+    return rf"""d AS (SELECT {keys}, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM {texts}),
+s AS (SELECT {keys}, text, n, 0 AS a, {window.format(0)} AS w FROM d WHERE n > 2000),
+c AS (SELECT {keys}, text, n, a, {cut} AS b FROM s UNION ALL
+  SELECT {keys}, text, n, a, {cut} AS b FROM (SELECT {keys}, text, n, b - 200 AS a, {window.format("(b - 200)")} AS w FROM c WHERE b - 200 < n)),
+p AS (SELECT {keys}, a, trim(substring(text, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) AS chunk FROM c),
+k AS (SELECT {keys}, a, chunk FROM p WHERE chunk <> '' UNION ALL SELECT {keys}, 0, text FROM d WHERE n <= 2000)"""
 
 
 #: Names, symbols and order of the company list.
@@ -182,9 +181,10 @@ round(sum(cost_usd), 6) AS total_cost_usd, round(sum(latency_ms), 1) AS total_la
     "resolver_accuracy": """SELECT lang AS intent, count(*) FILTER (quality = 1 AND toxic <> 1) AS correct, count(*) FILTER (toxic <> 1) AS total,
 round(coalesce(100.0::DOUBLE * count(*) FILTER (quality = 1 AND toxic <> 1) / nullif(count(*) FILTER (toxic <> 1), 0), 0), 6) AS accuracy_pct FROM documents JOIN labels USING (doc_id) GROUP BY 1""",
     "html_to_text": html_sql(),
-    "extract_sections": sections_sql(),
+    "extract_sections": f"WITH {section_ctes()} SELECT doc_id, section, length(body) AS chars, md5(body) AS digest FROM cut",
     "chunk_fixed": f"WITH {CHUNKS} SELECT doc_id, chunk_index, total_chunks, length(chunk) AS chars, md5(chunk) AS digest FROM chunks",
-    "chunk_sentence": sentence_sql(),
+    "chunk_sentence": f"""WITH RECURSIVE {chunk_ctes("documents", "doc_id")}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, length(chunk) AS chars, md5(chunk) AS digest FROM k""",
     "chunk_ids": f"WITH {CHUNKS} SELECT doc_id, chunk_index, md5(upper(source) || '_' || lang || '_' || doc_id || '_' || chunk_index) AS chunk_id FROM chunks",
     "upsert_latest": """WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus <> 'F' DESC, o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
 SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderstatus FROM r WHERE rn = 1""",

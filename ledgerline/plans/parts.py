@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import formats
 from ledgerline.functions import text as X
-from ledgerline.operators import catalog, documents, macro, model_steps, prompts, resolve, risk, telemetry
+from ledgerline.operators import catalog, documents, model_steps, prompts, resolve, risk, telemetry
 from ledgerline.plans.oracle import BARS, CALLS, CHUNKS, REGISTRY, RISK
 from ledgerline.sources import filings
 from ledgerline.sources import tables as T
@@ -193,11 +193,6 @@ def last_json_line(spark, d):
     return T.scan(spark, d, "events").select("event_id", X.last_json_line(output).alias("last_line"))
 
 
-@query("""SELECT name AS fund, sector FROM (VALUES ('XLK', 'Technology'), ('XLF', 'Financials'), ('XLV', 'Healthcare'), ('XLE', 'Energy'), ('XLI', 'Industrials'), ('XLP', 'Consumer Staples'), ('XLY', 'Consumer Discretionary'), ('XLU', 'Utilities'), ('XLB', 'Materials'), ('XLRE', 'Real Estate'), ('XLC', 'Communication Services')) v(name, sector)""")
-def sector_funds(spark, d):
-    return macro.sector_names(spark)
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS from_ts, event_type AS step, count(*) AS events FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     """Extension: tumbling windows over events, in batch as in the stream."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import html
 from ledgerline.functions import text as X
 from ledgerline.operators import catalog, decision, documents, evaluation, macro, prices, progress, prompts, recursive, resolve, risk, telemetry, vectors
-from ledgerline.plans import parts, report, stores, streams  # noqa: F401
+from ledgerline.plans import lookups, parts, report, stores, streams  # noqa: F401
 from ledgerline.plans.oracle import ORACLE as WHOLE
 from ledgerline.sources import tables as T
 
@@ -218,14 +218,9 @@ def html_to_text(spark, d):
     return T.scan(spark, d, "pages").select("page_id", "url", html.html_to_text(F.col("html")).alias("text"))
 
 
-def filing_texts(spark, d):
-    parts = (F.lit("Item 1. Business "), F.col("lang"), F.lit(" Item 1A. Risk Factors "), F.col("text"), F.lit(" Item 2. Properties Item 7. Management's Discussion and Analysis "), F.col("text"), F.lit(" Item 8."))
-    return T.scan(spark, d, "documents").select("doc_id", F.concat(*parts).alias("text"))
-
-
 @query
 def extract_sections(spark, d):
-    found = documents.sections(filing_texts(spark, d))
+    found = documents.sections(T.filing_texts(T.scan(spark, d, "documents")).select("doc_id", "text"))
     return found.select("doc_id", "section", F.length("section_text").cast("long").alias("chars"), F.md5("section_text").alias("digest"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def csv_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True)
 
 
+def stamped(folder: str, name: str, at: datetime) -> str:
+    """Place of a run's results: name and time in one, so that runs don't meet."""
+    return f"{folder.rstrip('/')}/{name}_{at:%Y%m%d_%H%M%S}.csv"
+
+
 def json_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -119,6 +119,12 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filing_texts(docs: DataFrame) -> DataFrame:
+    """docs with their text in place of two sections of a filing."""
+    parts = (F.lit("Item 1. Business "), F.col("lang"), F.lit(" Item 1A. Risk Factors "), F.col("text"), F.lit(" Item 2. Properties Item 7. Management's Discussion and Analysis "), F.col("text"), F.lit(" Item 8."))
+    return docs.withColumn("text", F.concat(*parts))
+
+
 def binary_files(spark: SparkSession, path: str, most_bytes: int = 10 * 1024 * 1024) -> DataFrame:
     """Uploads as (path, file name made safe, content) up to a size, PDF by extension."""
     files = spark.read.format("binaryFile").load(path).where((F.col("length") <= most_bytes) & F.lower("path").endswith(".pdf"))
