@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.arrays import running_sums
+
 #: Rendering of one turn.
 START, MIDDLE, END = "<|", "|>\n", "\n"
 SAFE = "< |"
 LEARNED_ROLE = "assistant"
-#: Turns whose offsets are added up together.
-FOLD_TURNS = 256
 
 
 def turn_of() -> Column:
@@ -47,27 +47,11 @@ def learned_spans(turns: Column) -> Column:
     """start:end of each learned text in the rendered turns, comma-joined; code points, end exclusive."""
     fixed = len(START) + len(MIDDLE) + len(END)
     sizes = F.transform(turns, lambda t: fixed + F.length(t["role"]) + F.length(t["text"]))
-    ends = running(sizes)
+    ends = running_sums(sizes)
     told = F.zip_with(turns, ends, lambda t, e: F.when(t["role"] == LEARNED_ROLE, F.concat_ws(":", (e - len(END) - F.length(t["text"])).cast("string"), (e - len(END)).cast("string"))))
     return F.array_join(told, ",")
 
 
-def sums(sizes: Column, start: Column) -> Column:
-    """Running sums from start on; the fold copies its result at each step, so it is for short arrays."""
-    first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("all"))
-    step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all"))
-    return F.aggregate(sizes, first, step, lambda s: s["all"])
-
-
-def running(sizes: Column) -> Column:
-    """Running sums of an array of any length: of stretches of FOLD_TURNS first, then within each."""
-    zero = F.lit(0).cast("long")
-    n = F.ceil(F.size(sizes) / FOLD_TURNS).cast("int")
-    stretches = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(sizes, i * FOLD_TURNS + 1, FOLD_TURNS))).otherwise(F.array().cast("array<array<int>>"))
-    totals = F.transform(stretches, lambda x: F.aggregate(x, zero, lambda s, n: s + n))
-    return F.flatten(F.zip_with(stretches, sums(totals, zero), lambda x, end: sums(x, end - F.aggregate(x, zero, lambda s, n: s + n))))
-
-
 def common_prefix(a: Column, b: Column) -> Column:
     """How many turns from the start are the same in both."""
     n = F.least(F.size(a), F.size(b))

@@ -14,12 +14,12 @@ URL_FILTER = r"""WITH h AS (SELECT page_id, nullif(lower(regexp_replace(url_deco
 listed AS (SELECT DISTINCT host, CAST(DATE '2024-01-01' + CAST((7 * length(host)) % 365 AS INTEGER) AS DATE) AS day FROM h WHERE host IS NOT NULL AND length(host) % 3 = 0),
 entries AS (SELECT host AS domain, day AS since, true AS active, 'host' AS category FROM listed UNION SELECT host, CAST(day + 120 AS DATE), false, 'host' FROM listed
   UNION SELECT regexp_replace(host, '^[^.]*\.', ''), CAST(day + 200 AS DATE), true, 'parent' FROM listed WHERE len(string_split(host, '.')) >= 3),
-daily AS (SELECT domain, since, min(active) AS active, arg_min(category, (active, category)) AS category FROM entries GROUP BY 1, 2),
-held AS (SELECT *, lead(since) OVER (PARTITION BY domain ORDER BY since) AS until FROM daily),
+daily AS (SELECT domain, category, since, min(active) AS active FROM entries GROUP BY ALL),
+held AS (SELECT *, lead(since) OVER (PARTITION BY domain, category ORDER BY since) AS until FROM daily),
 asked AS (SELECT DISTINCT host, fetch_date FROM h WHERE host IS NOT NULL),
 parts AS (SELECT host, fetch_date, string_split(host, '.') AS l, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM asked),
 hits AS (SELECT p.host, p.fetch_date, domain, category, since FROM parts p JOIN held ON domain = array_to_string(l[i:], '.') WHERE active AND p.fetch_date >= since AND (until IS NULL OR p.fetch_date < until)),
-best AS (SELECT host, fetch_date, arg_max(domain, length(domain)) AS domain, arg_max(category, length(domain)) AS category, arg_max(since, length(domain)) AS since FROM hits GROUP BY 1, 2)
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY host, fetch_date ORDER BY length(domain) DESC, since DESC, category NULLS FIRST) = 1)
 SELECT page_id, h.host, h.fetch_date, domain IS NOT NULL AS blocked, domain AS matched_domain, category, since AS listed_since FROM h LEFT JOIN best ON h.host = best.host AND h.fetch_date = best.fetch_date"""
 
 

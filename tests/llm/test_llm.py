@@ -578,6 +578,26 @@ def test_url_filter_of_several_categories(spark):
     assert got == [(False, None, ""), x, x, (True, "a", "03-01"), x, (False, None, ""), (True, None, "06-01")]
 
 
+def test_url_filter_sql_of_several_categories(spark):
+    """The SQL makes intervals as the operator does, where a host is its own domain and another's parent."""
+    import duckdb
+
+    from ledgerline.llm import queries
+
+    hosts = ["aa.bb.cc", "x.aa.bb.cc", "bb.cc", "y.x.aa.bb.cc", "zz.bb.cc", "a.b"]
+    pages = [(k, f"http://{h}/p{k}") for k in range(360) for h in [hosts[k % len(hosts)]]] + [(1000, None), (1001, "no host")]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    ours = url_filter.filter_urls(*queries.captures_and_lists(frame))
+    con = duckdb.connect()
+    con.register("pages", frame.toPandas())
+    theirs = con.execute(queries.ORACLE["op3_url_filter"])
+    columns = [c[0] for c in theirs.description]
+    got = sorted(map(tuple, ours.select(*columns).collect()), key=str)
+    assert got == sorted(theirs.fetchall(), key=str)
+    categories = {r[columns.index("category")] for r in got}
+    assert categories == {"host", "parent", None}
+
+
 # --- chat
 
 
@@ -610,20 +630,19 @@ def test_chat_of_many_turns_and_marks(spark):
 # --- SQL of this subpackage's queries
 
 
-@pytest.mark.parametrize("name", ["op2_topk", "op3_url_filter", "op10_chat"])
+@pytest.mark.parametrize("name", ["op2_topk", "op3_url_filter", "op10_chat", "op11_secrets", "op12_middle", "op13_lexical"])
 def test_same_as_sql(spark, name):
     import duckdb
 
     from ledgerline.llm import queries
 
     con = duckdb.connect()
-    for t in ("embeddings", "pages", "conversations"):
+    for t in ("embeddings", "pages", "conversations", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
-    ours, theirs = queries.QUERIES[name](spark, "/root/testdata/sf0.01").toPandas(), con.execute(queries.ORACLE[name]).df()
-    assert sorted(ours.columns) == sorted(theirs.columns)
-    plain = lambda v: None if v is None or v != v else str(v)[:10] if hasattr(v, "isoformat") else str(v)
-    rows = lambda f: sorted((tuple(map(plain, r)) for r in f[sorted(f.columns)].itertuples(index=False)), key=str)
-    assert rows(ours) == rows(theirs)
+    ours, theirs = queries.QUERIES[name](spark, "/root/testdata/sf0.01"), con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in theirs.description]
+    assert sorted(ours.columns) == sorted(columns)
+    assert sorted(map(tuple, ours.select(*columns).collect()), key=str) == sorted(theirs.fetchall(), key=str)
 
 
 # --- shared
@@ -644,6 +663,16 @@ def test_scratch_needs_a_shared_folder():
         common.scratch_dir(Session())
 
 
+def test_offsets_of_a_very_long_conversation(spark):
+    """Each turn's size is taken once, however many turns there are."""
+    rows = spark.range(40_000).select(F.lit(1).cast("long").alias("pair_id"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("said").alias("text")).withColumnRenamed("id", "turn")
+    began = time.time()
+    got = chat.format_preferences(rows, rows.where("turn < 10")).first()
+    assert time.time() - began < 60
+    spans = [tuple(map(int, s.split(":"))) for s in got["chosen_mask"].split(",")]
+    assert got["prompt_turns"] == 10 and len(spans) == 19_995 and all(got["chosen"][a:b] == "said" for a, b in spans)
+
+
 # --- added spans on held-out texts
 
 
