@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +31,11 @@ def cik_of_feed(atom: Column) -> Column:
 
 
 def search_results(answers: DataFrame, count: int = 2) -> DataFrame:
-    """(symbol, rank, url, filing_date, accession_number) of search answers (symbol, body), the first `count`."""
-    hits = F.from_json("body", SEARCH_HITS)["hits"]["hits"]
-    rows = answers.select("symbol", F.posexplode(hits).alias("pos", "h"))
-    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("pos"))
-    kept = rows.withColumn("rank", rank).where(F.col("rank") <= count)
+    """(symbol, rank, url, filing_date, accession_number) of search answers (symbol, body), a row a symbol, the first `count`."""
+    hits = F.slice(F.from_json("body", SEARCH_HITS)["hits"]["hits"], 1, count)
+    kept = answers.select("symbol", F.posexplode(hits).alias("pos", "h"))
     source = F.col("h._source")
-    return kept.select("symbol", F.col("rank").cast("int").alias("rank"), absolute_url(source["file_url"], ARCHIVE).alias("url"), source["file_date"].alias("filing_date"), source["file_num"].alias("accession_number"))
+    return kept.select("symbol", (F.col("pos") + 1).alias("rank"), absolute_url(source["file_url"], ARCHIVE).alias("url"), source["file_date"].alias("filing_date"), source["file_num"].alias("accession_number"))
 
 
 def joined_pages(pages: Column) -> Column:

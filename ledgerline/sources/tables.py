@@ -154,13 +154,11 @@ def json_rows(spark: SparkSession, path: str, schema) -> DataFrame:
 def zipped_filings(submissions: DataFrame, form: str, count: int) -> DataFrame:
     """Filings of one form from parallel arrays, the first `count` of each symbol, with their URL.
 
-    submissions: (symbol, cik, forms, dates, accessions, documents). Leading zeros of cik and dashes of the
-    accession number don't appear in the URL.
+    submissions: (symbol, cik, forms, dates, accessions, documents), a row a symbol. The arrays are
+    filtered and cut before they become rows. Leading zeros of cik and dashes of the accession number
+    don't appear in the URL.
     """
-    rows = submissions.select("symbol", "cik", F.posexplode(F.arrays_zip("forms", "dates", "accessions", "documents")).alias("pos", "f"))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("pos"))
-    kept = rows.where(F.col("f.forms") == form).withColumn("rank", rank).where(F.col("rank") <= count)
+    first = F.slice(F.filter(F.arrays_zip("forms", "dates", "accessions", "documents"), lambda f: f["forms"] == form), 1, count)
+    kept = submissions.select("symbol", "cik", F.posexplode(first).alias("pos", "f"))
     url = F.concat_ws("/", F.lit("https://www.sec.gov/Archives/edgar/data"), F.ltrim("cik", F.lit("0")), F.regexp_replace("f.accessions", "-", ""), "f.documents")
-    return kept.select("symbol", F.col("rank").cast("int").alias("rank"), url.alias("url"), F.col("f.dates").alias("filing_date"), F.col("f.accessions").alias("accession_number"))
+    return kept.select("symbol", (F.col("pos") + 1).alias("rank"), url.alias("url"), F.col("f.dates").alias("filing_date"), F.col("f.accessions").alias("accession_number"))
