@@ -1,8 +1,8 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
 Rows are dealt to cells around centres, and cells to blocks of bounded size, so a block holds
-neighbours. A first search of a few near blocks gives each query a floor, a k-th score that it has
-reached already. A query block then meets only cells whose bound is not under its floors. A task gets
+neighbours. A first search of a query's own cell gives it a floor, a k-th score that it has reached
+already; what it has found there is kept, and the cell isn't searched again. A query block then meets only cells whose bound is not under its floors. A task gets
 query blocks and a run of data blocks, builds a cover tree over each and walks pairs of nodes.
 
 The inner products of all points below two nodes with centres c, covering radii r, angular radii a and
@@ -162,8 +162,8 @@ class Best:
         self.found[rows] = np.take_along_axis(f, order, 1)
 
 
-def search(queries: np.ndarray, tree: Node, data: np.ndarray, ids: np.ndarray, data_tree: Node, best: Best, same_cell: bool = False) -> None:
-    """Adds the data's best to `best`; with same_cell, of forests only trees of one cell meet."""
+def search(queries: np.ndarray, tree: Node, data: np.ndarray, ids: np.ndarray, data_tree: Node, best: Best, same_cell: bool | None = None) -> None:
+    """Adds the data's best to `best`; of forests only trees of one cell meet, or only trees of different ones, if same_cell says so."""
     length = np.sqrt((queries * queries).sum(1))
 
     def visit(q: Node, x: Node) -> None:
@@ -187,13 +187,15 @@ def search(queries: np.ndarray, tree: Node, data: np.ndarray, ids: np.ndarray, d
                 break
             visit(q, x.children[k])
 
-    if same_cell:
-        of = {x.cell: x for x in data_tree.children}
-        for q in tree.children:
-            if q.cell in of:
-                visit(q, of[q.cell])
-    else:
+    if same_cell is None:
         visit(tree, data_tree)
+        return
+    for q in tree.children:
+        bound = bounds(data_tree.centres @ q.centre, data_tree.norms, q.norm, data_tree.radii, q.radius, data_tree.angles + q.angle, data_tree.longests * q.longest)
+        for k in np.argsort(-bound, kind="stable").tolist():
+            x = data_tree.children[k]
+            if (q.cell == x.cell) == same_cell and bound[k] >= best.worst(q.at):
+                visit(q, x)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -337,11 +339,14 @@ def search_width(rows: DataFrame, width: int, every: int, k: int, query_rows: in
         for pdf in batches:
             for q_block, cells in zip(pdf["q_block"], pdf["q_cells"], strict=True):
                 own = data.numbers(np.unique(np.frombuffer(cells, "<i4")))
-                yield pd.DataFrame({"q_block": q_block, "block": own[:: -(-len(own) // NEAR_BLOCKS)]})
-
-    seeds = q_blocks.select("q_block", "q_cells").mapInPandas(near, "q_block long, block long")
-    seeds = d_blocks.join(seeds, "block").select(F.col("q_block").alias("for_block"), "ids", "cells", "vectors")
-    floors = written(q_blocks.groupBy("q_block").cogroup(seeds.groupBy("for_block")).applyInPandas(floor_finder(width, k, scored), "q_block long, floors binary"), "floors")
+                yield pd.DataFrame({"q_block": q_block, "block": own[:: -(-len(own) // NEAR_BLOCKS)], "whole": len(own) <= NEAR_BLOCKS})
+
+    seeds = q_blocks.select("q_block", "q_cells").mapInPandas(near, "q_block long, block long, whole boolean")
+    seeds = d_blocks.join(seeds, "block").select(F.col("q_block").alias("for_block"), "whole", "ids", "cells", "vectors")
+    floors = written(q_blocks.groupBy("q_block").cogroup(seeds.groupBy("for_block")).applyInPandas(floor_finder(width, k, scored), "q_block long, floors binary, whole boolean, ids binary, found binary, scores binary"), "floors")
+    # Where all rows of a query's cell have been seen, they are kept, and the search leaves that cell out.
+    own = floors.where("whole").select("q_block", "ids", "found", "scores").mapInPandas(kept_floors(k), CANDIDATES)
+    floors = floors.select("q_block", "floors", "whole")
     asking = q_blocks.join(floors, "q_block")
 
     def open_cells(batches):
@@ -358,8 +363,8 @@ def search_width(rows: DataFrame, width: int, every: int, k: int, query_rows: in
     task = F.concat_ws(":", F.col("run").cast("string"), F.col("part").cast("string"))
     right = d_blocks.withColumn("run", F.floor(F.col("block") / run_blocks))
     right = right.join(pairs.select("run", "part").distinct(), "run").select(task.alias("task"), "ids", "cells", "vectors")
-    left = asking.join(pairs, "q_block").select(task.alias("task"), "q_block", "q_ids", "q_cells", "q_vectors", "floors")
-    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(searcher(width, k, scored), "query_id long, query_row long, vec_id long, score long")
+    left = asking.join(pairs, "q_block").select(task.alias("task"), "q_block", "q_ids", "q_cells", "q_vectors", "floors", "whole")
+    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(searcher(width, k, scored), CANDIDATES).unionByName(own)
 
 
 def data_forest(right: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, Node]:
@@ -371,26 +376,50 @@ def data_forest(right: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return data[order], ids[order], forest(data[order], cells[order])
 
 
-def searched(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int, scored: Accumulator | None, same_cell: bool = False):
-    """Number and best of each query block over the data blocks of a task."""
+def searched(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int, scored: Accumulator | None):
+    """Number and best of each query block over the data blocks of a task; without floors, over its own cells only."""
     if left.empty or right.empty:
         return
     data, ids, tree = data_forest(right, width)
-    floors = left["floors"] if "floors" in left else [None] * len(left)
-    for q_block, q_ids, q_cells, q_vectors, floor in zip(left["q_block"], left["q_ids"], left["q_cells"], left["q_vectors"], floors, strict=True):
+    none = [None] * len(left)
+    told = zip(left["floors"], left["whole"], strict=True) if "floors" in left else zip(none, none, strict=True)
+    for q_block, q_ids, q_cells, q_vectors, (floor, whole) in zip(left["q_block"], left["q_ids"], left["q_cells"], left["q_vectors"], told, strict=True):
         queries, best = unpacked(q_vectors, width), Best(np.frombuffer(q_ids, "<i8"), k, None if floor is None else np.frombuffer(floor))
-        search(queries, forest(queries, np.frombuffer(q_cells, "<i4")), data, ids, tree, best, same_cell)
+        search(queries, forest(queries, np.frombuffer(q_cells, "<i4")), data, ids, tree, best, True if floor is None else False if whole else None)
         if scored is not None:
             scored.add(best.scored)
         yield q_block, best
 
 
 def floor_finder(width: int, k: int, scored: Accumulator | None):
-    """Function over a query block and a few data blocks: the k-th score that each query finds in its own cell."""
+    """Function over a query block and data blocks of its cells: the k best that each query finds in its own cell.
+
+    whole tells whether the blocks are all of those cells.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [(q_block, best.score[:, -1].astype("<f8").tobytes()) for q_block, best in searched(left, right, width, k, scored, True)]
-        return pd.DataFrame(out, columns=["q_block", "floors"])
+        whole = bool(right["whole"].all()) and not right.empty
+        out = [(q_block, best.score[:, -1].astype("<f8").tobytes(), whole, best.ids.astype("<i8").tobytes(), best.found.astype("<i8").tobytes(), best.score.astype("<f8").tobytes()) for q_block, best in searched(left, right, width, k, scored)]
+        return pd.DataFrame(out, columns=["q_block", "floors", "whole", "ids", "found", "scores"])
+
+    return run
+
+
+CANDIDATES = "query_id long, query_row long, vec_id long, score long"
+
+
+def candidates(q_block: int, ids: np.ndarray, found: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    """Rows of CANDIDATES: what the queries of a block have found."""
+    got = np.isfinite(score)
+    number = (np.int64(q_block) << 32) + np.arange(len(got))
+    return pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], got.shape)[got], "query_row": np.broadcast_to(number[:, None], got.shape)[got], "vec_id": found[got], "score": score[got].astype("int64")})
+
+
+def kept_floors(k: int):
+    def run(batches):
+        for pdf in batches:
+            for q_block, ids, found, score in zip(pdf["q_block"], pdf["ids"], pdf["found"], pdf["scores"], strict=True):
+                yield candidates(q_block, np.frombuffer(ids, "<i8"), np.frombuffer(found, "<i8").reshape(-1, k), np.frombuffer(score, "<f8").reshape(-1, k))
 
     return run
 
@@ -400,10 +429,7 @@ def searcher(width: int, k: int, scored: Accumulator | None):
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}, dtype="int64")]
-        for q_block, best in searched(left, right, width, k, scored):
-            got = np.isfinite(best.score)
-            number = (np.int64(q_block) << 32) + np.arange(len(got))
-            out.append(pd.DataFrame({"query_id": np.broadcast_to(best.ids[:, None], got.shape)[got], "query_row": np.broadcast_to(number[:, None], got.shape)[got], "vec_id": best.found[got], "score": best.score[got].astype("int64")}))
+        out += [candidates(q_block, best.ids, best.found, best.score) for q_block, best in searched(left, right, width, k, scored)]
         return pd.concat(out, ignore_index=True)
 
     return run

@@ -111,7 +111,9 @@ def test_packing(spark, library):
 # --- search
 
 
-def test_top_k_brute_force(spark):
+@pytest.mark.parametrize("near_blocks", [64, 1])
+def test_top_k_brute_force(spark, monkeypatch, near_blocks):
+    monkeypatch.setattr(search, "NEAR_BLOCKS", near_blocks)  # one block: floors come from a part of a cell
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(120)]
     frame = spark.createDataFrame(rows + [(None, [0.0] * 8), (2000, None), (2001, [None] * 8), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (2050, [1.0] * 3), (2051, [1.0] * 3)], "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
@@ -127,6 +129,15 @@ def test_top_k_brute_force(spark):
     assert search.top_k(frame.where("vec_id = 50")).count() == 0
 
 
+def test_top_k_scores_no_pair_twice(spark):
+    """Where nothing can be skipped, as with even directions, each pair is scored once."""
+    x = np.random.default_rng(6).normal(size=(2000, 64))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate((x / np.sqrt((x * x).sum(1, keepdims=True))).tolist())], "vec_id long, embedding array<double>")
+    scored = spark.sparkContext.accumulator(0)
+    assert search.top_k(frame, scored=scored).count() == 40 * 5
+    assert scored.value <= 40 * 2000
+
+
 def test_top_k_skips_most_of_clustered_data(spark):
     rng = np.random.default_rng(5)
     middle = rng.normal(size=(50, 64))
