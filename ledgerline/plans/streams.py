@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators import progress
-from ledgerline.plans.oracle import BARS
+from ledgerline.operators import macro, progress
+from ledgerline.plans.oracle import BARS, MACRO
 from ledgerline.plans.parts import query
 from ledgerline.sources import feeds, scratch
 from ledgerline.sources import tables as T
@@ -79,3 +79,11 @@ def bars_feed(spark, d):
     """A feed that answers with the bars of each symbol, asked for six months of them."""
     urls = feeds.archived(T.bars(spark, d), f"{scratch.scratch_dir(spark)}/ledgerline/feed-{uuid.uuid4().hex}")
     return feeds.history(spark, urls).where(F.col("dt") >= T.since("1997-06-30", "6mo"))
+
+
+@query(f"WITH {MACRO.replace('FROM lineitem GROUP BY 1)', "FROM lineitem WHERE l_shipdate >= DATE '1996-03-01' GROUP BY 1)", 1)} SELECT 'rate' AS series_id, round(last, 6) AS last, round(reference, 6) AS reference, trend FROM rate_row")
+def rates_feed(spark, d):
+    """The trend of a rate from a feed of series, asked for its values from a day on."""
+    urls = feeds.archived(T.macro(spark, d), f"{scratch.scratch_dir(spark)}/ledgerline/feed-{uuid.uuid4().hex}", "series")
+    trend = macro.rate_trend(feeds.history(spark, urls, kind="series").where(F.col("dt") >= F.lit("1996-03-01").cast("date")))
+    return trend.withColumns({c: F.round(c, 6) for c in ("last", "reference")})

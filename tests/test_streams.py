@@ -178,6 +178,17 @@ def test_feed_without_filters(spark, feed):
     assert feeds.history(spark, []).count() == 0
 
 
+def test_feed_of_series(spark, feed):
+    from ledgerline.sources import feeds
+
+    url, asked = feed
+    rows = feeds.history(spark, ["AAA", "BB"], url, kind="series")
+    assert rows.columns == ["series_id", "dt", "value"]
+    got = rows.where("series_id = 'BB' AND dt >= DATE '2024-02-28'")
+    assert [(r["series_id"], r["dt"].day, r["value"]) for r in got.orderBy("dt").collect()] == [("BB", 28, None), ("BB", 29, None)]
+    assert set(asked) == {("BB", "2024-02-28")}  # the sort asks twice
+
+
 # --- the sink
 
 
@@ -220,3 +231,9 @@ def test_sink_of_a_stream(spark, tmp_path):
     want = [("complete", '{"run_id":%d,"step":"b","message":"two\\r\\nlines"}'), ("progress", '{"run_id":%d,"step":"a","message":"say \\"x\\""}'), ("", '{"run_id":%d,"message":""}')]
     assert got == sorted((k, e, d % k) for k in range(2) for e, d in want)
     assert event_files.staged(path) == []
+
+
+def test_results_are_named_by_time():
+    from ledgerline.sources import sinks
+
+    assert sinks.stamped("/results/", "eval", dt.datetime(2024, 3, 5, 7, 8, 9)) == "/results/eval_20240305_070809.csv"
