@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import html
 from ledgerline.functions import text as X
 from ledgerline.operators import catalog, decision, documents, evaluation, macro, prices, progress, prompts, recursive, resolve, risk, telemetry, vectors
-from ledgerline.plans import evaluations, lookups, parts, report, stores, streams  # noqa: F401
+from ledgerline.plans import evaluations, lookups, parts, report, round_trips, stores, streams  # noqa: F401
 from ledgerline.plans.oracle import ORACLE as WHOLE
 from ledgerline.sources import tables as T
 
