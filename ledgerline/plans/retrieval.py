@@ -75,14 +75,15 @@ def retrieve(requests: DataFrame, filed: DataFrame, uploaded: DataFrame, k: int
     from_filings = nearest_chunks(filed.withColumns({"symbol": F.upper("symbol"), "part": F.col("section")}), symbols.select("symbol", part).select("symbol", "q.*"), ["symbol", "part"], k, model)
     from_uploads = nearest_chunks(uploaded.withColumn("symbol", F.upper("symbol")), requests.select("analysis_id", "symbol", asked_of("symbol", UPLOAD_QUESTION).alias("question")), ["analysis_id", "symbol"], k, model)
 
-    def told(ranked: DataFrame, keys: list[str], name: str) -> DataFrame:
-        count = ranked.groupBy(*keys).agg(F.count("*").cast("int").alias(f"num_{name}_chunks"), F.min_by("filing_date", "rank").alias(f"{name}_date"))
-        return documents.context(ranked, keys).withColumnRenamed("context", f"{name}_context").join(count, keys)
-
-    out = requests
-    for name, p in (("risk", "risk_factors"), ("mda", "mda")):
-        out = out.join(told(from_filings.where(F.col("part") == p), ["symbol"], name), "symbol", "left")
-    out = out.join(told(from_uploads, ["analysis_id", "symbol"], "uploaded"), ["analysis_id", "symbol"], "left")
+    def told(name: str, where) -> list:
+        return [
+            documents.context_of(where).alias(f"{name}_context"), F.count_if(where).cast("int").alias(f"num_{name}_chunks"),
+            F.min_by(F.when(where, F.col("filing_date")), F.when(where, F.col("rank"))).alias(f"{name}_date"),
+        ]
+
+    by_symbol = from_filings.groupBy("symbol").agg(*told("risk", F.col("part") == "risk_factors"), *told("mda", F.col("part") == "mda"))
+    by_analysis = from_uploads.groupBy("analysis_id", "symbol").agg(*told("uploaded", F.lit(True)))
+    out = requests.join(by_symbol, "symbol", "left").join(by_analysis, ["analysis_id", "symbol"], "left")
     sources = filed.groupBy(F.upper("symbol").alias("symbol")).agg(F.count("*").alias("chunks")).join(requests, "symbol").withColumn("source_type", F.lit("sec_filing"))
     own = uploaded.groupBy("analysis_id", F.upper("symbol").alias("symbol")).agg(F.count("*").alias("chunks")).join(requests, ["analysis_id", "symbol"], "left_semi").withColumn("source_type", F.lit("user_pdf"))
     listed = F.sort_array(F.collect_list(F.struct("source_type", "chunks")))
@@ -90,6 +91,6 @@ def retrieve(requests: DataFrame, filed: DataFrame, uploaded: DataFrame, k: int
     counts = [F.coalesce(f"num_{n}_chunks", F.lit(0)).alias(f"num_{n}_chunks") for n in ("risk", "mda", "uploaded")]
     return out.select(
         "analysis_id", "symbol", *(F.coalesce(f"{n}_context", F.lit(MISSING)).alias(f"{n}_context") for n in ("risk", "mda", "uploaded")), *counts,
-        F.coalesce("risk_date", "mda_date", F.lit("")).alias("filing_date"), F.coalesce("num_risk_chunks", "num_mda_chunks", "num_uploaded_chunks").isNotNull().alias("available"),
+        F.coalesce("risk_date", "mda_date", F.lit("")).alias("filing_date"), (F.coalesce("num_risk_chunks", F.lit(0)) + F.coalesce("num_mda_chunks", F.lit(0)) + F.coalesce("num_uploaded_chunks", F.lit(0)) > 0).alias("available"),
         F.coalesce("document_sources", F.array().cast("array<struct<source_type: string, chunks: bigint>>")).alias("document_sources"),
     )

@@ -42,6 +42,22 @@ def test_retrieval(spark):
     assert up.first()["collection"] == "user_pdf"
 
 
+def test_retrieve(spark):
+    """Requests with filings, with an upload, with both and with neither; a source counts once it has chunks."""
+    text = "Item 1A. Risk Factors war and supply trouble. Item 2. Item 7. Management's Discussion and Analysis sales grew. Item 8."
+    filed = retrieval.filing_chunks(spark.createDataFrame([("abc", "2024-01-01", text), ("abc", "2023-01-01", text.replace("war", "rain " * 1200)), ("own", "2022-02-02", "Item 7 - Management discussion and analysis x Item 8")], "symbol string, filing_date string, text string"))
+    uploaded = retrieval.user_chunks(spark.createDataFrame([("1", "d", "abc", "f", "hello"), ("2", "e", "abc", "g", "other " * 900), ("9", "z", "zzz", "h", "unasked")], "analysis_id string, doc_id string, symbol string, filename string, text string"))
+    requests = spark.createDataFrame([("1", "abc"), ("2", "ABC"), ("2", "abc"), ("3", "abc"), ("4", "none"), ("5", "own")], "analysis_id string, symbol string")
+    got = {r["analysis_id"]: r for r in retrieval.retrieve(requests, filed, uploaded, k=2).collect()}
+    assert set(got) == {"1", "2", "3", "4", "5"} and {r["symbol"] for r in got.values()} == {"ABC", "NONE", "OWN"}
+    assert got["1"]["uploaded_context"] == "hello" and got["1"]["num_uploaded_chunks"] == 1 and got["3"]["uploaded_context"] == retrieval.MISSING
+    assert got["2"]["uploaded_context"].endswith("...[truncated]") and got["1"]["risk_context"] == got["2"]["risk_context"]
+    assert got["1"]["num_risk_chunks"] == 2 and got["1"]["num_mda_chunks"] == 2 and got["1"]["filing_date"] in ("2024-01-01", "2023-01-01")
+    assert [tuple(x) for x in got["1"]["document_sources"]] == [("sec_filing", filed.where("symbol = 'ABC'").count()), ("user_pdf", 1)]
+    assert got["4"]["available"] is False and got["4"]["document_sources"] == [] and got["4"]["filing_date"] == "" and got["4"]["risk_context"] == retrieval.MISSING
+    assert got["5"]["mda_context"] == "x" and got["5"]["num_risk_chunks"] == 0 and got["5"]["filing_date"] == "2022-02-02" and got["5"]["available"]
+
+
 def test_judge_run(spark):
     examples = spark.createDataFrame([(1, "risk", ("up", 1.5), ["a", "b"]), (2, "risk", (None, None), []), (3, "other", ("x", 0.0), ["c"])], "id long, agent string, input_context struct<trend: string, pe: double>, expected_output_contains array<string>")
     templates = spark.createDataFrame([("risk", 1, "old"), ("risk", 2, "{trend} {pe} {odd}")], "name string, version int, template string")
