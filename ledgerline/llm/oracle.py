@@ -37,7 +37,8 @@ l AS (SELECT conv_id, max(turn) AS last, arg_max(role, turn) AS role, arg_max(te
 ends AS (SELECT a.conv_id, a.last, b.role, b.text FROM l a JOIN l b ON b.conv_id = a.conv_id + 1),
 c AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn) AS c FROM t GROUP BY 1),
 j AS (SELECT t.conv_id, turn, t.role, t.text FROM t JOIN ends ON t.conv_id = ends.conv_id WHERE turn < last UNION ALL SELECT conv_id, last, role, text FROM ends),
-r AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn) AS r FROM j GROUP BY 1),
+s AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn) AS s FROM j GROUP BY 1),
+r AS (SELECT conv_id, list_transform(s, lambda x, i: {{'r': x.r, 't': CASE WHEN conv_id % 3 = 1 AND i - 1 = conv_id % len(s) THEN x.t || '?' ELSE x.t END}}) AS r FROM s),
 b AS (SELECT c.conv_id AS pair_id, c, r, CAST(coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])[1] - 1, least(len(c), len(r))) AS INTEGER) AS k FROM c JOIN r ON c.conv_id = r.conv_id),
 cut AS (SELECT pair_id, k, c[1:k] AS p, c[k + 1:] AS c, r[k + 1:] AS r FROM b)
 SELECT pair_id, k AS prompt_turns, {_rendered("p")} AS prompt, {_rendered("c")} AS chosen, {_mask("c")} AS chosen_mask, {_rendered("r")} AS rejected, {_mask("r")} AS rejected_mask FROM cut"""

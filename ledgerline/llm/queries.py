@@ -90,13 +90,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """(pair_id, c, r): chosen is conversation c; rejected has c's turns but its last, and then the last turn of c + 1.
 
-    The table has no preferences, so this makes pairs that share all turns but the last. All turns are
-    shuffled once, when they are gathered; besides that only last turns move.
+    The table has no preferences, so this makes pairs that share all turns but the last. Of every third
+    pair the rejected side asks back at an earlier turn, the (c mod number of turns)th from 0, so those
+    part there. All turns are shuffled once, when they are gathered; besides that only last turns move.
     """
     turns = turns.withColumnRenamed("conv_id", "pair_id")
     whole = chat.ordered_turns(turns, "c")
     ends = chat.last_turns(turns, "end").withColumn("pair_id", F.col("pair_id") - 1)
-    return whole.join(ends, "pair_id").select("pair_id", "c", F.concat(F.slice("c", F.lit(1), F.size("c") - 1), F.array("end")).alias("r"))
+    both = whole.join(ends, "pair_id").select("pair_id", "c", F.concat(F.slice("c", F.lit(1), F.size("c") - 1), F.array("end")).alias("r"))
+    here = lambda i: (F.col("pair_id") % 3 == 1) & (i == F.col("pair_id") % F.size("c"))
+    asked = F.transform("r", lambda t, i: F.struct(t["role"].alias("role"), F.when(here(i), F.concat(t["text"], F.lit("?"))).otherwise(t["text"]).alias("text")))
+    return both.select("pair_id", "c", asked.alias("r"))
 
 
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
