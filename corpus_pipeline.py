@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm import minhash, packing, pii, quality, toxicity
 from ledgerline.llm.common import written
 from ledgerline.llm.queries import tokenizer_path
+from ledgerline.session import lean_workers
 
 #: Documents at or over this toxicity go; so do documents under this quality.
 TOXIC, GOOD = 0.7, 0.5
@@ -92,7 +93,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("pii", redact), ("packing", pack)]
+def lean(stage):
+    """The stage, in workers that give memory back: all stages run in the same executors."""
+
+    def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        lean_workers(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_lean
+
+
+STAGES = [("toxicity", lean(drop_toxic)), ("quality", lean(keep_quality)), ("near_duplicates", lean(drop_near_duplicates)), ("pii", lean(redact)), ("packing", lean(pack))]
 #: The stages learn models and follow links, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 

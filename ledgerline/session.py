@@ -31,3 +31,16 @@ def share_code(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+#: Settings of a process's allocators under which large pieces go back to the system as soon as they are free.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144"}
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers of functions made from now on keep little memory that they don't use; settings that are there win.
+
+    For jobs of many steps, whose workers share an executor's memory with what earlier steps have left.
+    """
+    for name, value in LEAN.items():
+        spark.sparkContext.environment.setdefault(name, value)
