@@ -59,11 +59,20 @@ def shortened(word: str, most: int) -> set[str]:
     return out
 
 
-def unlike_all(word: str, most: int, deletions: set[str]) -> bool:
-    """Whether no form of the word with up to `most` letters left out is among the deletions."""
+def trigrams(word: str) -> list[str]:
+    return [word[i : i + 3] for i in range(len(word) - 2)]
+
+
+def unlike_all(word: str, most: int, deletions: set[str], loose: set[str]) -> bool:
+    """Whether no form of the word with up to `most` letters left out is among the deletions.
+
+    loose: the trigrams of terms that are matched with two edits. An edit spoils three of a term's
+    trigrams and a swap four, so of the ten that twelve letters have a word within two edits keeps two;
+    words with fewer are at most one edit from any term.
+    """
     if not most:
         return True
-    if most == 1:
+    if most == 1 or sum(map(loose.__contains__, trigrams(word))) < 2:
         return word not in deletions and deletions.isdisjoint([word[:i] + word[i + 1 :] for i in range(len(word))])
     return deletions.isdisjoint(shortened(word, most))
 
@@ -118,6 +127,8 @@ class Trie:
 
     root: dict = field(default_factory=dict)
     deletions: set[str] = field(default_factory=set)
+    #: Trigrams of the terms that are matched with two edits.
+    loose: set[str] = field(default_factory=set)
     #: By length of a word, how many edits away a term may be.
     reach: dict[int, int] = field(default_factory=dict)
 
@@ -131,6 +142,8 @@ class Trie:
             node[""] = term
             if allowed(term):
                 trie.deletions.update(shortened(term, allowed(term)))
+            if allowed(term) == 2:
+                trie.loose.update(trigrams(term))
             for n in range(-allowed(term), allowed(term) + 1):
                 trie.reach[len(term) + n] = max(trie.reach.get(len(term) + n, 0), allowed(term))
         return trie
@@ -141,7 +154,7 @@ class Trie:
         Words that share no form with letters left out need no walk; the walk alone decides.
         """
         most = self.reach.get(len(word), 0)
-        if unlike_all(word, most, self.deletions):
+        if unlike_all(word, most, self.deletions, self.loose):
             return None
         machine = LevenshteinAutomaton(word, most)
         stack = [(self.root, machine.start())]
@@ -217,13 +230,22 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.clean = lexicon.clean
         self.kind = {**dict.fromkeys(lexicon.doubtful, 1), **dict.fromkeys(lexicon.terms, 0)}
+        self.stems = {f[:-1]: k for f, k in self.kind.items() if f[-1] == "*"}
         self.tries = Trie.of(lexicon.terms), Trie.of(lexicon.doubtful)
-        self.deletions = self.tries[0].deletions | self.tries[1].deletions
+        self.deletions, self.loose = self.tries[0].deletions | self.tries[1].deletions, self.tries[0].loose | self.tries[1].loose
         self.reach = {n: max(t.reach.get(n, 0) for t in self.tries) for n in self.tries[0].reach | self.tries[1].reach}
 
+    def known(self, word: str) -> int:
+        """Whether the word or a stem of it is a sure term (0), or else a doubtful one (1); 2 if none is a term."""
+        least = self.kind.get(word, 2)
+        for n in STEMS:
+            if len(word) > n:
+                least = min(least, self.stems.get(word[:n], 2))
+        return least
+
     def near(self, word: str) -> int | None:
         """Whether the word is near a sure term (0) or else a doubtful one (1)."""
-        if unlike_all(word, self.reach.get(len(word), 0), self.deletions):
+        if unlike_all(word, self.reach.get(len(word), 0), self.deletions, self.loose):
             return None
         return next((k for k, trie in enumerate(self.tries) if trie.near(word)), None)
 
@@ -231,8 +253,8 @@ class Matcher:
         """Exact and near hits of a chunk between blanks, of sure and then of doubtful terms; mostly none."""
         out = None
         for word in WORD.findall(chunk.lower()):
-            if known := [self.kind[f] for f in forms(word) if f in self.kind]:
-                column = 2 * min(known)
+            if (known := self.known(word)) < 2:
+                column = 2 * known
             elif word not in self.clean and (k := self.near(word)) is not None:
                 column = 2 * k + 1
             else:

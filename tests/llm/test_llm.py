@@ -411,6 +411,27 @@ def test_trie_brute_force():
         assert trie.near(word) == (min(want)[1] if want else None)
 
 
+def test_trie_brute_force_of_long_terms():
+    """Words some edits and swaps away from terms of twelve letters and more, near the bound of two."""
+    rng = random.Random(7)
+    terms = sorted({"".join(rng.choices("abcdefgh", k=rng.randrange(11, 16))) for _ in range(40)})
+    trie, found = toxicity.Trie.of(terms), 0
+    for _ in range(1500):
+        word = list(rng.choice(terms))
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(word) - 1)
+            kind = rng.randrange(4)
+            if kind == 0:
+                word[i], word[i + 1] = word[i + 1], word[i]
+            else:
+                word[i : i + (kind > 1)] = [] if kind == 2 else [rng.choice("abcdefgh")]
+        word = "".join(word)
+        want = [(edits(t, word), t) for t in terms if toxicity.allowed(t) and edits(t, word) <= toxicity.allowed(t)]
+        assert trie.near(word) == (min(want)[1] if want else None)
+        found += bool(want)
+    assert found > 700
+
+
 # --- personal data
 
 PRIVATE = ["mail x.y@a-b.example.com_z@d.com, ip 1.2.3.4.5.6.7.8 999.1.1.1 card 4111 1111-1111 1111 tel +1 (988) 555-2485 ok", "@a.b a@ a@b a@b.c@d.e", "+" * 50 + "1" * 40, "4111111111111111 4111111111111112", "0001.002.3.4 1.2.3", "1" * 5000 + ".2.3.4", "", None]
