@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -19,12 +21,18 @@ FUNDS = sorted(macro.SECTOR_FUNDS)
 
 
 def letter_counts(texts: pd.Series) -> pd.Series:
-    """A model that SQL can say, too: how often each letter occurs."""
-    return texts.str.lower().map(lambda text: [float(text.count(c)) for c in LETTERS])
+    """A model that SQL can say, too: how often each letter occurs, and a number from the text's hash, so that texts of the same letters differ."""
+
+    def one(text: str) -> list[float]:
+        lower = text.lower()
+        return [*(float(lower.count(c)) for c in LETTERS), int(hashlib.md5(text.encode()).hexdigest()[:3], 16) / 64]
+
+    return texts.map(one)
 
 
 def _counts(text: str) -> str:
-    return "[" + ", ".join(f"length({text}) - length(replace(lower({text}), '{c}', ''))" for c in LETTERS) + "]::DOUBLE[]"
+    letters = [f"length({text}) - length(replace(lower({text}), '{c}', ''))" for c in LETTERS]
+    return "[" + ", ".join([*letters, f"CAST('0x' || substring(md5({text}), 1, 3) AS INTEGER) / 64.0"]) + "]::DOUBLE[]"
 
 
 def _context(part: str) -> str:
