@@ -31,6 +31,7 @@ _ITEMS = "|".join(words.removeprefix("item ") for words in MARKS.values() if wor
 _PHRASES = [_any_case(words).replace(".[sS\u017f]?", ".?[sS\u017f]?") for words in MARKS.values() if not words.startswith(("item ", "business"))]
 # The first letter is looked at before the phrases are tried one by one.
 _MARK = "(?s)(?=[iI\u0130\u0131rRmMqQfFbB])(?:" + "|".join([_any_case("item ") + f"(?:{_any_case(_ITEMS)})", *_PHRASES, rf"(?:(?<=\n)|\A){_any_case('business')}"]) + ")"
+_SIGN, _ROOM = "\x01", "\x02"
 #: How a section's heading reads, in the order in which headings are tried, and the marks that end it (fixed
 #: values): a mark with another one behind points and dashes, or a mark that ends its line.
 SECTIONS = {
@@ -56,8 +57,9 @@ def _marks(text: Column) -> Column:
     after, joined and line are places: behind the mark, behind the mark that follows it after points and
     dashes alone (or the word business there), and behind the line that it ends; null where there is none.
     """
-    texts = F.regexp_extract_all(text, F.lit(_MARK), F.lit(0))
-    between = F.split(text, _MARK, -1)
+    # The pattern runs once: it sets marks off by a sign, which other signs make room for, and the text is cut there.
+    cut = F.split(F.regexp_replace(F.translate(text, _SIGN, _ROOM), _MARK, f"{_SIGN}$0{_SIGN}"), _SIGN, -1)
+    every_other = lambda x, first: F.filter(x, lambda _, i: i % 2 == first)
 
     def placed(x: Column) -> Column:
         m, p, ends = x["m"], x["p"], x["ends"]
@@ -76,9 +78,13 @@ def _marks(text: Column) -> Column:
 
         return F.transform(m, one)
 
-    # ends: where the marks before end, 0 first; running sums of pieces and marks.
-    sums = lambda m: F.concat(F.array(F.lit(0).cast("long")), running_sums(F.zip_with(F.slice(between, F.lit(1), F.size(m)), m, lambda a, b: (F.length(a) + F.length(b)).cast("long"))))
-    return bound(texts, lambda m: bound(F.struct(m.alias("m"), between.alias("p"), sums(m).alias("ends")), placed))
+    def summed(x: Column) -> Column:
+        """With ends: where the marks before end, 0 first; running sums of pieces and marks."""
+        sizes = F.zip_with(F.slice(x["p"], F.lit(1), F.size(x["m"])), x["m"], lambda a, b: (F.length(a) + F.length(b)).cast("long"))
+        return F.struct(x["m"].alias("m"), x["p"].alias("p"), F.concat(F.array(F.lit(0).cast("long")), running_sums(sizes)).alias("ends"))
+
+    pieces = bound(cut, lambda c: F.struct(every_other(c, 1).alias("m"), every_other(c, 0).alias("p")))
+    return bound(pieces, lambda x: bound(summed(x), placed))
 
 
 def sections(text: Column) -> Column:

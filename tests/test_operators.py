@@ -199,7 +199,7 @@ def test_sections_as_patterns(spark):
     """Texts of shuffled headings and marks, with all that stands between them."""
     rng = random.Random(5)
     words = ["Item 1", "item\xa01A", "ITEM  1b", "Item 2", "item 20", "Item 7", "item 7a", "Item 8", "Risk Factors", "risk\n factors", "Management's Discussion and Analysis", "management discussion\nand analysis", "MANAGEMENT\u2019S DISCUSSION AND ANALYSIS"]
-    words += ["Quantitative and Qualitative", "financial  statements", "business", "Business", "\nbusiness", "rI\u017fk factors", "item", "1a", "body text", "x" * 30]
+    words += ["Quantitative and Qualitative", "financial  statements", "business", "Business", "\nbusiness", "rI\u017fk factors", "item", "1a", "body text", "x" * 30, "\x01", "\x02", "$0 \\"]
     joints = [" ", "\n", ". ", " - ", "\u2014", "", "\n\n", " \n ", ".\n", "\x1c", " and "]
     texts = ["".join(w for _ in range(rng.randrange(3, 40)) for w in (rng.choice(words), rng.choice(joints))) for _ in range(1500)] + ["", "business\nx item 1a", "Item 1. Business item 2"]
     frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
